@@ -8,12 +8,12 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 
 
 def pct(part: str, whole: str) -> str:
-    return f"((((20000::HUGEINT * ({part})) + nullif({whole}, 0)) // (2 * nullif({whole}, 0)))::DOUBLE / 100.0)"
+    return f"((((20000::HUGEINT * ({part})) + nullif({whole}, 0)) // (2::HUGEINT * nullif({whole}, 0)))::DOUBLE / 100.0)"
 
 
 def quotient(part: str, whole: str, digits: int = 2) -> str:
     f = 10**digits
-    return f"((((2 * {f}::HUGEINT * ({part})) + nullif({whole}, 0)) // (2 * nullif({whole}, 0)))::DOUBLE / {float(f)})"
+    return f"((((2 * {f}::HUGEINT * ({part})) + nullif({whole}, 0)) // (2::HUGEINT * nullif({whole}, 0)))::DOUBLE / {float(f)})"
 
 
 def r2(x: str, digits: int = 2) -> str:
