@@ -47,7 +47,11 @@ def column_profile(df: DataFrame, table: str, exact: bool = False, mcv: int = MC
         for i, f in enumerate(fields)])
     stats = one.select(F.inline(per_column))
 
-    # Values are counted as hashes of the text with the text kept once per group.
+    # Long values are counted by digest, so whole documents are not shuffled to find repeats.
+    texts = {
+        name: F.when(F.length(text) > 32, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        for name, text in texts.items()
+    }
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(f.name).alias("attname"), texts[f.name].alias("value")) for f in fields]))).where("value IS NOT NULL")
     counts = pairs.groupBy("attname", "value").agg(F.count(F.lit(1)).alias("freq"))

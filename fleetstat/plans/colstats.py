@@ -190,7 +190,7 @@ def statistics_advice(s: Snapshots) -> DataFrame:
 def _profile(table: str):
     def build(s: Snapshots, exact: bool = True) -> DataFrame:
         return column_profile(getattr(s, table), table, exact=exact)
-    build.__name__ = f"column_profile_{table}"
+    build.__name__ = "column_profile"
     return build
 
 

@@ -91,5 +91,5 @@ SQL = {
              WHEN target > 1000 THEN 'default_statistics_target is high (' || target || ') - ensure ANALYZE performance is acceptable'
              ELSE 'default_statistics_target (' || target || ') appears reasonable' END"""),
     ]),
-    **{f"a16_{t}_column_profile_{t}": profile(t) for t in WIDTH},
+    **{f"a16_{t}_column_profile": profile(t) for t in WIDTH},
 }
