@@ -86,9 +86,9 @@ EXTENSIONS = [
     ("pg_stat_statements", "1.10", "statement statistics"),
     ("pg_buffercache", "1.4", "shared buffer inspection"),
     ("pgstattuple", "1.5", "tuple statistics"),
-    ("pg_prewarm", "1.2", "relation prewarming"),
+    ("adminpack", "2.1", "server file functions"),
     ("plpgsql", "1.0", "procedural language"),
-    ("plpythonu", "1.0", "untrusted procedural language"),
+    ("postgres_fdw", "1.1", "tables of other servers"),
     ("dblink", "1.2", "connections to other databases"),
     ("file_fdw", "1.0", "server-side file access"),
 ]
@@ -406,6 +406,12 @@ def definitions(dialect: str) -> dict[str, str]:
                'role_' || CAST({d.div("p_partkey", "9")} AS VARCHAR(19)) AS owner, p_partkey % 6 = 0 AS rowsecurity
         FROM part"""
 
+    out["schemas"] = f"""
+        SELECT p_partkey % 4 AS server_id, {snap}, lower(p_type) AS schemaname, min(p_partkey) % 60 AS nspowner
+        FROM part GROUP BY p_partkey % 4, lower(p_type)
+        UNION ALL
+        SELECT p_partkey % 4 AS server_id, {snap}, 'public' AS schemaname, min(p_partkey) % 60 AS nspowner FROM part GROUP BY p_partkey % 4"""
+
     out["hypertables"] = f"""
         SELECT p_partkey % 4 AS server_id, {snap}, lower(p_type) AS schemaname, {table_name} AS table_name, p_partkey % 7 AS num_chunks
         FROM (SELECT * FROM part WHERE p_size > 25) p"""

@@ -89,6 +89,9 @@ SCHEMAS: dict[str, str] = {
         "server_id bigint, snap_ts timestamp, oid bigint, schemaname string, table_name string, "
         "relkind string, owner string, rowsecurity boolean"
     ),
+    "schemas": (
+        "server_id bigint, snap_ts timestamp, schemaname string, nspowner bigint"
+    ),
     "hypertables": (
         "server_id bigint, snap_ts timestamp, schemaname string, table_name string, num_chunks bigint"
     ),
