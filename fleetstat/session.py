@@ -16,6 +16,8 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Sessions are merged inside each input partition before the shuffle.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -293,7 +293,8 @@ def definitions(dialect: str) -> dict[str, str]:
                {d.days_before("n_nationkey % 90")} AS stats_reset,
                CAST(n_nationkey AS BIGINT) * n_nationkey * 1000000000 AS size_bytes,
                CAST(n_nationkey AS BIGINT) * 80000000 AS xid_age, n_nationkey % 12 = 11 AS datistemplate,
-               CAST(n_nationkey AS BIGINT) AS datdba
+               CAST(n_nationkey AS BIGINT) AS datdba,
+               CASE WHEN n_nationkey % 3 = 0 THEN '{{role_' || CAST(n_nationkey AS VARCHAR(9)) || '=CTc/owner}}' END AS datacl
         FROM (SELECT n_nationkey, n_name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS f, CAST(sum(p) AS BIGINT) AS p,
                      CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(p1) AS BIGINT) AS p1, CAST(sum(p2) AS BIGINT) AS p2,
                      CAST(sum(p3) AS BIGINT) AS p3, CAST(sum(p4) AS BIGINT) AS p4, CAST(sum(p5) AS BIGINT) AS p5
@@ -542,6 +543,22 @@ def definitions(dialect: str) -> dict[str, str]:
                event_type AS object, CAST((event_id * 37) % 1000 AS DOUBLE) AS value
         FROM events"""
 
+    out["activity_history"] = f"""
+        SELECT event_id % 4 AS server_id, date_trunc('minute', CAST(ts AS TIMESTAMP)) AS snap_ts, event_id AS pid,
+               CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_type = 'view' THEN 'idle' WHEN event_type = 'signup' THEN 'idle in transaction'
+                    WHEN event_type = 'error' THEN 'idle in transaction (aborted)' ELSE 'active' END AS state,
+               CASE WHEN event_id % 9 = 0 THEN 'autovacuum: VACUUM t' ELSE 'SELECT 1' END AS query
+        FROM events"""
+
+    out["io_history"] = f"""
+        SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, 'db' || CAST(user_id % 6 AS VARCHAR(9)) AS datname,
+               (event_id * 13) % 100000 AS blks_hit, (event_id * 3) % 40000 AS blks_read, event_id AS sample_id
+        FROM events"""
+
+    out["pair_history"] = f"""
+        SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, user_id AS blocked_pid, user_id % 10 + 1000 AS blocking_pid
+        FROM events WHERE event_type IN ('error', 'signup')"""
+
     out["statement_history"] = f"""
         SELECT l_partkey % 4 AS server_id, CAST(l_shipdate AS TIMESTAMP) AS snap_ts, l_partkey AS queryid,
                CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS calls, CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS DOUBLE) AS total_exec_time

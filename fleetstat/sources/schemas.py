@@ -44,7 +44,7 @@ SCHEMAS: dict[str, str] = {
         "xact_commit bigint, xact_rollback bigint, blks_hit bigint, blks_read bigint, tup_returned bigint, "
         "tup_fetched bigint, tup_inserted bigint, tup_updated bigint, tup_deleted bigint, deadlocks bigint, "
         "temp_files bigint, temp_bytes bigint, stats_reset timestamp, size_bytes bigint, xid_age bigint, "
-        "datistemplate boolean, datdba bigint"
+        "datistemplate boolean, datdba bigint, datacl string"
     ),
     "settings": (
         "server_id bigint, snap_ts timestamp, name string, setting string, unit string, category string, "
@@ -161,6 +161,16 @@ SCHEMAS: dict[str, str] = {
     "samples": (
         "server_id bigint, snap_ts timestamp, metric string, object string, value double"
     ),
+    "activity_history": (
+        "server_id bigint, snap_ts timestamp, pid bigint, state string, query string"
+    ),
+    "io_history": (
+        "server_id bigint, snap_ts timestamp, datname string, blks_hit bigint, blks_read bigint, "
+        "sample_id bigint"
+    ),
+    "pair_history": (
+        "server_id bigint, snap_ts timestamp, blocked_pid bigint, blocking_pid bigint"
+    ),
     "statement_history": (
         "server_id bigint, snap_ts timestamp, queryid bigint, calls bigint, total_exec_time double"
     ),
