@@ -73,6 +73,21 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, requir
     return pairs.where(F.col("l.pid") != F.col("r.pid"))
 
 
+def blocked_sessions(locks: DataFrame, activity: DataFrame, keys: int = 10) -> DataFrame:
+    """Waiting locks that at least one other session competes for, without listing the competitors.
+
+    The lowest and highest process of each object tell whether another one is
+    there, so the work stays linear in the number of locks.
+    """
+    on = [*SNAP, *LOCK_OBJECT[:keys]]
+    held = locks.select(*SNAP, "pid", *LOCK_OBJECT, "granted").join(
+        activity.select(*SNAP, "pid", "query_start"), [*SNAP, "pid"])
+    ends = held.groupBy(*on).agg(F.min("pid").alias("_low"), F.max("pid").alias("_high"))
+    waiting = held.where(~F.col("granted"))
+    met = waiting.alias("l").join(ends.alias("r"), null_safe("l", "r", on))
+    return met.where((F.col("_low") != F.col("l.pid")) | (F.col("_high") != F.col("l.pid"))).select("l.*")
+
+
 def pivot_settings(settings: DataFrame, *names: str, units: bool = False) -> DataFrame:
     """One row per server with a column per named setting (and ``<name>_unit``)."""
     picked = settings.where(F.col("name").isin(*names))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from fleetstat.functions import SNAP, Ladder, age_seconds, as_number, percent, pretty_bytes, qualified
 from fleetstat.operators.alerts import evaluate_alerts
-from fleetstat.operators.joins import LOCK_OBJECT, blocking_pairs, pivot_settings, snapshot_diff
+from fleetstat.operators.joins import LOCK_OBJECT, blocked_sessions, pivot_settings, snapshot_diff
 from fleetstat.operators.ranking import top_k
 from fleetstat.plans import admin, config, connections, indexes, partitions, resources, security, servers
 from fleetstat.plans.registry import report
 from fleetstat.plans.resources import dead_percent, session_counts
-from fleetstat.plans.rules import alert_rules
+from fleetstat.plans.rules import ALERT_RULES, alert_rules
 from fleetstat.sources import sinks
 from fleetstat.sources.snapshots import Snapshots
 
@@ -198,8 +198,8 @@ def before_after(s: Snapshots, cut: str = "1999-01-01") -> DataFrame:
 
 # --- alerts ----------------------------------------------------------------------------
 
-def alert_samples(s: Snapshots) -> DataFrame:
-    """(metric, object, value) samples that the documented rules are about."""
+def alert_samples(s: Snapshots, metrics: set[str] | None = None) -> DataFrame:
+    """(metric, object, value) samples that the documented rules are about; only those named, if any are."""
     col = F.col
 
     def sample(df: DataFrame, metric: str, object: Column, value: Column) -> DataFrame:
@@ -210,8 +210,7 @@ def alert_samples(s: Snapshots) -> DataFrame:
                          for m, v in values.items()])
         return df.select(*SNAP, F.inline(rows)).where("value IS NOT NULL")
 
-    blocked = blocking_pairs(s.locks, s.activity).select(
-        *[col(f"l.{c}") for c in SNAP], col("l.pid").alias("pid"), age_seconds("l.query_start", "l.snap_ts").alias("age")).distinct()
+    blocked = blocked_sessions(s.locks, s.activity).select(*SNAP, "pid", age_seconds("query_start").alias("age")).distinct()
     hit, read = F.sum("blks_hit"), F.sum("blks_read")
     counts = session_counts(s.activity).join(
         pivot_settings(s.settings, "max_connections").select(*SNAP, as_number("max_connections").alias("limit")), SNAP, "left")
@@ -226,29 +225,41 @@ def alert_samples(s: Snapshots) -> DataFrame:
     queues = s.locks.where(~col("granted")).groupBy(*SNAP, *LOCK_OBJECT).agg(n_rows.alias("waiters"))
     replicas = s.servers.select(*SNAP).join(s.repl_stats.groupBy(*SNAP).agg(n_rows.alias("n")), SNAP, "left")
     parts = [
-        sample(blocked, "blocked_seconds", col("pid"), col("age")),
-        several(s.database_stats, col("datname"), xid_percent=percent("xid_age", F.lit(2_000_000_000)), xid_age=col("xid_age")),
-        sample(s.database_stats.groupBy(*SNAP).agg(percent(hit, hit + read).alias("v")), "cache_hit_percent", F.lit("server"), col("v")),
-        sample(s.table_stats, "bloat_percent", qualified(), dead_percent()),
-        several(counts, F.lit("server"), connection_percent=percent("total", "limit"),
-                idle_in_transaction_percent=percent("idle_tx", "total"), pool_efficiency_percent=percent("active", "total")),
-        several(standbys, col("application_name"), sync_replication_lag_seconds=F.when(sync == "sync", lag),
-                async_replication_lag_seconds=F.when(sync == "async", lag), replication_lag_seconds=lag,
-                replication_lag_bytes=col("bytes"), standby_catchup=F.when(col("state") == "catchup", F.lit(1)).otherwise(F.lit(0))),
-        sample(s.repl_stats.groupBy(*SNAP).agg(F.max("replay_lag_s").alias("v")), "max_replication_lag_seconds", F.lit("server"), col("v")),
-        sample(servers.slots_with_lag(s).where(~col("active")), "inactive_slot_lag_bytes", col("slot_name"), col("lag_bytes")),
-        sample(replicas, "active_replicas", F.lit("server"), F.coalesce("n", F.lit(0))),
-        sample(locks, "ungranted_locks", F.lit("server"), col("waiting")),
-        sample(exclusive.groupBy(*SNAP).agg(n_rows.alias("n")), "access_exclusive_locks_in_business_hours", F.lit("server"), col("n")),
-        sample(idle_holders.groupBy(*SNAP).agg(n_rows.alias("n")), "locks_held_idle_in_transaction", F.lit("server"), col("n")),
-        sample(queues, "waiters_on_object", F.concat_ws("/", "locktype", col("database").cast("string"), col("relation").cast("string"),
-                                                        col("transactionid").cast("string")), col("waiters")),
+        ({"blocked_seconds"}, lambda: sample(blocked, "blocked_seconds", col("pid"), col("age"))),
+        ({"xid_percent", "xid_age"}, lambda: several(
+            s.database_stats, col("datname"), xid_percent=percent("xid_age", F.lit(2_000_000_000)), xid_age=col("xid_age"))),
+        ({"cache_hit_percent"}, lambda: sample(
+            s.database_stats.groupBy(*SNAP).agg(percent(hit, hit + read).alias("v")), "cache_hit_percent", F.lit("server"), col("v"))),
+        ({"bloat_percent"}, lambda: sample(s.table_stats, "bloat_percent", qualified(), dead_percent())),
+        ({"connection_percent", "idle_in_transaction_percent", "pool_efficiency_percent"}, lambda: several(
+            counts, F.lit("server"), connection_percent=percent("total", "limit"),
+            idle_in_transaction_percent=percent("idle_tx", "total"), pool_efficiency_percent=percent("active", "total"))),
+        ({"sync_replication_lag_seconds", "async_replication_lag_seconds", "replication_lag_seconds", "replication_lag_bytes",
+          "standby_catchup"}, lambda: several(
+            standbys, col("application_name"), sync_replication_lag_seconds=F.when(sync == "sync", lag),
+            async_replication_lag_seconds=F.when(sync == "async", lag), replication_lag_seconds=lag,
+            replication_lag_bytes=col("bytes"), standby_catchup=F.when(col("state") == "catchup", F.lit(1)).otherwise(F.lit(0)))),
+        ({"max_replication_lag_seconds"}, lambda: sample(
+            s.repl_stats.groupBy(*SNAP).agg(F.max("replay_lag_s").alias("v")), "max_replication_lag_seconds", F.lit("server"), col("v"))),
+        ({"inactive_slot_lag_bytes"}, lambda: sample(
+            servers.slots_with_lag(s).where(~col("active")), "inactive_slot_lag_bytes", col("slot_name"), col("lag_bytes"))),
+        ({"active_replicas"}, lambda: sample(replicas, "active_replicas", F.lit("server"), F.coalesce("n", F.lit(0)))),
+        ({"ungranted_locks"}, lambda: sample(locks, "ungranted_locks", F.lit("server"), col("waiting"))),
+        ({"access_exclusive_locks_in_business_hours"}, lambda: sample(
+            exclusive.groupBy(*SNAP).agg(n_rows.alias("n")), "access_exclusive_locks_in_business_hours", F.lit("server"), col("n"))),
+        ({"locks_held_idle_in_transaction"}, lambda: sample(
+            idle_holders.groupBy(*SNAP).agg(n_rows.alias("n")), "locks_held_idle_in_transaction", F.lit("server"), col("n"))),
+        ({"waiters_on_object"}, lambda: sample(
+            queues, "waiters_on_object", F.concat_ws("/", "locktype", col("database").cast("string"), col("relation").cast("string"),
+                                                     col("transactionid").cast("string")), col("waiters"))),
     ]
-    return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
+    chosen = [build() for names, build in parts if metrics is None or names & metrics]
+    return reduce(DataFrame.unionByName, chosen).where("value IS NOT NULL")
 
 
 def _alerts(s: Snapshots, rule_set: str) -> DataFrame:
-    fired = evaluate_alerts(alert_samples(s), alert_rules(s.spark, rule_set))
+    wanted = {r[1] for r in ALERT_RULES if r[0] == rule_set}
+    fired = evaluate_alerts(alert_samples(s, wanted), alert_rules(s.spark, rule_set))
     return fired.select(*SNAP, "metric", "object", "value", "severity")
 
 

@@ -119,13 +119,6 @@ SAMPLES = "(" + " UNION ALL ".join([
 
 
 def alerts(rule_set: str) -> str:
-    branches = []
-    for name, metric, low, high, inclusive, severity, _ in ALERT_RULES:
-        if name == rule_set:
-            e = "=" if inclusive else ""
-            bounds = [f"value >{e} {low}"] if low is not None else []
-            bounds += [f"value <{e} {high}"] if high is not None else []
-            branches.append(f"(metric = '{metric}' AND {' AND '.join(bounds)}, '{severity}')")
     # Rules of one set are counted one by one: a sample breaching two of them is listed twice.
     parts = []
     for name, metric, low, high, inclusive, severity, _ in ALERT_RULES:

@@ -17,7 +17,8 @@ def quotient(part: str, whole: str, digits: int = 2) -> str:
 
 
 def r2(x: str, digits: int = 2) -> str:
-    return f"round(({x})::DECIMAL(38,9), {digits})::DOUBLE"
+    scale = 9 if digits <= 4 else 15  # wide enough not to round twice
+    return f"round(({x})::DECIMAL(38,{scale}), {digits})::DOUBLE"
 
 
 def pretty(x: str) -> str:
