@@ -25,6 +25,10 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 # --- numbers ----------------------------------------------------------------
 
 def percent(part, whole) -> Column:

@@ -28,7 +28,7 @@ def null_safe(left: str, right: str, keys: list[str]) -> Column:
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys holding more than 1/HOT_LIMIT of the rows: at most HOT_LIMIT rows by construction."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("_n"))  # from the counts, so the same shuffle serves both
     return counts.where(F.col("_n") * HOT_LIMIT > total.scalar()).select(*keys, F.lit(True).alias("_hot"))
 
 

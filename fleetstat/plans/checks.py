@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, Ladder, age_seconds, as_number, percent, pretty_bytes, qualified
+from fleetstat.functions import SNAP, Ladder, age_seconds, as_number, percent, pretty_bytes, qualified, n_rows
 from fleetstat.operators.alerts import evaluate_alerts
 from fleetstat.operators.joins import LOCK_OBJECT, blocked_sessions, pivot_settings, snapshot_diff
 from fleetstat.operators.ranking import top_k
@@ -18,7 +18,6 @@ from fleetstat.plans.rules import ALERT_RULES, alert_rules
 from fleetstat.sources import sinks
 from fleetstat.sources.snapshots import Snapshots
 
-n_rows = F.count(F.lit(1))
 TOKEN = "^(CRITICAL|ERROR|HIGH|WARNING|MEDIUM|NOTICE|INFO|LOW|OK|NORMAL|MISSING|POOR|EMERGENCY)"
 # Severities of message tokens that are not severities themselves.
 SEVERITY = Ladder.lookup("token", {
@@ -85,7 +84,7 @@ def health_findings_quick(s: Snapshots) -> DataFrame:
 
 @report("CK6", order="check_name, severity")
 def severity_report(s: Snapshots, mode: str = "full") -> DataFrame:
-    return health_findings(s, mode).groupBy(*SNAP, "check_name", "severity").agg(n_rows.alias("findings"))
+    return health_findings(s, mode).groupBy(*SNAP, "check_name", "severity").agg(n_rows().alias("findings"))
 
 
 @report("S7", order="server_id")
@@ -109,7 +108,7 @@ def _kv(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def incident_snapshot(s: Snapshots) -> DataFrame:
     state = F.col("state")
     counts = s.activity.groupBy(*SNAP).agg(
-        n_rows.alias("total"), F.count_if(state == "active").alias("active"),
+        n_rows().alias("total"), F.count_if(state == "active").alias("active"),
         F.count_if(state == "idle in transaction").alias("idle_tx"), F.count_if(F.col("wait_event").isNotNull()).alias("waiting"))
     return _kv(counts, {"Connection Count": F.col("total"), "Active Queries": F.col("active"),
                         "Idle in Transaction": F.col("idle_tx"), "Waiting Queries": F.col("waiting")})
@@ -132,7 +131,7 @@ def daily_metrics(s: Snapshots) -> DataFrame:
 
 @report("CK7")
 def basic_counts(s: Snapshots) -> DataFrame:
-    one = lambda df, name: df.groupBy(*SNAP).agg(n_rows.alias(name))
+    one = lambda df, name: df.groupBy(*SNAP).agg(n_rows().alias(name))
     size = s.database_stats.groupBy(*SNAP).agg(F.sum("size_bytes").alias("database_bytes"))
     wide = size
     for df, name in ((s.table_stats, "user_tables"), (s.index_stats, "user_indexes"), (s.repl_stats, "replicas"), (s.activity, "sessions")):
@@ -157,8 +156,8 @@ def production_readiness(s: Snapshots) -> DataFrame:
         .join(s.database_stats.groupBy(*SNAP).agg(percent(hit, hit + read).alias("ratio")), SNAP, "left")
         .join(config.configuration_advice(s).groupBy(*SNAP).agg(
             F.count_if(F.col("recommendation").startswith("CRITICAL")).alias("config_issues")), SNAP, "left")
-        .join(admin.tables_without_primary_key(s).groupBy(*SNAP).agg(n_rows.alias("no_pk")), SNAP, "left")
-        .join(s.extensions.where(F.col("extname") == "pg_stat_statements").groupBy(*SNAP).agg(n_rows.alias("monitored")), SNAP, "left")
+        .join(admin.tables_without_primary_key(s).groupBy(*SNAP).agg(n_rows().alias("no_pk")), SNAP, "left")
+        .join(s.extensions.where(F.col("extname") == "pg_stat_statements").groupBy(*SNAP).agg(n_rows().alias("monitored")), SNAP, "left")
         .join(pivot_settings(s.settings, "autovacuum"), SNAP, "left")
         .join(connections.connection_utilization(s).select(*SNAP, F.col("connection_utilization_percent").alias("used")), SNAP, "left"))
     yes = F.lit(True)
@@ -222,8 +221,8 @@ def alert_samples(s: Snapshots, metrics: set[str] | None = None) -> DataFrame:
         s.activity.where(F.hour("query_start").between(9, 16)).select(*SNAP, "pid"), [*SNAP, "pid"])
     idle_holders = s.locks.where("granted").join(
         s.activity.where(col("state").like("idle in transaction%")).select(*SNAP, "pid"), [*SNAP, "pid"])
-    queues = s.locks.where(~col("granted")).groupBy(*SNAP, *LOCK_OBJECT).agg(n_rows.alias("waiters"))
-    replicas = s.servers.select(*SNAP).join(s.repl_stats.groupBy(*SNAP).agg(n_rows.alias("n")), SNAP, "left")
+    queues = s.locks.where(~col("granted")).groupBy(*SNAP, *LOCK_OBJECT).agg(n_rows().alias("waiters"))
+    replicas = s.servers.select(*SNAP).join(s.repl_stats.groupBy(*SNAP).agg(n_rows().alias("n")), SNAP, "left")
     parts = [
         ({"blocked_seconds"}, lambda: sample(blocked, "blocked_seconds", col("pid"), col("age"))),
         ({"xid_percent", "xid_age"}, lambda: several(
@@ -246,9 +245,9 @@ def alert_samples(s: Snapshots, metrics: set[str] | None = None) -> DataFrame:
         ({"active_replicas"}, lambda: sample(replicas, "active_replicas", F.lit("server"), F.coalesce("n", F.lit(0)))),
         ({"ungranted_locks"}, lambda: sample(locks, "ungranted_locks", F.lit("server"), col("waiting"))),
         ({"access_exclusive_locks_in_business_hours"}, lambda: sample(
-            exclusive.groupBy(*SNAP).agg(n_rows.alias("n")), "access_exclusive_locks_in_business_hours", F.lit("server"), col("n"))),
+            exclusive.groupBy(*SNAP).agg(n_rows().alias("n")), "access_exclusive_locks_in_business_hours", F.lit("server"), col("n"))),
         ({"locks_held_idle_in_transaction"}, lambda: sample(
-            idle_holders.groupBy(*SNAP).agg(n_rows.alias("n")), "locks_held_idle_in_transaction", F.lit("server"), col("n"))),
+            idle_holders.groupBy(*SNAP).agg(n_rows().alias("n")), "locks_held_idle_in_transaction", F.lit("server"), col("n"))),
         ({"waiters_on_object"}, lambda: sample(
             queues, "waiters_on_object", F.concat_ws("/", "locktype", col("database").cast("string"), col("relation").cast("string"),
                                                      col("transactionid").cast("string")), col("waiters"))),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import (
-    SNAP, Ladder, age_micros, array_length, as_number, latest_of, older_than, percent, pretty_bytes,
+    SNAP, n_rows, Ladder, age_micros, array_length, as_number, latest_of, older_than, percent, pretty_bytes,
 )
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.operators.profile import column_profile
@@ -15,7 +15,6 @@ from fleetstat.plans.resources import advice_rows
 from fleetstat.sources.snapshots import Snapshots
 
 HOUR = 3600 * 1_000_000
-n_rows = F.count(F.lit(1))
 
 # Settings shown, thresholds and labels.
 STATISTICS_SETTINGS = (
@@ -139,7 +138,7 @@ def table_stats_issues(s: Snapshots) -> DataFrame:
         F.count_if(F.expr("n_distinct > 1000 AND mcv_count < 10")).alias("high_cardinality_low_mcv"),
         F.count_if(F.col("null_frac") > 0.3).alias("high_null_columns"),
         F.count_if(F.abs("correlation") > 0.5).alias("high_correlation_columns"),
-        n_rows.alias("total_columns"))
+        n_rows().alias("total_columns"))
     tables = s.table_stats.select(
         *SNAP, "schemaname", "table_name", F.col("n_live_tup").alias("row_count"),
         hours_since("last_analyze", "last_autoanalyze").alias("hours_since_analyze"))

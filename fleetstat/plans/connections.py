@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, Ladder, age_seconds, any_of, as_number, older_than, percent, pretty_bytes
+from fleetstat.functions import SNAP, Ladder, age_seconds, any_of, as_number, older_than, percent, pretty_bytes, n_rows
 from fleetstat.operators.joins import with_settings
 from fleetstat.operators.ranking import with_total
 from fleetstat.plans.registry import report
@@ -13,7 +13,6 @@ from fleetstat.plans.resources import session_counts
 from fleetstat.plans.waits import exclude_self
 from fleetstat.sources.snapshots import Snapshots
 
-n_rows = F.count(F.lit(1))
 
 # Thresholds and labels of the connection reports.
 UTILIZATION = Ladder(
@@ -71,7 +70,7 @@ def connection_utilization(s: Snapshots) -> DataFrame:
 def connection_patterns(s: Snapshots) -> DataFrame:
     state, age = F.col("state"), age_seconds("backend_start")
     groups = exclude_self(s.activity).groupBy(*SNAP, "datname", "application_name", "usename", "client_addr").agg(
-        n_rows.alias("connection_count"), F.count_if(state == "active").alias("active_count"),
+        n_rows().alias("connection_count"), F.count_if(state == "active").alias("active_count"),
         F.count_if(state == "idle").alias("idle_count"), F.count_if(state.like("idle in transaction%")).alias("idle_in_tx_count"),
         F.round(F.avg(age)).alias("avg_connection_age_seconds"), F.max(age).alias("max_connection_age_seconds"))
     return groups.where(F.col("connection_count") > 1).select(
@@ -153,7 +152,7 @@ def pool_advice(s: Snapshots) -> DataFrame:
 def pooling_benefit(s: Snapshots) -> DataFrame:
     state = F.col("state")
     totals = exclude_self(s.activity).groupBy(*SNAP).agg(
-        n_rows.alias("total_backend_connections"),
+        n_rows().alias("total_backend_connections"),
         # As one struct value, so that rows with a missing part are counted too.
         F.count_distinct(F.struct("datname", "usename")).alias("unique_db_user_combinations"),
         F.round(F.avg(age_seconds("backend_start"))).alias("avg_backend_age_seconds"),
@@ -169,9 +168,9 @@ def connections_by_hour(s: Snapshots) -> DataFrame:
     mine = exclude_self(s.activity)
     recent = mine.where(~older_than("backend_start", 86400) & (F.col("backend_start") != F.expr("snap_ts - INTERVAL '24' HOUR")))
     hours = recent.groupBy(*SNAP, F.hour("backend_start").alias("connection_start_hour")).agg(
-        n_rows.alias("connections_started"), F.count_if(F.col("state") == "active").alias("currently_active"),
+        n_rows().alias("connections_started"), F.count_if(F.col("state") == "active").alias("currently_active"),
         F.round(F.avg(age_seconds("backend_start"))).cast("bigint").alias("avg_age_seconds"))
-    return with_total(hours, mine, _all=n_rows).select(
+    return with_total(hours, mine, _all=n_rows()).select(
         *SNAP, "connection_start_hour", "connections_started", "currently_active", "avg_age_seconds",
         F.when(F.col("connections_started") > 0.2 * F.col("_all"), "Peak connection period")
         .otherwise("Normal connection period").alias("period_classification"))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, age_seconds, older_than, percent, pretty_bytes, snippet, two_decimals
+from fleetstat.functions import SNAP, age_seconds, older_than, percent, pretty_bytes, two_decimals, n_rows
 from fleetstat.operators.ranking import top_k
 from fleetstat.plans.registry import report
 from fleetstat.plans.resources import cache_hit_by_table, dead_percent
 from fleetstat.sources.snapshots import Snapshots
 
-n_rows = F.count(F.lit(1))
 # Fixed value: the query text a failed login is looked up by.
 FAILED_LOGIN = "<authentication failed>"
 
@@ -23,7 +22,7 @@ def primary_flag(s: Snapshots) -> DataFrame:
 
 @report("DG2")
 def connection_count(s: Snapshots) -> DataFrame:
-    return s.activity.groupBy(*SNAP).agg(n_rows.alias("connections"))
+    return s.activity.groupBy(*SNAP).agg(n_rows().alias("connections"))
 
 
 @report("DG3")
@@ -39,12 +38,12 @@ def database_hit_percent(s: Snapshots) -> DataFrame:
 
 @report("DG8")
 def lock_mode_counts(s: Snapshots) -> DataFrame:
-    return s.locks.groupBy(*SNAP, "mode").agg(n_rows.alias("locks"))
+    return s.locks.groupBy(*SNAP, "mode").agg(n_rows().alias("locks"))
 
 
 @report("DG9", order="processes desc")
 def top_wait_events(s: Snapshots, k: int = 10) -> DataFrame:
-    waits = s.activity.where(F.col("wait_event").isNotNull()).groupBy(*SNAP, "wait_event_type", "wait_event").agg(n_rows.alias("processes"))
+    waits = s.activity.where(F.col("wait_event").isNotNull()).groupBy(*SNAP, "wait_event_type", "wait_event").agg(n_rows().alias("processes"))
     return top_k(waits, k, F.col("processes").desc(), F.col("wait_event_type").asc(), F.col("wait_event").asc())
 
 
@@ -85,7 +84,7 @@ def long_transactions(s: Snapshots, min_seconds: int = 3600) -> DataFrame:
 
 @report("DG17")
 def connections_by_state(s: Snapshots) -> DataFrame:
-    return s.activity.groupBy(*SNAP, "state").agg(n_rows.alias("connections"))
+    return s.activity.groupBy(*SNAP, "state").agg(n_rows().alias("connections"))
 
 
 @report("DG18", order="dead_tuple_ratio desc")

@@ -61,8 +61,14 @@ AUTOVACUUM_EFFECT = Ladder(
     default="OK",
 )
 
-changes = F.expr(CHANGES)
-unanalyzed = F.expr(UNANALYZED)
+def changes() -> Column:
+    return F.expr(CHANGES)
+
+
+def unanalyzed() -> Column:
+    return F.expr(UNANALYZED)
+
+
 
 
 def needs_vacuum(share: float = 0.1, floor: int = 1000) -> Column:
@@ -70,15 +76,15 @@ def needs_vacuum(share: float = 0.1, floor: int = 1000) -> Column:
 
 
 def stale_and_changed() -> Column:
-    return older_than(latest_of("last_analyze", "last_autoanalyze"), WEEK) & (changes > 1000)
+    return older_than(latest_of("last_analyze", "last_autoanalyze"), WEEK) & (changes() > 1000)
 
 
 def needs_analyze() -> Column:
-    return any_of(unanalyzed, stale_and_changed(), F.expr(f"{CHANGES} > 0.1 * n_live_tup"))
+    return any_of(unanalyzed(), stale_and_changed(), F.expr(f"{CHANGES} > 0.1 * n_live_tup"))
 
 
 def worth_analyzing() -> Column:
-    return any_of(unanalyzed & (F.col("n_live_tup") > 1000), stale_and_changed())
+    return any_of(unanalyzed() & (F.col("n_live_tup") > 1000), stale_and_changed())
 
 
 @report("MS1", order="name")
@@ -101,8 +107,8 @@ def analyze_candidates(s: Snapshots) -> DataFrame:
     newest = latest_of("last_analyze", "last_autoanalyze")
     days = F.call_function("div", F.unix_timestamp("snap_ts") - F.unix_timestamp(newest), F.lit(86400))
     return s.table_stats.where(needs_analyze()).select(
-        *SNAP, "schemaname", "table_name", changes.alias("total_modifications"), F.col("n_live_tup").alias("live_tuples"),
-        percent(changes, "n_live_tup").alias("modification_percentage"), "last_analyze", "last_autoanalyze",
+        *SNAP, "schemaname", "table_name", changes().alias("total_modifications"), F.col("n_live_tup").alias("live_tuples"),
+        percent(changes(), "n_live_tup").alias("modification_percentage"), "last_analyze", "last_autoanalyze",
         F.greatest("last_analyze", "last_autoanalyze").alias("most_recent_analyze"), days.alias("days_since_analyze"),
         ANALYZE_PRIORITY.column().alias("analyze_priority"), ANALYZE_PRIORITY.rank().alias("priority_rank"))
 
@@ -170,7 +176,7 @@ def vacuum_commands(s: Snapshots, k: int = 10) -> DataFrame:
 
 @report("MS9")
 def analyze_commands(s: Snapshots, k: int = 10) -> DataFrame:
-    worst = top_k(s.table_stats.where(worth_analyzing()), k, changes.desc_nulls_first(), F.col("relid").asc())
+    worst = top_k(s.table_stats.where(worth_analyzing()), k, changes().desc_nulls_first(), F.col("relid").asc())
     return worst.select(*SNAP, F.format_string("ANALYZE (VERBOSE) %s;", qualified()).alias("analyze_command"))
 
 
@@ -194,7 +200,7 @@ def plan_vacuum(s: Snapshots, dead_pct: float = 20, schema: str | None = None, g
 @report("AM2", order="total_changes desc")
 def plan_analyze(s: Snapshots, schema: str | None = None, globs: str | None = None) -> DataFrame:
     return s.table_stats.where(needs_analyze() & _chosen(schema, globs)).select(
-        *SNAP, "schemaname", "table_name", changes.alias("total_changes"), F.col("total_relation_size").alias("table_size"),
+        *SNAP, "schemaname", "table_name", changes().alias("total_changes"), F.col("total_relation_size").alias("table_size"),
         "last_analyze", "last_autoanalyze", PLAN_PRIORITY.column().alias("analyze_priority"))
 
 

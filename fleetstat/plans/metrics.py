@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP
+from fleetstat.functions import SNAP, n_rows
 from fleetstat.operators.ranking import top_k
 from fleetstat.plans.registry import report
 from fleetstat.plans.resources import BGWRITER, session_counts
 from fleetstat.sources import sinks
 from fleetstat.sources.snapshots import Snapshots
 
-n_rows = F.count(F.lit(1))
 # Counters exported per database.
 DATABASE_COUNTERS = ("numbackends", "xact_commit", "xact_rollback", "blks_read", "blks_hit", "tup_returned", "tup_fetched",
                      "tup_inserted", "tup_updated", "tup_deleted")
@@ -29,7 +28,7 @@ def database_counters(s: Snapshots) -> DataFrame:
 
 @report("EX2")
 def connections_metric(s: Snapshots) -> DataFrame:
-    counts = s.activity.groupBy(*SNAP, F.coalesce("state", F.lit("unknown")).alias("state")).agg(n_rows.alias("n"))
+    counts = s.activity.groupBy(*SNAP, F.coalesce("state", F.lit("unknown")).alias("state")).agg(n_rows().alias("n"))
     return sinks.metric_rows(counts, {"pg_stat_activity_connections": F.col("n")}, {"state": F.col("state")})
 
 
@@ -40,7 +39,7 @@ def bgwriter_metric(s: Snapshots) -> DataFrame:
 
 @report("EX4")
 def locks_metric(s: Snapshots) -> DataFrame:
-    counts = s.locks.groupBy(*SNAP, "mode").agg(n_rows.alias("n"))
+    counts = s.locks.groupBy(*SNAP, "mode").agg(n_rows().alias("n"))
     return sinks.metric_rows(counts, {"pg_locks_count": F.col("n")}, {"mode": F.col("mode")})
 
 

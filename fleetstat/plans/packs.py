@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import (
-    SNAP, age_seconds, as_number, matches_ci, percent, pretty_bytes, qualified, whole_quotient,
+    SNAP, n_rows, age_seconds, as_number, matches_ci, percent, pretty_bytes, qualified, whole_quotient,
 )
 from fleetstat.operators.joins import with_settings
 from fleetstat.operators.ranking import top_k
@@ -14,18 +14,20 @@ from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
 MB = 1024**2
-n_rows = F.count(F.lit(1))
-statement_id = F.col("queryid").asc()
+def statement_id() -> Column:
+    return F.col("queryid").asc()
+
+
 
 
 @report("TP1", order="connections desc")
 def connections_per_database(s: Snapshots) -> DataFrame:
-    return s.activity.groupBy(*SNAP, "datname").agg(n_rows.alias("connections"))
+    return s.activity.groupBy(*SNAP, "datname").agg(n_rows().alias("connections"))
 
 
 @report("TP2")
 def connections_available(s: Snapshots) -> DataFrame:
-    used = s.activity.groupBy(*SNAP).agg(n_rows.alias("used_conn"))
+    used = s.activity.groupBy(*SNAP).agg(n_rows().alias("used_conn"))
     return with_settings(used, s.settings, "max_connections").select(
         *SNAP, as_number("max_connections").alias("max_conn"), "used_conn",
         (as_number("max_connections") - F.col("used_conn")).alias("available"))
@@ -72,7 +74,7 @@ def zero_scan_indexes(s: Snapshots) -> DataFrame:
 
 @report("TP9", order="shared_blks_read desc")
 def top_by_blocks_read(s: Snapshots, k: int = 10) -> DataFrame:
-    return top_k(s.statements, k, F.col("shared_blks_read").desc_nulls_first(), statement_id).select(
+    return top_k(s.statements, k, F.col("shared_blks_read").desc_nulls_first(), statement_id()).select(
         *SNAP, "queryid", "query", "shared_blks_read", "local_blks_read", "temp_blks_read")
 
 
@@ -85,7 +87,7 @@ def database_hit_ratio(s: Snapshots) -> DataFrame:
 
 @report("TP11", order="conn_count desc")
 def connection_summary(s: Snapshots) -> DataFrame:
-    return s.activity.groupBy(*SNAP, "datname", "usename", "client_addr", "state").agg(n_rows.alias("conn_count"))
+    return s.activity.groupBy(*SNAP, "datname", "usename", "client_addr", "state").agg(n_rows().alias("conn_count"))
 
 
 @report("TP12", order="hot_update_ratio desc")
@@ -96,7 +98,7 @@ def hot_ratio(s: Snapshots) -> DataFrame:
 
 @report("TP13", order="total_plan_time desc")
 def top_by_plan_time(s: Snapshots, k: int = 10) -> DataFrame:
-    return top_k(s.statements, k, F.col("total_plan_time").desc_nulls_first(), statement_id).select(
+    return top_k(s.statements, k, F.col("total_plan_time").desc_nulls_first(), statement_id()).select(
         *SNAP, "queryid", "query", "calls", "total_plan_time", F.round("mean_plan_time", 4).alias("mean_plan_time"))
 
 
@@ -105,12 +107,12 @@ def hit_ratio_int(s: Snapshots, k: int = 10) -> DataFrame:
     """Hit percentage truncated to a whole number."""
     blocks = F.col("shared_blks_hit") + F.col("shared_blks_read")
     ranked = s.statements.withColumn("hit_ratio", whole_quotient(F.col("shared_blks_hit") * 100, blocks))
-    return top_k(ranked, k, F.col("hit_ratio").asc_nulls_last(), statement_id).select(*SNAP, "queryid", "query", "calls", "hit_ratio")
+    return top_k(ranked, k, F.col("hit_ratio").asc_nulls_last(), statement_id()).select(*SNAP, "queryid", "query", "calls", "hit_ratio")
 
 
 @report("TP15", order="temp_blks_written desc")
 def top_by_temp(s: Snapshots, k: int = 10) -> DataFrame:
-    return top_k(s.statements, k, F.col("temp_blks_written").desc_nulls_first(), statement_id).select(
+    return top_k(s.statements, k, F.col("temp_blks_written").desc_nulls_first(), statement_id()).select(
         *SNAP, "queryid", "query", "temp_blks_written")
 
 

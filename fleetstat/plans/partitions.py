@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, Ladder, older_than, pretty_bytes, qualified
+from fleetstat.functions import SNAP, Ladder, older_than, pretty_bytes, qualified, n_rows
 from fleetstat.operators.graphs import walk_tree
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.plans.registry import report
@@ -13,7 +13,6 @@ from fleetstat.sources.snapshots import Snapshots
 
 MB = 1024**2
 WEEK = 7 * 86400
-n_rows = F.count(F.lit(1))
 
 # Thresholds and labels of the partition reports.
 STRATEGY = Ladder(
@@ -95,7 +94,7 @@ def partition_hierarchy(s: Snapshots, max_depth: int = 10) -> DataFrame:
 def partition_balance(s: Snapshots) -> DataFrame:
     size = F.col("partition_size")
     stats = partition_sizes(s).groupBy(*SNAP, "parent_table").agg(
-        n_rows.alias("partition_count"), F.sum(size).alias("total_bytes"), F.avg(size).alias("avg_size"),
+        n_rows().alias("partition_count"), F.sum(size).alias("total_bytes"), F.avg(size).alias("avg_size"),
         F.stddev_samp(size).alias("size_stddev"), F.min(size).alias("smallest_bytes"), F.max(size).alias("largest_bytes"),
         F.sum("row_count").alias("total_estimated_rows"), F.round(F.avg("row_count")).alias("avg_rows_per_partition"))
     return stats.select(
@@ -123,7 +122,7 @@ def partition_health(s: Snapshots) -> DataFrame:
 def partition_strategy_summary(s: Snapshots) -> DataFrame:
     parts = s.partition_nodes.where(F.col("parent_oid").isNotNull()).withColumn("strategy", STRATEGY.column())
     counts = parts.groupBy(*SNAP).agg(
-        n_rows.alias("total_partitions"), F.count_distinct("strategy").alias("partition_strategies_used"))
+        n_rows().alias("total_partitions"), F.count_distinct("strategy").alias("partition_strategies_used"))
     return counts.join(pivot_settings(s.settings, "constraint_exclusion"), SNAP, "left").select(
         *SNAP, "total_partitions", "partition_strategies_used", F.col("constraint_exclusion").alias("constraint_exclusion_setting"),
         EXCLUSION.column().alias("configuration_assessment"), PRUNING.column().alias("pruning_efficiency_note"))
@@ -132,7 +131,7 @@ def partition_strategy_summary(s: Snapshots) -> DataFrame:
 @report("PM5", order="partition_count desc")
 def partition_advice(s: Snapshots) -> DataFrame:
     counts = partition_sizes(s).groupBy(*SNAP, "parent_table").agg(
-        n_rows.alias("partition_count"), F.count_if(F.col("row_count") == 0).alias("empty_partitions"),
+        n_rows().alias("partition_count"), F.count_if(F.col("row_count") == 0).alias("empty_partitions"),
         F.count_if(F.col("partition_size") < MB).alias("small_partitions"),
         F.count_if(older_than("last_vacuum", WEEK)).alias("partitions_needing_vacuum"),
         F.count_if(older_than("last_analyze", WEEK)).alias("partitions_needing_analyze"),

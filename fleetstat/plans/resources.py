@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import (
-    SNAP, Ladder, any_of, as_number, older_than, percent, pretty_bytes, qualified, setting_bytes, wraparound_percent,
+    SNAP, n_rows, Ladder, as_number, percent, pretty_bytes, qualified, setting_bytes, wraparound_percent,
 )
 from fleetstat.operators.joins import pivot_settings, with_settings
 from fleetstat.operators.ranking import top_k
@@ -14,7 +14,6 @@ from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
 GB = 1024**3
-n_rows = F.count(F.lit(1))
 
 # Thresholds and labels of the resource reports.
 DATABASE_SIZE = Ladder(
@@ -142,7 +141,7 @@ def session_counts(activity: DataFrame) -> DataFrame:
     """All state counts of a snapshot in one pass."""
     state = F.col("state")
     return activity.groupBy(*SNAP).agg(
-        n_rows.alias("total"),
+        n_rows().alias("total"),
         F.count_if(state == "active").alias("active"),
         F.count_if(state == "idle").alias("idle"),
         F.count_if(state == "idle in transaction").alias("idle_tx"),
@@ -225,13 +224,13 @@ def maintenance_status(s: Snapshots, k: int = 20) -> DataFrame:
 @report("RM11", order="lock_count desc")
 def lock_modes(s: Snapshots) -> DataFrame:
     return s.locks.groupBy(*SNAP, F.col("mode").alias("lock_mode")).agg(
-        n_rows.alias("lock_count"), F.count_if(~F.col("granted")).alias("waiting_locks"),
+        n_rows().alias("lock_count"), F.count_if(~F.col("granted")).alias("waiting_locks"),
         F.array_join(F.sort_array(F.collect_set("locktype")), ", ").alias("lock_types"))
 
 
 @report("RM12")
 def resource_advice(s: Snapshots) -> DataFrame:
-    sessions = s.activity.groupBy(*SNAP).agg(n_rows.alias("current_connections"))
+    sessions = s.activity.groupBy(*SNAP).agg(n_rows().alias("current_connections"))
     blocks = s.database_stats.groupBy(*SNAP).agg(F.sum("blks_hit").alias("hits"), F.sum("blks_read").alias("disk_reads"))
     limit = pivot_settings(s.settings, "max_connections").select(*SNAP, as_number("max_connections").alias("max_connections"))
     summary = (

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, SYSTEM_SCHEMAS, Ladder, matches_ci, pretty_bytes, qualified
+from fleetstat.functions import SNAP, SYSTEM_SCHEMAS, Ladder, matches_ci, pretty_bytes, qualified, n_rows
 from fleetstat.operators.graphs import role_closure
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.operators.ranking import bounded_lists
 from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
-n_rows = F.count(F.lit(1))
 ALL_OBJECTS = "*"
 
 # Name patterns, thresholds and labels of the security reports.
@@ -89,7 +88,10 @@ GRADE = Ladder(
 )
 TABLE_PRIVILEGES = ("SELECT", "INSERT", "UPDATE", "DELETE", "TRUNCATE")
 
-passwordless = F.col("rolcanlogin") & F.col("rolpassword").isNull()
+def passwordless() -> Column:
+    return F.col("rolcanlogin") & F.col("rolpassword").isNull()
+
+
 
 
 def named_roles(s: Snapshots) -> DataFrame:
@@ -144,10 +146,10 @@ def privileged_summary(s: Snapshots) -> DataFrame:
     roles = named_roles(s)
     counts = roles.groupBy(*SNAP).agg(
         F.count_if("rolsuper").alias("superuser_count"), F.count_if("rolcreaterole").alias("role_creators_count"),
-        F.count_if("rolcreatedb").alias("db_creators_count"), F.count_if(passwordless).alias("passwordless_login_roles"),
+        F.count_if("rolcreatedb").alias("db_creators_count"), F.count_if(passwordless()).alias("passwordless_login_roles"),
         F.count_if("rolbypassrls").alias("rls_bypass_roles"))
     supers = bounded_lists(roles.where("rolsuper"), SNAP, "rolname", "superusers")
-    open_roles = bounded_lists(roles.where(passwordless), SNAP, "rolname", "open_roles")
+    open_roles = bounded_lists(roles.where(passwordless()), SNAP, "rolname", "open_roles")
     return counts.join(supers, SNAP, "left").join(open_roles, SNAP, "left").select(
         *SNAP, "superuser_count", "role_creators_count", "db_creators_count", "passwordless_login_roles", "rls_bypass_roles",
         PRIVILEGED.column().alias("security_assessment"), F.array_join("superusers", ", ").alias("superuser_roles"),
@@ -226,8 +228,8 @@ def schema_access(s: Snapshots) -> DataFrame:
     schemas = s.schemas.where(~F.col("schemaname").like("pg_%") & (F.col("schemaname") != "information_schema"))
     owners = _owner_names(s, schemas, "nspowner", "schemaname")
     held = _holders(s, "schema", owners, {"has_usage": "USAGE", "has_create": "CREATE"})
-    tables = s.relations.where(F.col("relkind") == "r").groupBy(*SNAP, F.col("schemaname").alias("object")).agg(n_rows.alias("tables"))
-    functions = s.functions.groupBy(*SNAP, F.col("schemaname").alias("object")).agg(n_rows.alias("functions"))
+    tables = s.relations.where(F.col("relkind") == "r").groupBy(*SNAP, F.col("schemaname").alias("object")).agg(n_rows().alias("tables"))
+    functions = s.functions.groupBy(*SNAP, F.col("schemaname").alias("object")).agg(n_rows().alias("functions"))
     zero = F.lit(0)
     return held.where("is_owner OR has_usage OR has_create OR is_super").join(tables, [*SNAP, "object"], "left").join(
         functions, [*SNAP, "object"], "left").withColumn("schema_name", F.col("object")).select(
@@ -272,7 +274,7 @@ def function_risk(s: Snapshots) -> DataFrame:
 
 @report("PA7", order="rls_enabled desc, table_name")
 def rls_audit(s: Snapshots) -> DataFrame:
-    policies = s.policies.groupBy(*SNAP, F.col("polrelid").alias("oid")).agg(n_rows.alias("policies"))
+    policies = s.policies.groupBy(*SNAP, F.col("polrelid").alias("oid")).agg(n_rows().alias("policies"))
     return user_tables(s).join(policies, [*SNAP, "oid"], "left").withColumn("policy_count", F.coalesce("policies", F.lit(0))).withColumn(
         "wants_rls", matches_ci("table_name", RLS_SENSITIVE)).select(
         *SNAP, qualified().alias("table_name"), F.col("rowsecurity").alias("rls_enabled"),
@@ -283,7 +285,7 @@ def rls_audit(s: Snapshots) -> DataFrame:
 @report("PA8")
 def authentication_summary(s: Snapshots) -> DataFrame:
     counts = s.roles.groupBy(*SNAP).agg(
-        F.count_if("rolcanlogin").alias("total_login_roles"), F.count_if(passwordless).alias("passwordless_roles"),
+        F.count_if("rolcanlogin").alias("total_login_roles"), F.count_if(passwordless()).alias("passwordless_roles"),
         F.count_if(F.col("rolcanlogin") & (F.col("rolvaliduntil") < F.col("snap_ts"))).alias("expired_password_roles"),
         F.count_if("rolsuper").alias("superuser_roles"))
     return counts.join(pivot_settings(s.settings, "password_encryption", "ssl"), SNAP, "left").select(
@@ -293,7 +295,7 @@ def authentication_summary(s: Snapshots) -> DataFrame:
 
 
 def security_metrics(s: Snapshots) -> DataFrame:
-    roles = s.roles.groupBy(*SNAP).agg(F.count_if("rolsuper").alias("superuser_count"), F.count_if(passwordless).alias("passwordless_count"))
+    roles = s.roles.groupBy(*SNAP).agg(F.count_if("rolsuper").alias("superuser_count"), F.count_if(passwordless()).alias("passwordless_count"))
     tables = s.relations.where(F.col("relkind").isin("r", "p")).groupBy(*SNAP).agg(
         F.count_if(F.col("schemaname") == "public").alias("public_schema_tables"),
         F.count_if(~F.col("rowsecurity") & matches_ci("table_name", RLS_SENSITIVE)).alias("tables_needing_rls"))

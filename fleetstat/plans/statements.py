@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import (
@@ -29,9 +29,18 @@ PERFORMANCE_CATEGORY = Ladder(
     default="NORMAL",
 )
 
-hit_percent = percent("shared_blks_hit", F.col("shared_blks_hit") + F.col("shared_blks_read")).alias("hit_percent")
-query_snippet = snippet("query").alias("query_snippet")
-mean_time = two_decimals("mean_exec_time").alias("mean_time_ms")
+def hit_percent() -> Column:
+    return percent("shared_blks_hit", F.col("shared_blks_hit") + F.col("shared_blks_read")).alias("hit_percent")
+
+
+def query_snippet() -> Column:
+    return snippet("query").alias("query_snippet")
+
+
+def mean_time() -> Column:
+    return two_decimals("mean_exec_time").alias("mean_time_ms")
+
+
 
 
 def _desc(*names: str):
@@ -57,21 +66,21 @@ def top_by_total_time(s: Snapshots, k: int = 20) -> DataFrame:
     shared = with_total(best, s.statements, _total=F.sum(micro_units("total_exec_time")))
     return shared.select(
         *SNAP, "queryid", "calls",
-        two_decimals("total_exec_time").alias("total_time_ms"), mean_time,
+        two_decimals("total_exec_time").alias("total_time_ms"), mean_time(),
         two_decimals("stddev_exec_time").alias("stddev_time_ms"),
         percent(micro_units("total_exec_time"), "_total").alias("percent_total_time"),
-        "rows", hit_percent, query_snippet,
+        "rows", hit_percent(), query_snippet(),
     )
 
 
 @report("QP3", order="mean_time_ms desc, queryid")
 def slowest_by_mean(s: Snapshots, min_calls: int = 5, k: int = 20) -> DataFrame:
     return top_k(s.statements.where(F.col("calls") > min_calls), k, *_desc("mean_exec_time")).select(
-        *SNAP, "queryid", "calls", mean_time,
+        *SNAP, "queryid", "calls", mean_time(),
         two_decimals("max_exec_time").alias("max_time_ms"),
         two_decimals("min_exec_time").alias("min_time_ms"),
         two_decimals("stddev_exec_time").alias("stddev_time_ms"),
-        "rows", ratio("rows", F.greatest("calls", F.lit(1))).alias("avg_rows_per_call"), query_snippet,
+        "rows", ratio("rows", F.greatest("calls", F.lit(1))).alias("avg_rows_per_call"), query_snippet(),
     )
 
 
@@ -80,9 +89,9 @@ def most_called(s: Snapshots, k: int = 20) -> DataFrame:
     best = top_k(s.statements, k, *_desc("calls"))
     return with_total(best, s.statements, _total=F.sum("calls")).select(
         *SNAP, "queryid", "calls",
-        two_decimals("total_exec_time").alias("total_time_ms"), mean_time,
+        two_decimals("total_exec_time").alias("total_time_ms"), mean_time(),
         percent("calls", "_total").alias("percent_total_calls"),
-        "rows", hit_percent, query_snippet,
+        "rows", hit_percent(), query_snippet(),
     )
 
 
@@ -90,10 +99,10 @@ def most_called(s: Snapshots, k: int = 20) -> DataFrame:
 def poor_cache_hit(s: Snapshots, min_blocks: int = 1000, k: int = 20) -> DataFrame:
     blocks = s.statements.withColumn("total_blocks", F.col("shared_blks_read") + F.col("shared_blks_hit"))
     busy = blocks.where((F.col("total_blocks") > min_blocks) & (F.col("shared_blks_read") > 0))
-    ranked = busy.withColumn("hit_percent", hit_percent)
+    ranked = busy.withColumn("hit_percent", hit_percent())
     return top_k(ranked, k, F.col("hit_percent").asc_nulls_last(), *_desc("total_blocks")).select(
-        *SNAP, "queryid", "calls", "shared_blks_read", "shared_blks_hit", "hit_percent", mean_time,
-        "total_blocks", query_snippet,
+        *SNAP, "queryid", "calls", "shared_blks_read", "shared_blks_hit", "hit_percent", mean_time(),
+        "total_blocks", query_snippet(),
     )
 
 
@@ -104,7 +113,7 @@ def io_intensive(s: Snapshots, min_blocks: int = 10_000, k: int = 15) -> DataFra
     busy = s.statements.withColumn("_moved", moved).where(F.col("_moved") > min_blocks)
     return top_k(busy, k, *_desc("_moved")).select(
         *SNAP, "queryid", "calls", "shared_blks_read", "shared_blks_written", "shared_blks_dirtied",
-        "local_blks_read", "local_blks_written", "temp_blks_read", "temp_blks_written", mean_time, query_snippet,
+        "local_blks_read", "local_blks_written", "temp_blks_read", "temp_blks_written", mean_time(), query_snippet(),
     )
 
 
@@ -113,7 +122,7 @@ def temp_spill(s: Snapshots, k: int = 15) -> DataFrame:
     return top_k(s.statements.where(F.col("temp_blks_written") > 0), k, *_desc("temp_blks_written")).select(
         *SNAP, "queryid", "calls", "temp_blks_read", "temp_blks_written",
         ratio(F.col("temp_blks_written") * BLOCK, F.lit(1024**2)).alias("temp_mb_written"),
-        mean_time, "rows", query_snippet,
+        mean_time(), "rows", query_snippet(),
     )
 
 
@@ -123,11 +132,11 @@ def high_variance(s: Snapshots, min_calls: int = 10, min_mean: float = 100, k: i
         (F.col("calls") > min_calls) & (F.col("stddev_exec_time") > 0) & (F.col("mean_exec_time") > min_mean)
     ).withColumn("_cv", coefficient_of_variation("stddev_exec_time", "mean_exec_time"))
     return top_k(noisy, k, *_desc("_cv")).select(
-        *SNAP, "queryid", "calls", mean_time,
+        *SNAP, "queryid", "calls", mean_time(),
         two_decimals("stddev_exec_time").alias("stddev_time_ms"),
         two_decimals("max_exec_time").alias("max_time_ms"),
         two_decimals("min_exec_time").alias("min_time_ms"),
-        two_decimals("_cv").alias("coefficient_of_variation"), query_snippet,
+        two_decimals("_cv").alias("coefficient_of_variation"), query_snippet(),
     )
 
 
@@ -137,7 +146,7 @@ def wal_heavy(s: Snapshots, k: int = 15) -> DataFrame:
         *SNAP, "queryid", "calls", "wal_records", "wal_fpi", "wal_bytes",
         ratio("wal_bytes", F.lit(1024**2)).alias("wal_mb"),
         ratio("wal_bytes", F.greatest("calls", F.lit(1)) * 1024).alias("avg_wal_kb_per_call"),
-        mean_time, query_snippet,
+        mean_time(), query_snippet(),
     )
 
 
@@ -149,7 +158,7 @@ def jit_cost(s: Snapshots, k: int = 10) -> DataFrame:
     return top_k(compiled, k, *_desc("_spent")).select(
         *SNAP, "queryid", "calls", "jit_functions", "jit_generation_time", "jit_inlining_count", "jit_inlining_time",
         "jit_optimization_count", "jit_optimization_time", "jit_emission_count", "jit_emission_time",
-        mean_time, snippet("query", 100).alias("query_snippet"),
+        mean_time(), snippet("query", 100).alias("query_snippet"),
     )
 
 
@@ -175,7 +184,7 @@ def degradation_candidates(s: Snapshots, min_calls: int = 50, min_mean: float =
         "total_blocks", F.col("shared_blks_read") + F.col("shared_blks_hit"))
     ranked = slow.withColumn("_rank", PERFORMANCE_CATEGORY.rank())
     return top_k(ranked, k, F.col("_rank").asc_nulls_last(), *_desc("mean_exec_time")).select(
-        *SNAP, "queryid", "calls", mean_time,
+        *SNAP, "queryid", "calls", mean_time(),
         two_decimals("stddev_exec_time").alias("stddev_time_ms"), "total_blocks",
-        PERFORMANCE_CATEGORY.column().alias("performance_category"), query_snippet,
+        PERFORMANCE_CATEGORY.column().alias("performance_category"), query_snippet(),
     )

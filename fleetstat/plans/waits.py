@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import SNAP, Ladder, age_seconds, older_than, snippet, two_decimals
+from fleetstat.functions import SNAP, Ladder, age_seconds, older_than, snippet, two_decimals, n_rows
 from fleetstat.operators.joins import blocking_pairs
 from fleetstat.operators.ranking import count_share, top_k
 from fleetstat.plans.registry import report
@@ -54,8 +54,10 @@ WAIT_SUGGESTION = Ladder.lookup("wait_event", {
 }, None)
 ADVICE_HEADER = "TUNING SUGGESTIONS BASED ON CURRENT WAITS:"
 
-waiting = F.col("wait_event").isNotNull()
-n_rows = F.count(F.lit(1))
+def waiting() -> Column:
+    return F.col("wait_event").isNotNull()
+
+
 
 
 def exclude_self(activity: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def exclude_self(activity: DataFrame) -> DataFrame:
 
 @report("WE1", order="waiting_processes desc")
 def wait_summary(s: Snapshots) -> DataFrame:
-    active = s.activity.where(waiting & (F.col("state") == "active"))
+    active = s.activity.where(waiting() & (F.col("state") == "active"))
     return count_share(active, ["wait_event_type", "wait_event"], "waiting_processes", "percentage")
 
 
@@ -84,8 +86,8 @@ def lock_waits(s: Snapshots, require_granted: bool = False) -> DataFrame:
 
 @report("WE3", order="processes desc")
 def io_waits(s: Snapshots) -> DataFrame:
-    io = s.activity.where((F.col("wait_event_type") == "IO") & waiting)
-    return io.groupBy(*SNAP, "wait_event_type", "wait_event").agg(n_rows.alias("processes")).withColumn(
+    io = s.activity.where((F.col("wait_event_type") == "IO") & waiting())
+    return io.groupBy(*SNAP, "wait_event_type", "wait_event").agg(n_rows().alias("processes")).withColumn(
         "description", IO_EVENT.column())
 
 
@@ -118,11 +120,11 @@ def slow_statements(s: Snapshots, min_mean_ms: float = 1000, k: int = 10) -> Dat
 @report("WE7", order="total_connections desc")
 def pool_by_application(s: Snapshots) -> DataFrame:
     return s.activity.where(F.col("application_name").isNotNull()).groupBy(*SNAP, "application_name").agg(
-        n_rows.alias("total_connections"),
+        n_rows().alias("total_connections"),
         F.count_if(F.col("state") == "active").alias("active_connections"),
         F.count_if(F.col("state") == "idle").alias("idle_connections"),
         F.count_if(F.col("state") == "idle in transaction").alias("idle_in_transaction"),
-        F.count_if(waiting).alias("waiting_connections"),
+        F.count_if(waiting()).alias("waiting_connections"),
         F.round(F.avg(age_seconds("query_start"))).alias("avg_query_duration_seconds"),
     )
 
@@ -130,15 +132,15 @@ def pool_by_application(s: Snapshots) -> DataFrame:
 @report("WE8", order="processes desc")
 def wal_checkpoint_waits(s: Snapshots) -> DataFrame:
     writes = s.activity.where(F.col("wait_event").isin(*WAL_EVENTS))
-    return writes.groupBy(*SNAP, "wait_event").agg(n_rows.alias("processes")).withColumn(
+    return writes.groupBy(*SNAP, "wait_event").agg(n_rows().alias("processes")).withColumn(
         "description", F.coalesce(WAL_EVENT.column(), "wait_event"))
 
 
 @report("WE9", order="processes desc")
 def background_workers(s: Snapshots) -> DataFrame:
     return s.activity.where(F.col("backend_type") != "client backend").groupBy(*SNAP, "backend_type").agg(
-        n_rows.alias("processes"),
-        F.count_if(waiting).alias("waiting_processes"),
+        n_rows().alias("processes"),
+        F.count_if(waiting()).alias("waiting_processes"),
         # Distinct event names: a short list whatever the number of sessions.
         F.array_join(F.sort_array(F.collect_set("wait_event")), ", ").alias("wait_events"),
     )
@@ -147,8 +149,8 @@ def background_workers(s: Snapshots) -> DataFrame:
 @report("WE10")
 def wait_advice(s: Snapshots, min_processes: int = 1) -> DataFrame:
     """A heading per snapshot, then one line per kind of wait seen more than ``min_processes`` times."""
-    waits = s.activity.where(waiting & (F.col("state") == "active")).groupBy(
-        *SNAP, "wait_event_type", "wait_event").agg(n_rows.alias("processes"))
+    waits = s.activity.where(waiting() & (F.col("state") == "active")).groupBy(
+        *SNAP, "wait_event_type", "wait_event").agg(n_rows().alias("processes"))
     lines = waits.where(F.col("processes") > min_processes).select(
         *SNAP,
         F.coalesce(WAIT_ISSUE.column(), F.concat("wait_event_type", F.lit(" Wait Detected"))).alias("analysis"),

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstat.functions import percent
+from fleetstat.functions import percent, n_rows
 
 LATENESS = "2 minutes"
-n_rows = F.count(F.lit(1))
 
 
 def _late(df: DataFrame, lateness: str) -> DataFrame:
@@ -34,7 +33,7 @@ def activity_over_time(df: DataFrame, window: str = "1 minute", lateness: str =
     """Sessions, active, idle and autovacuum sessions per server and window."""
     state = F.col("state")
     return _late(df, lateness).groupBy(F.window("snap_ts", window), "server_id").agg(
-        n_rows.alias("total"), F.count_if(state == "active").alias("active"), F.count_if(state == "idle").alias("idle"),
+        n_rows().alias("total"), F.count_if(state == "active").alias("active"), F.count_if(state == "idle").alias("idle"),
         F.count_if(F.col("query").like("autovacuum:%")).alias("autovacuum_processes"),
     ).select(*_bounds(), "server_id", "total", "active", "idle", "autovacuum_processes")
 
@@ -95,7 +94,7 @@ def sustained_alerts(breaches: DataFrame, gap: str = "1 minute", lateness: str =
     """
     keys = ["server_id", "metric", "object", "severity", "for_seconds"]
     sessions = _late(breaches, lateness).groupBy(F.session_window("snap_ts", gap), *keys).agg(
-        n_rows.alias("samples"), F.max("value").alias("worst_value"),
+        n_rows().alias("samples"), F.max("value").alias("worst_value"),
         F.min("snap_ts").alias("first_breach"), F.max("snap_ts").alias("last_breach"))
     lasted = (F.unix_micros("last_breach") - F.unix_micros("first_breach")) / 1_000_000
     return sessions.where(lasted >= F.col("for_seconds")).select(
@@ -106,7 +105,7 @@ def blocking_episodes(pairs: DataFrame, gap: str = "1 minute", lateness: str = L
     """The same blocked and blocking session over consecutive scrapes, as one episode."""
     keys = ["server_id", "blocked_pid", "blocking_pid"]
     sessions = _late(pairs, lateness).groupBy(F.session_window("snap_ts", gap), *keys).agg(
-        n_rows.alias("scrapes"), F.min("snap_ts").alias("first_seen"), F.max("snap_ts").alias("last_seen"))
+        n_rows().alias("scrapes"), F.min("snap_ts").alias("first_seen"), F.max("snap_ts").alias("last_seen"))
     return sessions.select(
         *keys, "first_seen", "last_seen", "scrapes",
         ((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1_000_000).alias("lasted_seconds"))

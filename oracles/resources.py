@@ -1,5 +1,5 @@
 from fleetstat.plans import resources as R
-from oracles.sqltext import NOW, clock, pct, pretty, top, unit_bytes
+from oracles.sqltext import clock, pct, pretty, top, unit_bytes
 
 DEAD = pct("n_dead_tup", "(n_live_tup + n_dead_tup)")
 FULL = "schemaname || '.' || table_name AS table_name"
