@@ -33,7 +33,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column) -> DataFrame:
-    """All (left, right) rows equal on ``keys`` with NULL equal to NULL, as aliases l and r.
+    """All (left, right) rows equal on ``keys``, as aliases l and r.
 
     Rows of a hot key are spread over a GRID x GRID square: a left row takes one
     line of it and a right row one column, so every pair meets in exactly one
@@ -43,15 +43,26 @@ def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: Co
     hot = F.broadcast(hot_keys(right, keys))
 
     def spread(df: DataFrame, row_id: Column, line: str, column: str) -> DataFrame:
-        marked = df.alias("d").join(hot.alias("h"), null_safe("d", "h", keys), "left").select("d.*", "_hot")
+        marked = df.join(hot, keys, "left")
         own = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(GRID)).cast("int")).otherwise(F.lit(0))
         others = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0)))
         return marked.withColumn(line, own).withColumn(column, F.explode(others)).drop("_hot")
 
     l = spread(left, left_id, "_line", "_column").alias("l")
     r = spread(right, right_id, "_column", "_line").alias("r")
-    cell = (F.col("l._line") == F.col("r._line")) & (F.col("l._column") == F.col("r._column"))
-    return l.join(r, null_safe("l", "r", keys) & cell)
+    same = reduce(and_, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_line", "_column"]])
+    return l.join(r, same)
+
+
+def locked_objects(locks: DataFrame, activity: DataFrame, keys: int, *session: str) -> DataFrame:
+    """Locks with columns of their session and a digest of the locked object.
+
+    Joins run on the digest, one number instead of ten nullable columns; the
+    columns themselves are compared afterwards, NULL being equal to NULL.
+    """
+    named = locks.select(*SNAP, "pid", *LOCK_OBJECT, "mode", "granted")
+    return named.join(activity.select(*SNAP, "pid", *session), [*SNAP, "pid"]).withColumn(
+        "_object", F.xxhash64(*LOCK_OBJECT[:keys]))
 
 
 def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, require_granted: bool = False) -> DataFrame:
@@ -62,15 +73,13 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, requir
     The result is as large as waiters x holders of each object: that list is
     what the report is, and the pairing spreads a hot object over many tasks.
     """
-    on = [*SNAP, *LOCK_OBJECT[:keys]]
-    session = activity.select(
-        *SNAP, "pid", "usename", "query", "query_start", "wait_event", "wait_event_type", "application_name", "state")
-    held = locks.select(*SNAP, "pid", *LOCK_OBJECT, "mode", "granted").join(session, [*SNAP, "pid"])
+    held = locked_objects(
+        locks, activity, keys, "usename", "query", "query_start", "wait_event", "wait_event_type", "application_name", "state")
     waiting = held.where(~F.col("granted"))
     others = held.where(F.col("granted")) if require_granted else held
-    row_id = F.struct("pid", "mode", *LOCK_OBJECT)
-    pairs = salted_pairs(waiting, others, on, row_id, row_id)
-    return pairs.where(F.col("l.pid") != F.col("r.pid"))
+    row_id = F.struct("pid", "mode")
+    pairs = salted_pairs(waiting, others, [*SNAP, "_object"], row_id, row_id)
+    return pairs.where(null_safe("l", "r", LOCK_OBJECT[:keys]) & (F.col("l.pid") != F.col("r.pid")))
 
 
 def blocked_sessions(locks: DataFrame, activity: DataFrame, keys: int = 10) -> DataFrame:
@@ -79,12 +88,11 @@ def blocked_sessions(locks: DataFrame, activity: DataFrame, keys: int = 10) -> D
     The lowest and highest process of each object tell whether another one is
     there, so the work stays linear in the number of locks.
     """
-    on = [*SNAP, *LOCK_OBJECT[:keys]]
-    held = locks.select(*SNAP, "pid", *LOCK_OBJECT, "granted").join(
-        activity.select(*SNAP, "pid", "query_start"), [*SNAP, "pid"])
-    ends = held.groupBy(*on).agg(F.min("pid").alias("_low"), F.max("pid").alias("_high"))
-    waiting = held.where(~F.col("granted"))
-    met = waiting.alias("l").join(ends.alias("r"), null_safe("l", "r", on))
+    held = locked_objects(locks, activity, keys, "query_start")
+    ends = held.groupBy(*SNAP, "_object", *LOCK_OBJECT[:keys]).agg(F.min("pid").alias("_low"), F.max("pid").alias("_high"))
+    on = [*SNAP, "_object"]
+    met = held.where(~F.col("granted")).alias("l").join(
+        ends.alias("r"), reduce(and_, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]) & null_safe("l", "r", LOCK_OBJECT[:keys]))
     return met.where((F.col("_low") != F.col("l.pid")) | (F.col("_high") != F.col("l.pid"))).select("l.*")
 
 

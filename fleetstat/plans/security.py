@@ -180,13 +180,13 @@ def _holders(s: Snapshots, kind: str, owners: DataFrame, flags: dict[str, str])
         F.bool_or("is_owner").alias("is_owner"),
         *[F.coalesce(F.bool_or(F.col("privilege") == p), F.lit(False)).alias(flag) for flag, p in flags.items()])
     logins = named_roles(s).where("rolcanlogin").select(*SNAP, F.col("rolname").alias("role_name"), F.col("rolsuper").alias("is_super"))
-    mine = held.join(logins, [*SNAP, "role_name"])
-    public = held.where(F.col("role_name") == "PUBLIC").withColumn("is_super", F.lit(False))
+    known = held.join(logins, [*SNAP, "role_name"], "left")
+    plain = known.where((F.col("role_name") == "PUBLIC") | ~F.col("is_super")).withColumn("is_super", F.lit(False))
     supers = logins.where("is_super").select(
         *SNAP, "role_name", F.lit(ALL_OBJECTS).alias("object"), F.lit(False).alias("is_owner"),
         *[F.lit(True).alias(flag) for flag in flags], "is_super")
     # A superuser is reported once, for all objects.
-    return mine.where(~F.col("is_super")).unionByName(public).unionByName(supers)
+    return plain.unionByName(supers)
 
 
 def expand_public(holders: DataFrame, roles: DataFrame, objects: DataFrame) -> DataFrame:
