@@ -15,7 +15,10 @@ LATENESS = "2 minutes"
 
 
 def _late(df: DataFrame, lateness: str) -> DataFrame:
-    return df.withWatermark("snap_ts", lateness) if df.isStreaming else df
+    """Set the watermark of a stream that has none yet; it may be set only once."""
+    if not df.isStreaming or "spark.watermarkDelayMs" in df.schema["snap_ts"].metadata:
+        return df
+    return df.withWatermark("snap_ts", lateness)
 
 
 def _bounds(window: str = "window") -> list[Column]:

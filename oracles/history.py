@@ -23,7 +23,7 @@ BREACHES = "(" + " UNION ALL ".join(
 def sessions(source: str, keys: str, gap: int, extra: str, outer: str) -> str:
     """Gaps-and-islands: a new session starts when the gap to the previous row reaches the limit."""
     return f"""SELECT {keys}, {outer} FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY snap_ts ROWS UNBOUNDED PRECEDING) AS island
-        FROM (SELECT *, CASE WHEN epoch_us(snap_ts) - lag(epoch_us(snap_ts)) OVER (PARTITION BY {keys} ORDER BY snap_ts) < {gap}::BIGINT * 1000000 THEN 0 ELSE 1 END AS fresh
+        FROM (SELECT *, CASE WHEN epoch_us(snap_ts) - lag(epoch_us(snap_ts)) OVER (PARTITION BY {keys} ORDER BY snap_ts) <= {gap}::BIGINT * 1000000 THEN 0 ELSE 1 END AS fresh
               FROM {source}) f) g GROUP BY {keys}, island {extra}"""
 
 
