@@ -32,15 +32,15 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.where(F.col("_n") * HOT_LIMIT > total.scalar()).select(*keys, F.lit(True).alias("_hot"))
 
 
-def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column) -> DataFrame:
-    """All (left, right) rows equal on ``keys``, as aliases l and r.
+def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, left_id: Column, right_id: Column) -> DataFrame:
+    """All (left, right) rows equal on ``keys``, as aliases l and r. ``hot`` comes from ``hot_keys``.
 
     Rows of a hot key are spread over a GRID x GRID square: a left row takes one
     line of it and a right row one column, so every pair meets in exactly one
     cell and no cell sees more than 1/GRID of either side. Cell numbers come
     from row content, so a re-run task repeats them.
     """
-    hot = F.broadcast(hot_keys(right, keys))
+    hot = F.broadcast(hot)
 
     def spread(df: DataFrame, row_id: Column, line: str, column: str) -> DataFrame:
         marked = df.join(hot, keys, "left")
@@ -54,15 +54,18 @@ def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: Co
     return l.join(r, same)
 
 
+def with_object(locks: DataFrame, keys: int) -> DataFrame:
+    return locks.withColumn("_object", F.xxhash64(*LOCK_OBJECT[:keys]))
+
+
 def locked_objects(locks: DataFrame, activity: DataFrame, keys: int, *session: str) -> DataFrame:
     """Locks with columns of their session and a digest of the locked object.
 
     Joins run on the digest, one number instead of ten nullable columns; the
     columns themselves are compared afterwards, NULL being equal to NULL.
     """
-    named = locks.select(*SNAP, "pid", *LOCK_OBJECT, "mode", "granted")
-    return named.join(activity.select(*SNAP, "pid", *session), [*SNAP, "pid"]).withColumn(
-        "_object", F.xxhash64(*LOCK_OBJECT[:keys]))
+    named = with_object(locks, keys).select(*SNAP, "pid", *LOCK_OBJECT, "mode", "granted", "_object")
+    return named.join(activity.select(*SNAP, "pid", *session), [*SNAP, "pid"])
 
 
 def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, require_granted: bool = False) -> DataFrame:
@@ -78,7 +81,10 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, requir
     waiting = held.where(~F.col("granted"))
     others = held.where(F.col("granted")) if require_granted else held
     row_id = F.struct("pid", "mode")
-    pairs = salted_pairs(waiting, others, [*SNAP, "_object"], row_id, row_id)
+    on = [*SNAP, "_object"]
+    # Counted on the locks alone: the sessions could only make an object less hot.
+    hot = hot_keys(with_object(locks, keys).select(*on), on)
+    pairs = salted_pairs(waiting, others, on, hot, row_id, row_id)
     return pairs.where(null_safe("l", "r", LOCK_OBJECT[:keys]) & (F.col("l.pid") != F.col("r.pid")))
 
 

@@ -66,6 +66,10 @@ ISSUES = [
 ]
 ISSUE_TYPE = Ladder(*[(p, label) for p, label, _ in ISSUES], default="OK")
 ISSUE_ADVICE = Ladder(*[(p, text) for p, _, text in ISSUES], default="Statistics appear adequate")
+ADVICE_TITLES = {
+    "immediate": "IMMEDIATE STATISTICS ACTIONS:", "regular": "REGULAR STATISTICS MAINTENANCE:",
+    "tuning": "STATISTICS TARGET TUNING:", "configuration": "CONFIGURATION RECOMMENDATION:",
+}
 STATISTICS_KIND = Ladder.lookup("first_kind", {
     "d": "n-distinct", "f": "functional dependencies", "m": "most common values"}, "unknown")
 
@@ -169,7 +173,7 @@ def statistics_advice(s: Snapshots) -> DataFrame:
         *SNAP, as_number("default_statistics_target").alias("target"))
     summary = tables.join(columns, SNAP, "left").join(target, SNAP, "left").fillna(0, ["weak"])
     return advice_rows(
-        summary, "recommendation",
+        summary, "recommendation", ADVICE_TITLES,
         immediate=F.when(F.col("never") > 0, F.format_string("ANALYZE %d tables that have never been analyzed", "never"))
         .otherwise("All tables have been analyzed at least once"),
         regular=F.when(F.col("stale") > 0, F.format_string("Update statistics on %d large tables with stale statistics", "stale"))

@@ -106,6 +106,10 @@ EXTENSION_USE = Ladder.lookup("extname", {
     "pg_stat_statements": "Query performance monitoring", "pg_buffercache": "Buffer cache inspection",
     "pgstattuple": "Tuple statistics", "auto_explain": "Automatic query plan logging", "pg_prewarm": "Buffer prewarming",
     "pg_hint_plan": "Query plan hinting"}, "See PostgreSQL documentation")
+ADVICE_TITLES = {
+    "memory": "MEMORY RECOMMENDATIONS:", "connection": "CONNECTION RECOMMENDATIONS:", "durability": "DURABILITY RECOMMENDATIONS:",
+    "maintenance": "MAINTENANCE RECOMMENDATIONS:", "monitoring": "MONITORING RECOMMENDATIONS:",
+}
 DURABILITY_ADVICE = Ladder(
     ("fsync = 'off'", "CRITICAL: fsync is OFF - data loss risk! Enable immediately"), default="fsync properly enabled for data safety")
 MAINTENANCE_ADVICE = Ladder(
@@ -205,7 +209,7 @@ def configuration_advice(s: Snapshots) -> DataFrame:
         "buffers", setting_bytes("shared_buffers", "shared_buffers_unit")).withColumn("connections", as_number("max_connections"))
     size, n = pretty_bytes("buffers"), F.col("connections")
     return advice_rows(
-        facts, "recommendation",
+        facts, "recommendation", ADVICE_TITLES,
         memory=F.when(F.col("buffers") < 128 * MB, F.format_string("shared_buffers too low - recommend 25%% of RAM (current: %s)", size))
         .when(F.col("buffers") > 8 * GB, F.format_string("shared_buffers very high - may cause performance issues (current: %s)", size))
         .otherwise("shared_buffers appears reasonable"),

@@ -9,7 +9,7 @@ from fleetstat.functions import (
     SNAP, Ladder, any_of, fillfactor_of, is_monitoring_query, normalise_parameters, percent, pretty_bytes, qualified,
     two_decimals, utc_text, whole_quotient,
 )
-from fleetstat.operators.ranking import top_k
+from fleetstat.operators.ranking import bounded_lists, top_k
 from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
@@ -42,6 +42,7 @@ INDEX_SUMMARY = Ladder(
 )
 HOT_RISK = Ladder(("hot_update_percent < 30", "high"), ("hot_update_percent < 50", "medium"), default="info")
 MISSING = "MISSING: No index found on foreign key column"
+INDEX_KEY = [*SNAP, "schemaname", "table_name", "indkey"]
 MIN_UPDATES, LOW_HOT, CRITICAL_HOT = 100, 50.0, 30.0
 
 
@@ -154,10 +155,16 @@ def index_summary(s: Snapshots) -> DataFrame:
 
 @report("A9", order="table_name")
 def duplicate_indexes(s: Snapshots) -> DataFrame:
-    """Indexes of one table over the same columns. A group is bounded by the indexes of that table."""
-    return s.index_stats.groupBy(*SNAP, "schemaname", "table_name", "indkey").agg(
-        F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_list("index_name")).alias("dup_indexes"),
-    ).where(F.col("copies") > 1)
+    """Indexes of one table over the same columns: how many, and their names unless there are too many to gather."""
+    groups = bounded_lists(s.index_stats, INDEX_KEY, "index_name", "dup_indexes").where(F.col("dup_indexes_count") > 1)
+    return groups.select(*INDEX_KEY, F.col("dup_indexes_count").alias("copies"), "dup_indexes")
+
+
+@report("A9L", order="table_name, index_name")
+def duplicate_index_members(s: Snapshots) -> DataFrame:
+    """Every index that has a duplicate, in long form and complete for groups of any size."""
+    groups = s.index_stats.groupBy(*INDEX_KEY).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    return s.index_stats.select(*INDEX_KEY, "index_name", "index_size").join(groups, INDEX_KEY)
 
 
 # --- update efficiency -----------------------------------------------------------

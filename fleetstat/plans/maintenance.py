@@ -54,6 +54,10 @@ URGENCY = Ladder(
     ("tables_need_vacuum > 0", "LOW - Regular maintenance sufficient"),
     default="MINIMAL - System healthy",
 )
+ADVICE_TITLES = {
+    "immediate": "IMMEDIATE ACTIONS RECOMMENDED:", "regular": "REGULAR MAINTENANCE:",
+    "statistics": "STATISTICS UPDATES:", "autovacuum": "AUTOVACUUM STATUS:",
+}
 AUTOVACUUM_EFFECT = Ladder(
     ("last_autovacuum IS NULL AND n_dead_tup > 10000", "AUTOVACUUM_NOT_RUNNING"),
     ("last_autovacuum < snap_ts - INTERVAL '7' DAY AND n_dead_tup > 0.2 * n_live_tup", "AUTOVACUUM_INSUFFICIENT"),
@@ -154,7 +158,7 @@ def maintenance_advice(s: Snapshots) -> DataFrame:
     summary = counts.join(pivot_settings(s.settings, "autovacuum_max_workers", "autovacuum"), SNAP, "left").withColumn(
         "workers", as_number("autovacuum_max_workers"))
     return advice_rows(
-        summary, "recommendation",
+        summary, "recommendation", ADVICE_TITLES,
         immediate=F.when(F.col("urgent") > 0, F.format_string("Run VACUUM on %d tables with >20%% dead tuples immediately", "urgent"))
         .otherwise("No urgent VACUUM operations needed"),
         regular=F.when(F.col("vacuum") > 0, F.format_string("Schedule VACUUM for %d tables during maintenance window", "vacuum"))

@@ -107,9 +107,9 @@ def dead_percent() -> Column:
     return percent("n_dead_tup", F.col("n_live_tup") + F.col("n_dead_tup"))
 
 
-def advice_rows(df: DataFrame, name: str, **lines: Column) -> DataFrame:
+def advice_rows(df: DataFrame, name: str, titles: dict[str, str], **lines: Column) -> DataFrame:
     """One summary row per snapshot to one row per advice line; the summary is computed once."""
-    records = [F.struct(F.lit(title).alias("category"), text.alias(name)) for title, text in lines.items()]
+    records = [F.struct(F.lit(titles.get(key, key)).alias("category"), text.alias(name)) for key, text in lines.items()]
     return df.select(*SNAP, F.inline(F.array(*records)))
 
 
@@ -236,7 +236,7 @@ def resource_advice(s: Snapshots) -> DataFrame:
     summary = (
         sessions.join(blocks, SNAP, "left").join(limit, SNAP, "left")
         .join(s.bgwriter.select(*SNAP, "checkpoints_req", "checkpoints_timed"), SNAP, "left"))
-    return advice_rows(summary, "analysis", connections=CONNECTION_ADVICE.column(), cache=CACHE_ADVICE.column(),
+    return advice_rows(summary, "analysis", {}, connections=CONNECTION_ADVICE.column(), cache=CACHE_ADVICE.column(),
                        checkpoints=CHECKPOINT_ADVICE.column())
 
 

@@ -160,7 +160,7 @@ def effective_privileges(s: Snapshots, kind: str) -> DataFrame:
     """(role, object, privilege) held directly or through memberships; PUBLIC stays a grantee of its own.
 
     A grant to PUBLIC or a superuser's power reaches every role or object alike,
-    so it is one row rather than one per pair; ``expand_public`` spells it out.
+    so it is one row rather than one per pair; ``rights_of`` collects what one role may do.
     """
     direct = s.grants.where(F.col("object_kind") == kind).select(*SNAP, F.col("grantee").alias("role_name"), "object", "privilege").distinct()
     names = s.roles.select(*SNAP, "oid", "rolname")
@@ -189,18 +189,9 @@ def _holders(s: Snapshots, kind: str, owners: DataFrame, flags: dict[str, str])
     return plain.unionByName(supers)
 
 
-def expand_public(holders: DataFrame, roles: DataFrame, objects: DataFrame) -> DataFrame:
-    """Repeat PUBLIC rows for every login role and superuser rows for every object of the server.
-
-    For a look at one server: the result holds every pair. Reports do not use it.
-    """
-    logins = roles.where("rolcanlogin").select(*SNAP, F.col("rolname").alias("role_name"))
-    plain = holders.where((F.col("role_name") != "PUBLIC") & (F.col("object") != ALL_OBJECTS))
-    public = holders.where(F.col("role_name") == "PUBLIC").drop("role_name").join(logins, SNAP)
-    supers = holders.where(F.col("object") == ALL_OBJECTS).drop("object").join(objects.select(*SNAP, "object"), SNAP)
-    merged = plain.unionByName(public).unionByName(supers)
-    flags = [c for c in merged.columns if c not in (*SNAP, "role_name", "object")]
-    return merged.groupBy(*SNAP, "role_name", "object").agg(*[F.bool_or(c).alias(c) for c in flags])
+def rights_of(access: DataFrame, role: str) -> DataFrame:
+    """Rows of an access report that apply to one role: its own, everybody's, and a superuser's row for all objects."""
+    return access.where(F.col("role_name").isin(role, "PUBLIC"))
 
 
 def _owner_names(s: Snapshots, objects: DataFrame, owner: str, object: str) -> DataFrame:
@@ -251,15 +242,16 @@ def table_access(s: Snapshots) -> DataFrame:
     flags = {f"can_{p.lower()}": p for p in TABLE_PRIVILEGES}
     held = _holders(s, "table", owners, flags).where(
         "is_owner OR can_select OR can_insert OR can_update OR can_delete OR is_super")
-    facts = tables.select(*SNAP, "object", qualified().alias("full_name"), F.col("table_name").alias("short_name"),
-                          "owner", "n_live_tup", "total_relation_size")
+    # What depends on the table alone is worked out once per table, before it meets its many roles.
+    facts = tables.withColumn("is_sensitive", matches_ci("table_name", SENSITIVE)).withColumn("estimated_rows", F.col("n_live_tup")).select(
+        *SNAP, "object", qualified().alias("full_name"), "owner", "estimated_rows",
+        pretty_bytes("total_relation_size").alias("table_size"), SENSITIVITY.column().alias("data_sensitivity"))
     known = held.join(facts, [*SNAP, "object"], "left").where(F.col("full_name").isNotNull() | (F.col("object") == ALL_OBJECTS))
     words = F.concat(*[F.when(F.col(flag), p + " ").otherwise("") for flag, p in flags.items()])
-    return known.withColumn("is_sensitive", F.coalesce(matches_ci("short_name", SENSITIVE), F.lit(False))).withColumn(
-        "estimated_rows", F.col("n_live_tup")).select(
+    return known.select(
         *SNAP, F.coalesce("full_name", "object").alias("table_name"), F.col("owner").alias("table_owner"), "role_name",
-        words.alias("table_privileges"), pretty_bytes("total_relation_size").alias("table_size"), "estimated_rows",
-        SENSITIVITY.column().alias("data_sensitivity"), TABLE_RISK.column().alias("risk_assessment"))
+        words.alias("table_privileges"), "table_size", "estimated_rows",
+        F.coalesce("data_sensitivity", F.lit(SENSITIVITY.default)).alias("data_sensitivity"), TABLE_RISK.column().alias("risk_assessment"))
 
 
 @report("PA6", order="schema_name, function_name")

@@ -41,7 +41,7 @@ def profile(table: str) -> str:
 
 
 def line(category: str, text: str) -> str:
-    return f"SELECT server_id, '{category}' AS category, {text} AS recommendation FROM {SUMMARY}"
+    return f"SELECT server_id, '{C.ADVICE_TITLES[category]}' AS category, {text} AS recommendation FROM {SUMMARY}"
 
 
 SQL = {

@@ -28,7 +28,7 @@ TUNED = f"""(SELECT server_id, workload, greatest(4, least(512, ram_mb // {pick(
 
 
 def line(category: str, text: str) -> str:
-    return f"SELECT server_id, '{category}' AS category, {text} AS recommendation FROM {FACTS}"
+    return f"SELECT server_id, '{C.ADVICE_TITLES[category]}' AS category, {text} AS recommendation FROM {FACTS}"
 
 
 def recommended() -> str:

@@ -166,5 +166,7 @@ def test_plans_have_no_cartesian_product_and_prune_columns(spark):
         plan = registry.run(id, s)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, id
         assert "SinglePartition" not in plan, id
+    for id in ("QP2", "BL1", "TP6", "DG9"):  # top-k is cut inside every partition before the shuffle
+        assert "WindowGroupLimit" in registry.run(id, s)._jdf.queryExecution().executedPlan().toString(), id
     plan = registry.run("WE1", s)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "value" not in plan
