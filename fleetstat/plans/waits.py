@@ -78,7 +78,7 @@ def lock_waits(s: Snapshots, require_granted: bool = False) -> DataFrame:
         *[F.col(f"l.{c}") for c in SNAP],
         F.col("l.pid").alias("blocked_pid"), F.col("l.usename").alias("blocked_user"),
         F.col("r.pid").alias("blocking_pid"), F.col("r.usename").alias("blocking_user"),
-        F.col("l.query").alias("blocked_statement"), F.col("r.query").alias("blocking_statement"),
+        F.col("l.query").alias("blocked_statement"), F.col("r.query").alias("current_statement_in_blocking_process"),
         F.col("l.wait_event").alias("wait_event"), F.col("l.wait_event_type").alias("wait_event_type"),
         age_seconds("l.query_start", "l.snap_ts").alias("blocked_duration_seconds"),
     )

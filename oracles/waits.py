@@ -21,7 +21,7 @@ SQL = {
                {pct('count(*)', 'sum(count(*)) OVER (PARTITION BY server_id)')} AS percentage
         FROM activity WHERE wait_event IS NOT NULL AND state = 'active' GROUP BY server_id, wait_event_type, wait_event""",
     "we2_lock_waits": pairs(f"""w.pid AS blocked_pid, wa.usename AS blocked_user, h.pid AS blocking_pid, ha.usename AS blocking_user,
-               wa.query AS blocked_statement, ha.query AS blocking_statement, wa.wait_event, wa.wait_event_type,
+               wa.query AS blocked_statement, ha.query AS current_statement_in_blocking_process, wa.wait_event, wa.wait_event_type,
                {age_s('wa.query_start')} AS blocked_duration_seconds""", 10),
     "we3_io_waits": f"""
         SELECT server_id, wait_event_type, wait_event, count(*) AS processes, {IO_EVENT.sql()} AS description
