@@ -7,10 +7,13 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences
+from fleetstat.plans import registry
 from fleetstat.sources.fixtures import TABLES, definitions
 
 SF_DIR = os.environ.get("FLEETSTAT_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+REPORTS = {r.key for r in registry.load_all().values()}
+QUERIES = {k: q for k, q in entry.queries().items() if k in REPORTS}
+ORACLES = {k: q for k, q in entry.oracle_sql().items() if k in REPORTS}
 
 
 @pytest.fixture(scope="module")
