@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import secrets
+from fleetstat.llm import bpe, secrets
 from fleetstat.llm.common import table
 
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORDS), WORDS))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe_encoding": op2_bpe_encoding,
         "op10_secret_scans": op10_secret_scans,
     }
 
