@@ -37,6 +37,7 @@ def local_session(cores: str = "8", app: str = "fleetstat") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("FLEETSTAT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)
