@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, secrets
+from fleetstat.llm import bpe, exact, secrets, sharding
 from fleetstat.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORDS), WORDS))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), n_shards=16))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.report(exact.classes(table(spark, sf_dir, "documents")))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -25,9 +33,22 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_encoding": op2_bpe_encoding,
+        "op3_sharding": op3_sharding,
+        "op5_exact_dedup": op5_exact_dedup,
         "op10_secret_scans": op10_secret_scans,
     }
 
 
+EXACT_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM rows)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": EXACT_SQL,
+    }
