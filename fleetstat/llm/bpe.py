@@ -37,7 +37,7 @@ NONE = np.int64(1) << 60
 #: Words of more symbols get a tree of their own.
 LONG = 64
 #: Chunks and words a worker keeps; tables are emptied when they are full.
-KEPT = 400_000
+KEPT_CHUNKS, KEPT_WORDS = 200_000, 100_000
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
@@ -243,7 +243,7 @@ class Encoder:
             width *= 2
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) > KEPT:
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
         order, split = list(chunks), []
         for c in map(self.normal, order):
@@ -261,7 +261,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > KEPT:
+        if len(self.chunks) > KEPT_CHUNKS:
             self.chunks.clear()
         parted: list[list] = []
         for text in texts:
@@ -307,36 +307,52 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of every whole text."""
-    rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    schema = rows.select("doc_id", F.lit(None).cast("array<int>").alias("ids")).schema
-
+def _encode_run(path: str):
     def run(batches):
         for part, ids in encoded_batches(batches, path, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["doc_id", "ids"])
+    return run
 
-    return rows.mapInArrow(run, schema)
-
-
-def decode(df: DataFrame, path: str) -> DataFrame:
-    """Add the decoded text to rows of doc_id and ids."""
-    rows = df.select("doc_id", "ids")
-    schema = rows.select("*", F.lit(None).cast("string").alias("decoded")).schema
 
+def _decode_run(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            lists = batch.column(1)
-            sizes = [4 * (s or 0) for s in lists.value_lengths().to_pylist()]
+            sizes = [4 * (s or 0) for s in batch.column(1).value_lengths().to_pylist()]
             for start, end in slices(sizes):
                 part = batch.slice(start, end - start)
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 at = np.concatenate(([0], np.cumsum([s // 4 for s in sizes[start:end]])))
                 text = pa.array([enc.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], ["doc_id", "ids", "decoded"])
+    return run
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+
+
+def _id_type(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the ids of every whole text."""
+    rows = _texts(df, id_col, text_col)
+    return rows.mapInArrow(_encode_run(path), f"{_id_type(rows)}, ids array<int>")
+
+
+def decode(df: DataFrame, path: str) -> DataFrame:
+    """Rows of doc_id and ids with the decoded text."""
+    rows = df.select("doc_id", "ids")
+    return rows.mapInArrow(_decode_run(path), f"{_id_type(rows)}, ids array<int>, decoded string")
+
 
-    return rows.mapInArrow(run, schema)
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(...)) in one pass of one worker: doc_id, ids, decoded."""
+    encoding, decoding = _encode_run(path), _decode_run(path)
+    rows = _texts(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: decoding(encoding(batches)), f"{_id_type(rows)}, ids array<int>, decoded string")
 
 
 def digest(coded: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORDS), WORDS))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), WORDS))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
