@@ -7,13 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, secrets, sharding
+from fleetstat.llm import bpe, exact, langid, secrets, sharding
 from fleetstat.llm.common import table
 
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), WORDS))
 
@@ -32,6 +39,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_sharding": op3_sharding,
         "op5_exact_dedup": op5_exact_dedup,
