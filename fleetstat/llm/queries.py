@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, secrets, sharding
+from fleetstat.llm import bpe, exact, langid, minhash, secrets, sharding
 from fleetstat.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(exact.classes(table(spark, sf_dir, "documents")))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(minhash.groups(table(spark, sf_dir, "documents"), words=3, percent=85))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_sharding": op3_sharding,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_secret_scans": op10_secret_scans,
     }
 
