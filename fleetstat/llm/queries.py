@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, minhash, secrets, sharding
+from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding
 from fleetstat.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(minhash.groups(table(spark, sf_dir, "documents"), words=3, percent=85))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(packing.sequences(table(spark, sf_dir, "documents"), WORDS, with_tokens=False))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op10_secret_scans": op10_secret_scans,
     }
 
