@@ -31,7 +31,12 @@ from pyspark.sql import functions as F
 
 from fleetstat.llm.common import scratch, text_of, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; changes are saved for each micro-batch, and files take only the space they fill.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of the log that one micro-batch takes.
 BATCH = 64 << 30
 
@@ -56,13 +61,14 @@ def content_log(df: DataFrame, id_col: str, text_col: str, digest=None) -> tuple
 
 @contextmanager
 def _disk_state(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def keyed_state(entries: DataFrame) -> DataFrame:
