@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding
+from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding, suffixes
 from fleetstat.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), n_shards=16))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(suffixes.remove(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(exact.classes(table(spark, sf_dir, "documents")))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_sharding": op3_sharding,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
