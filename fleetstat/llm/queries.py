@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding, suffixes
+from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding, suffixes, wrappers
 from fleetstat.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.sequences(table(spark, sf_dir, "documents"), WORDS, with_tokens=False))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.report(wrappers.extract(table(spark, sf_dir, "pages")))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_html_extraction": op9_html_extraction,
         "op10_secret_scans": op10_secret_scans,
     }
 
