@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, minhash, packing, secrets, sharding, suffixes, wrappers
+from fleetstat.llm import bpe, exact, langid, minhash, neighbours, packing, secrets, sharding, suffixes, wrappers
 from fleetstat.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(exact.classes(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(minhash.groups(table(spark, sf_dir, "documents"), words=3, percent=85))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_html_extraction": op9_html_extraction,
