@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_language_id": op1_language_id,
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_sharding": op3_sharding,
@@ -82,6 +84,5 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op5_exact_dedup": EXACT_SQL,
-    }
+    sql = {"op5_exact_dedup": EXACT_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
