@@ -9,10 +9,9 @@ coordinates are bucket keys.
 Equal sets are one vertex with one representative row. In each bucket the member
 that shares most buckets with others is the centre, and the bucket gives only
 the edges of a star: centre to member. Edges are confirmed on the full shingle
-sets of the two texts. Where a bucket still holds several components after the
-stars, pairs across its components are confirmed too, so that a link between two
-members that are both unlike their centre is not lost; in a bucket whose members
-came together there are none.
+sets of the two texts. A link between two members that are both unlike their
+centre is not lost: the comparison with the centre says how many shingles outside
+it they must share, and pairs that do are confirmed as well (see `_across`).
 
 Similar pairs miss all 32 bands with a probability below 1e-5 at the threshold,
 and less above it.
@@ -182,8 +181,8 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, words: int, bands: int,
     return written(base.mapInArrow(run, schema), "signatures")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full shingle sets, what they share, and the shingles of b that a lacks."""
     side = texts.select(F.col("row"), F.col("text"))
     joined = (pairs.join(side.withColumnRenamed("row", "b").withColumnRenamed("text", "text_b"), "b")
               .join(side.withColumnRenamed("row", "a").withColumnRenamed("text", "text_a"), "a")
@@ -195,17 +194,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, end in slices([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))], 4 << 20):
                 others = shingle_sets([t.as_buffer().to_pybytes() for t in batch.column(3).slice(start, end - start)], words)
-                keep = []
-                for i in range(start, end):
+                sizes, lacking = [], []
+                for i, other in zip(range(start, end), others):
                     if a[i] != known:  # the rows of one centre mostly follow each other
                         known, known_set = a[i], shingle_sets([batch.column(2)[i].as_buffer().to_pybytes()], words)[0]
-                    other = others[i - start]
-                    both = len(np.intersect1d(known_set, other, assume_unique=True))
-                    if 100 * both >= percent * (len(known_set) + len(other) - both):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+                    sizes.append(len(known_set))
+                    lacking.append(np.setdiff1d(other, known_set, assume_unique=True).astype(np.int64))
+                n_b = np.array(list(map(len, others)), dtype=np.int64)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(list(map(len, lacking))))).astype(np.int32)), pa.array(np.concatenate(lacking)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[start:end]), pa.array(b[start:end]), pa.array(sizes, pa.int64()), pa.array(n_b),
+                     pa.array(n_b - np.array(list(map(len, lacking)), dtype=np.int64)), lists], ["a", "b", "n_a", "n_b", "both", "lacking"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, lacking array<long>")
 
 
 def _texts_of(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -213,6 +215,59 @@ def _texts_of(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(prepared.select("row", "text").join(rows, "row", "left_semi"), "texts")
 
 
+def _needed(a: str, b: str, percent: int):
+    """What sets of these sizes must share at least, times 100 + percent."""
+    return F.lit(percent) * (F.col(a) + F.col(b))
+
+
+def _across(checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket that may be linked although neither is linked with the centre's side of the other.
+
+    Let c be their centre. What a and b share lies in c, at most the smaller of |a & c|
+    and |b & c|, or in both of a - c and b - c. The comparison with c has counted the
+    first, so a number t is known that a - c must at least share with any b - c:
+
+    * t > 0: a candidate shares one of a's |a - c| - t + 1 rarest shingles outside c
+      (a prefix filter, with rarity counted among the members of c);
+    * t <= 0, possible only if c is larger than some member: sizes decide which
+      members come into question.
+
+    Members of one component are compared no more. The result holds every pair that
+    can reach the similarity, so no link is lost, and copies of one text with edits
+    of their own, which share nothing outside it, give no pairs.
+    """
+    component = found.select("vertex", "component")
+    placed = checked.join(component, F.col("b") == F.col("vertex"), "left").select(
+        F.col("a").alias("c"), F.col("b").alias("v"), F.col("n_a").alias("n_c"), F.col("n_b").alias("n"), F.col("both").alias("x"), "lacking",
+        F.coalesce("component", "b").alias("k"))
+    at_centre = component.withColumnRenamed("component", "own")
+    placed = placed.join(at_centre, F.col("c") == F.col("vertex"), "left").withColumn("own", F.coalesce("own", "c")).drop("vertex")
+    open_ = placed.groupBy("c").agg(
+        F.min(F.least("n", "n_c")).alias("low"), F.max((F.col("k") != F.col("own")).cast("int")).alias("apart")).where("apart = 1").select("c", "low")
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    members = written(
+        placed.join(open_, "c").withColumn("t", F.ceil(F.lit(percent) * (F.col("n") + least) / (100 + percent)) - F.col("x"))
+        .select("c", "v", "n", "x", "k", "lacking", "t"), "members")
+
+    outside = members.where("t <= size(lacking)").select("c", "v", "n", "k", "t", F.explode("lacking").alias("h"))
+    shared = outside.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("k").alias("first"), F.max("k").alias("last")).where("df > 1 and first <> last")
+    rare = (outside.join(shared.select("c", "h", "df"), ["c", "h"]).groupBy("c", "v", "n", "k", "t")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common")))
+    prefix = F.when(F.col("t") > 0, F.slice("common", F.lit(1), F.greatest(F.size("common") - F.col("t") + 1, F.lit(0)).cast("int"))).otherwise(F.col("common"))
+    keys = written(rare.select("c", "v", "n", "k", F.explode(prefix).alias("p")).select("c", "v", "n", "k", "p.h"), "prefixes")
+
+    def sides(df, *columns):
+        return (df.select("c", *(["h"] if "h" in df.columns else []), *[F.col(x).alias(f"{x}_{s}") for x in ("v", "n", "k", *columns)]) for s in "ab")
+
+    left, right = sides(keys)
+    apart = (F.col("v_a") < F.col("v_b")) & (F.col("k_a") != F.col("k_b")) & _near("n_a", "n_b", percent)
+    by_shingle = left.join(right, ["c", "h"]).where(apart).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    left, right = sides(members.where("t <= 0"), "x")
+    by_size = left.join(right, "c").where(
+        apart & ((100 + percent) * F.least("x_a", "x_b") >= _needed("n_a", "n_b", percent))).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    return written(by_shingle.unionByName(by_size).distinct(), "across")
+
+
 def _near(a: str, b: str, percent: int):
     """Sets of such sizes can be similar enough."""
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
@@ -220,31 +275,24 @@ def _near(a: str, b: str, percent: int):
 
 def links(prepared: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Vertex and component for the representatives that are linked with a smaller one."""
-    vertices = prepared.join(classes.select(F.col("v").alias("row")), "row", "left_semi").select(F.col("row").alias("v"), "n", F.explode("bands").alias("key"))
+    vertices = prepared.join(classes.select(F.col("v").alias("row")), "row", "left_semi").select(F.col("row").alias("v"), F.explode("bands").alias("key"))
     shared = vertices.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = written(vertices.join(shared, "key"), "buckets")
 
     degree = members.groupBy("v").agg(F.sum("members").alias("degree"))
-    ranked = members.join(degree, "v").select("key", F.struct("degree", "v", "n").alias("centre"))
+    ranked = members.join(degree, "v").select("key", F.struct("degree", "v").alias("centre"))
     centres = ranked.groupBy("key").agg(F.max("centre").alias("centre"))
     stars = written(
-        members.join(centres, "key").where((F.col("centre.v") != F.col("v")) & _near("n", "centre.n", percent))
-        .select(F.col("centre.v").alias("a"), F.col("v").alias("b")).distinct(), "stars")
-    linked = written(_confirmed(stars, _texts_of(prepared, stars), words, percent), "linked")
+        members.join(centres, "key").where(F.col("centre.v") != F.col("v")).select(F.col("centre.v").alias("a"), F.col("v").alias("b")).distinct(), "stars")
+    checked = written(_compared(stars, _texts_of(prepared, stars), words), "checked")
+    similar = (100 + percent) * F.col("both") >= _needed("n_a", "n_b", percent)
+    linked = checked.where(similar).select("a", "b")
     found = components(linked)
 
-    # Buckets whose members have not all come together: pairs across components.
-    placed = members.join(found, members["v"] == found["vertex"], "left").select("key", "v", "n", F.coalesce("component", "v").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = written(placed.join(open_keys, "key", "left_semi"), "open")
-    left, right = (rest.select("key", F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _near("n_a", "n_b", percent))
-        .select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
+    across = _across(checked, found, percent)
     if across.isEmpty():
         return found
-    more = written(_confirmed(across, _texts_of(prepared, across), words, percent), "linked")
+    more = written(_compared(across, _texts_of(prepared, across), words).where(similar).select("a", "b"), "linked")
     return found if more.isEmpty() else components(linked.unionByName(more))
 
 
