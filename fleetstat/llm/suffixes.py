@@ -15,11 +15,12 @@ theirs, so one row stands for a run of suffixes:
    Runs with equal extents repeat each other in every window: one row decides
    hundreds of suffixes. Copies and the inside of shared passages end here.
 3. The rest are runs that share their first digit and differ in extent, which is
-   where passages begin and end. One run of each extent is read again, and its
-   windows are dealt by all their bytes, one suffix a row.
+   where passages begin and end. One run of each extent is read again and its
+   windows are dealt by their place in the run and all their bytes: inside one
+   task for a first digit with few extents, else one suffix a row.
 
 Digits travel as hashes: 64 bits of the first digit, 128 of an extent, and 64 of a
-window beside those of its first digit. Rows of one key are counted inside each task
+window beside those of its first digit and its place. Rows of one key are counted inside each task
 before they are shuffled, so a passage in a third of all texts is as even as any.
 
 Defined results: a null text is empty, and texts shorter than the window lose
@@ -41,6 +42,8 @@ from fleetstat.llm.common import slices, text_of, written
 
 WINDOW = 400
 GRAM = 64
+#: First digits with at most so many extents are finished inside one task, others window by window.
+TOGETHER = 512
 #: Bytes whose windows are looked at together.
 _PART = 1 << 20
 _U = np.uint64
@@ -135,58 +138,123 @@ def _anchor_rows(base: DataFrame, window: int, gram: int) -> DataFrame:
     return base.mapInArrow(run, "row long, place long, first long, last long, g long, e1 long, e2 long")
 
 
-def _window_rows(wanted: DataFrame, base: DataFrame, window: int) -> DataFrame:
-    """The windows of the wanted runs: first digit, extent, place of the anchor in the window, and all bytes as a hash."""
-    runs = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "first", "last", "g", "e1", "e2"))).alias("runs"))
+def _extent_rows(wanted: DataFrame, base: DataFrame, window: int) -> DataFrame:
+    """One row for each wanted run: first digit, extent, places of the anchor in its first and last window, and all its bytes."""
+    runs = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "first", "last", "g", "e1", "e2", "kinds"))).alias("runs"))
     joined = base.join(runs, "row").select("text", "runs")
-    names = ["g", "e1", "e2", "back", "w"]
-
-    def packed(runs, digests):
-        sizes = [r["last"] - r["first"] + 1 for r in runs]
-        backs = np.concatenate([np.arange(r["place"] - r["first"], r["place"] - r["last"] - 1, -1) for r in runs])
-        keys = (np.repeat(np.array([r[k] for r in runs], dtype=np.int64), sizes) for k in ("g", "e1", "e2"))
-        return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(backs), pa.array(np.array(digests, dtype=np.uint64).astype(np.int64))], names)
+    names = ["g", "e1", "e2", "kinds", "high", "low", "body"]
 
     def run(batches):
         for batch in batches:
-            runs, digests = [], []
+            rows: list[tuple] = []
             for text, listed in zip(batch.column(0), batch.column(1)):
                 view = memoryview(text.as_buffer())
                 for r in listed.as_py():
-                    runs.append(r)
-                    digests += [xxhash.xxh3_64_intdigest(view[s:s + window]) for s in range(r["first"], r["last"] + 1)]
-                    if len(digests) > 200_000:
-                        yield packed(runs, digests)
-                        runs, digests = [], []
-            if runs:
-                yield packed(runs, digests)
+                    rows.append((r["g"], r["e1"], r["e2"], r["kinds"], r["place"] - r["first"], r["place"] - r["last"], view[r["first"]:r["last"] + window].tobytes()))
+                    if len(rows) == 4096:
+                        yield packed(rows)
+                        rows = []
+            if rows:
+                yield packed(rows)
+
+    def packed(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names)
 
-    return joined.mapInArrow(run, "g long, e1 long, e2 long, back long, w long")
+    return joined.mapInArrow(run, "g long, e1 long, e2 long, kinds long, high long, low long, body binary")
+
+
+_BACKS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+
+def _ranges(backs: list[int]) -> list[dict]:
+    """Runs of consecutive places."""
+    out: list[dict] = []
+    for b in sorted(backs):
+        if out and b == out[-1]["high"] + 1:
+            out[-1]["high"] = b
+        else:
+            out.append({"low": b, "high": b})
+    return out
+
+
+def _together(extents: DataFrame, window: int) -> DataFrame:
+    """The repeated windows of first digits with few extents: the last pass, inside a task, one digit after the other."""
+    def passed(group: list[tuple]) -> list[tuple]:
+        first: dict = {}
+        repeated: list[set] = [set() for _ in group]
+        for i, (_, _, _, high, body) in enumerate(group):
+            view = memoryview(body)
+            for s in range(len(body) - window + 1):
+                key = (high - s, xxhash.xxh3_64_intdigest(view[s:s + window]))
+                other = first.setdefault(key, i)
+                if other != i:
+                    repeated[other].add(high - s)
+                    repeated[i].add(high - s)
+        return [(g, e1, e2, _ranges(r)) for (g, e1, e2, _, _), r in zip(group, repeated) if r]
+
+    def packed(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], _BACKS)], ["g", "e1", "e2", "backs"])
+
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            done: list[tuple] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if group and row[0] != group[0][0]:
+                    done += passed(group)
+                    group = []
+                group.append(row)
+            if done:
+                yield packed(done)
+        if group and (done := passed(group)):
+            yield packed(done)
+
+    dealt = extents.select("g", "e1", "e2", "high", "body").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(run, "g long, e1 long, e2 long, backs array<struct<low:bigint,high:bigint>>")
+
+
+def _apart(extents: DataFrame, window: int) -> DataFrame:
+    """The same for first digits with many extents: each window is a row, so that no task gets a whole digit."""
+    names = ["g", "e1", "e2", "back", "w"]
+
+    def run(batches):
+        for batch in batches:
+            for g, e1, e2, high, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                view, n = memoryview(body), len(body) - window + 1
+                digests = np.array([xxhash.xxh3_64_intdigest(view[s:s + window]) for s in range(n)], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(n, k)) for k in (g, e1, e2)), pa.array(np.arange(high, high - n, -1)), pa.array(digests.astype(np.int64))], names)
+
+    rows = written(extents.select("g", "e1", "e2", "high", "body").mapInArrow(run, "g long, e1 long, e2 long, back long, w long"), "windows")
+    extent = F.xxhash64("e1", "e2")
+    twice = rows.groupBy("g", "back", "w").agg(F.min(extent).alias("least"), F.max(extent).alias("most")).where("least <> most").select("g", "back", "w")
+    backs = rows.join(twice, ["g", "back", "w"], "left_semi").groupBy("g", "e1", "e2").agg(F.collect_set("back").alias("backs"))
+    return backs.select("g", "e1", "e2", F.transform("backs", lambda b: F.struct(b.alias("low"), b.alias("high"))).alias("backs"))
 
 
 def repeated(base: DataFrame, window: int, gram: int) -> DataFrame:
     """For each row with repeats: (row, spans), spans being (start, end) of bytes covered by repeated windows."""
     found = written(_anchor_rows(base, window, gram), "anchors")
     own = F.struct("row", "place", "first", "last")
-    extents = written(found.groupBy("g", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("sample")), "extents")
-    strings = extents.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("runs")).where("runs > 1")
-    alive = written(extents.join(strings, "g").select("g", "e1", "e2", "n", "kinds", "sample"), "alive")
+    extents = found.groupBy("g", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("sample"))
+    extents = written(extents, "extents")
+    strings = extents.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("runs"), F.min("n").alias("least")).where("runs > 1")
+    alive = written(extents.join(strings, "g").select("g", "e1", "e2", "n", "kinds", "least", "sample"), "alive")
 
     # Extents met twice are decided. The others need their windows, and so does whatever they are compared with.
-    open_strings = alive.groupBy("g").agg(F.min("n").alias("least"), F.max("kinds").alias("kinds")).where("kinds > 1 and least = 1").select("g")
-    wanted = alive.join(open_strings, "g", "left_semi").select("g", "e1", "e2", "n", "sample.*")
-    windows = written(_window_rows(wanted, base, window), "windows")
-    extent = F.struct("e1", "e2")
-    twice = windows.groupBy("g", "w").agg(F.min(extent).alias("low"), F.max(extent).alias("high")).where("low <> high").select("g", "w")
-    single = (windows.join(twice, ["g", "w"], "left_semi").groupBy("g", "e1", "e2")
-              .agg(F.sort_array(F.collect_set("back")).alias("backs")))
-
-    decided = alive.where("n > 1").select("g", "e1", "e2", F.lit(None).cast("array<long>").alias("backs"))
+    wanted = alive.where("kinds > 1 and least = 1").select("g", "e1", "e2", "kinds", "sample.*")
+    bodies = written(_extent_rows(wanted, base, window), "bodies")
+    few, many = F.col("kinds") <= TOGETHER, F.col("kinds") > TOGETHER
+    single = _together(bodies.where(few), window).unionByName(_apart(bodies.where(many), window))
+
+    decided = alive.where("n > 1").select("g", "e1", "e2", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("backs"))
     marks = decided.unionByName(single.join(decided.select("g", "e1", "e2"), ["g", "e1", "e2"], "left_anti"))
-    # One span for a decided run, else one for each of its windows that repeats; the last step unites them.
+    # One span for a decided run, else one for each range of its windows that repeats; the last step unites them.
     spans = found.join(marks, ["g", "e1", "e2"]).select("row", F.when(
         F.col("backs").isNull(), F.array(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))
-    ).otherwise(F.transform("backs", lambda b: F.struct((F.col("place") - b).alias("start"), (F.col("place") - b + window).alias("end")))).alias("spans"))
+    ).otherwise(F.transform("backs", lambda b: F.struct((F.col("place") - b["high"]).alias("start"), (F.col("place") - b["low"] + window).alias("end")))).alias("spans"))
     return spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

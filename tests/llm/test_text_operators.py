@@ -132,8 +132,9 @@ def repeated_bytes(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window,gram", [(40, 8), (40, 40), (25, 5)])
-def test_repeated_windows_are_removed(spark, window, gram):
+@pytest.mark.parametrize("window,gram,together", [(40, 8, 512), (40, 40, 3), (25, 5, 0)])
+def test_repeated_windows_are_removed(spark, monkeypatch, window, gram, together):
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
     rng = random.Random(5)
     base = "".join(rng.choice("ab") for _ in range(3000))
     texts = []
