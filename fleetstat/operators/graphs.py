@@ -15,31 +15,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def walk_tree(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
+def walk_tree(nodes: DataFrame) -> DataFrame:
     """Level and path of every node of a forest given as (oid, parent_oid, name).
 
-    One join per level; the walk stops when a level is empty or the depth bound
-    is reached, which also ends it on a cycle.
+    One join per level, until a level is empty. A node is not visited again below
+    itself. Nodes no root leads to (below a missing parent or on a cycle) follow
+    with a NULL level and their own name as path.
     """
     edges = nodes.where(F.col("parent_oid").isNotNull()).select(*SNAP, "oid", "parent_oid", "name")
-    level = nodes.where(F.col("parent_oid").isNull()).select(
-        *SNAP, "oid", F.lit(0).alias("level"), F.array("name").alias("path"))
-    levels = [cut_lineage(level)]
-    for depth in range(1, max_depth + 1):
-        parents = levels[-1].select(*SNAP, F.col("oid").alias("parent_oid"), "path")
-        found = edges.join(parents, [*SNAP, "parent_oid"]).select(
-            *SNAP, "oid", F.lit(depth).alias("level"), F.concat("path", F.array("name")).alias("path"))
-        found = cut_lineage(found)
+    roots = nodes.where(F.col("parent_oid").isNull()).select(
+        *SNAP, "oid", F.lit(0).alias("level"), F.array("name").alias("path"), F.array("oid").alias("above"))
+    levels = [cut_lineage(roots)]
+    while True:
+        parents = levels[-1].select(*SNAP, F.col("oid").alias("parent_oid"), "path", "above")
+        found = cut_lineage(
+            edges.join(parents, [*SNAP, "parent_oid"]).where(~F.array_contains("above", F.col("oid"))).select(
+                *SNAP, "oid", F.lit(len(levels)).alias("level"), F.concat("path", F.array("name")).alias("path"),
+                F.concat("above", F.array("oid")).alias("above")))
         if found.isEmpty():
             break
         levels.append(found)
     walked = levels[0]
     for found in levels[1:]:
         walked = walked.unionByName(found)
-    return walked
+    walked = walked.drop("above")
+    unreached = edges.join(walked.select(*SNAP, "oid").distinct(), [*SNAP, "oid"], "left_anti").select(
+        *SNAP, "oid", F.lit(None).cast("int").alias("level"), F.array("name").alias("path"))
+    return walked.unionByName(unreached)
 
 
-def role_closure(members: DataFrame, max_rounds: int = 64) -> DataFrame:
+def role_closure(members: DataFrame) -> DataFrame:
     """Every (member, role) pair reachable over any number of memberships.
 
     Each round extends only the pairs found in the round before by everything
@@ -50,7 +55,7 @@ def role_closure(members: DataFrame, max_rounds: int = 64) -> DataFrame:
     key = [*SNAP, "member", "roleid"]
     newest = cut_lineage(members.select(*key).distinct())
     known = newest
-    for _ in range(max_rounds):
+    while True:
         first = newest.select(*SNAP, "member", F.col("roleid").alias("via"))
         second = known.select(*SNAP, F.col("member").alias("via"), "roleid")
         longer = first.join(second, [*SNAP, "via"]).select(*key).distinct()
@@ -58,4 +63,3 @@ def role_closure(members: DataFrame, max_rounds: int = 64) -> DataFrame:
         if newest.isEmpty():
             return known
         known = known.unionByName(newest)
-    raise ValueError(f"memberships still growing after {max_rounds} rounds")

@@ -20,12 +20,17 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     lasts = cut.groupBy(*keys, "_bucket").agg(F.max(sample).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = lasts.select(*keys, "_bucket", F.lag("_last").over(across).alias("_carried"))
+    carried = lasts.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_of"), F.lag("_last").over(across).alias("_carried"))
+    # A NULL in a key is a key like any other.
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
     return (
         cut.withColumn("_lag", F.lag(sample).over(inside))
-        .join(carried, [*keys, "_bucket"], "left")
+        .join(carried, same, "left")
         .withColumn("prev", F.coalesce("_lag", "_carried"))
-        .drop("_lag", "_carried", "_bucket"))
+        .drop("_lag", "_carried", "_bucket", "_of", *[f"_key_{i}" for i in range(len(keys))]))
 
 
 def increment(current: Column, previous: Column, reset: Column | None = None) -> Column:

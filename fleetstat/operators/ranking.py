@@ -42,16 +42,3 @@ def count_share(df: DataFrame, keys: list[str], count: str, share: str) -> DataF
 def share_of_total(df: DataFrame, source: DataFrame, value: str, share: str) -> DataFrame:
     summed = with_total(df, source, _total=F.sum(F.col(value).cast("decimal(38,0)")))
     return summed.withColumn(share, percent(value, "_total")).drop("_total")
-
-
-def bounded_lists(df: DataFrame, keys: list[str], value: str, name: str, limit: int = 10_000) -> DataFrame:
-    """Count and sorted list of ``value`` per group.
-
-    Groups are counted first and only those of at most ``limit`` members are
-    gathered; the list of a larger group is NULL and its members are to be read
-    in long form, so no task ever assembles an unbounded group.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_count"))
-    small = counts.where(F.col(f"{name}_count") <= limit).select(*keys)
-    lists = df.join(small, keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
-    return counts.join(lists, keys, "left")

@@ -282,9 +282,9 @@ def recommend_settings(s: Snapshots) -> DataFrame:
 
 @report("PT2", order="server_id, name")
 def settings_drift(s: Snapshots) -> DataFrame:
-    """Current value, recommended value and a note for every tunable setting of every server."""
+    """Current value, recommended value and a note for every tunable setting of every server; NULL for one the server lacks."""
     current = s.settings.withColumn("num", as_number("setting", "double")).withColumn("bytes_value", setting_bytes()).select(
         *SNAP, "name", F.concat("setting", F.coalesce("unit", F.lit(""))).alias("current_value"), "source",
         DRIFT.column().alias("note"))
-    return recommend_settings(s).join(current, [*SNAP, "name"]).select(
+    return recommend_settings(s).join(current, [*SNAP, "name"], "left").select(
         *SNAP, "name", "current_value", "recommended", "source", "note")

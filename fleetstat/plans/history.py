@@ -52,9 +52,10 @@ def activity_over_time(s: Snapshots, window: str = "1 hour") -> DataFrame:
 
 @report("ST3", order="server_id, datname, window_start")
 def hit_ratio_over_time(s: Snapshots, window: str = "1 day") -> DataFrame:
+    """Each step between two samples counts in the window of the later one, so windows add up to the whole growth."""
     keys = ["server_id", "datname"]
     deltas = history.counter_delta(s.io_history, keys, ["blks_hit", "blks_read"], tie="sample_id").where("prev_ts IS NOT NULL")
-    placed = deltas.withColumn("w", F.window("snap_ts", window)).where(F.col("prev_ts") >= F.col("w.start"))
+    placed = deltas.withColumn("w", F.window("snap_ts", window))
     hit, read = F.sum("blks_hit_delta"), F.sum("blks_read_delta")
     return _times(placed.groupBy("w", *keys).agg(hit.alias("hit"), read.alias("read"), percent(hit, hit + read).alias("hit_percent")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "hit", "read", "hit_percent"), *BOUNDS)
@@ -83,10 +84,10 @@ def blocking_episodes(s: Snapshots, gap: str = "1 day") -> DataFrame:
 
 @report("ST7", order="server_id, metric_key, window_start")
 def state_changes(s: Snapshots, window: str = "1 day") -> DataFrame:
-    """Adjacent differences of a state whose two samples lie in the same window."""
+    """Adjacent differences of a state, in the window of the later sample."""
     keys = ["server_id", "metric_key"]
     paired = history.with_previous(s.counters, keys, ["snap_ts", "sample_id"], ["sync_state"]).where("prev IS NOT NULL")
-    placed = paired.withColumn("w", F.window("snap_ts", window)).where(F.col("prev.snap_ts") >= F.col("w.start"))
+    placed = paired.withColumn("w", F.window("snap_ts", window))
     changed = ~F.col("sync_state").eqNullSafe(F.col("prev.sync_state"))
     return _times(placed.groupBy("w", *keys).agg(F.count_if(changed).alias("changes")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "changes"), *BOUNDS)

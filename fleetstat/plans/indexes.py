@@ -9,7 +9,7 @@ from fleetstat.functions import (
     SNAP, Ladder, any_of, fillfactor_of, is_monitoring_query, normalise_parameters, percent, pretty_bytes, qualified,
     two_decimals, utc_text, whole_quotient,
 )
-from fleetstat.operators.ranking import bounded_lists, top_k
+from fleetstat.operators.ranking import top_k
 from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
@@ -155,9 +155,9 @@ def index_summary(s: Snapshots) -> DataFrame:
 
 @report("A9", order="table_name")
 def duplicate_indexes(s: Snapshots) -> DataFrame:
-    """Indexes of one table over the same columns: how many, and their names unless there are too many to gather."""
-    groups = bounded_lists(s.index_stats, INDEX_KEY, "index_name", "dup_indexes").where(F.col("dup_indexes_count") > 1)
-    return groups.select(*INDEX_KEY, F.col("dup_indexes_count").alias("copies"), "dup_indexes")
+    """Indexes of one table over the same columns: how many, the first name and the bytes. ``A9L`` has every member."""
+    return s.index_stats.groupBy(*INDEX_KEY).agg(
+        F.count(F.lit(1)).alias("copies"), F.min("index_name").alias("first_index"), F.sum("index_size").alias("total_bytes")).where("copies > 1")
 
 
 @report("A9L", order="table_name, index_name")

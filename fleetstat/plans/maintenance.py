@@ -192,7 +192,8 @@ def _chosen(schema: str | None, globs: str | None) -> Column:
 
 @report("AM1", order="dead_ratio desc, table_size desc")
 def plan_vacuum(s: Snapshots, dead_pct: float = 20, schema: str | None = None, globs: str | None = None,
-                skip_larger_than: str | None = "10GB") -> DataFrame:
+                skip_larger_than: str | None = None) -> DataFrame:
+    """Tables to vacuum. Large ones are marked as skipped only if a size is asked for."""
     dead = s.table_stats.where(_chosen(schema, globs)).withColumn("dead_ratio", dead_percent())
     size = F.col("total_relation_size")
     too_big = size > parse_bytes(F.lit(skip_larger_than)) if skip_larger_than else F.lit(False)

@@ -78,13 +78,13 @@ def partition_sizes(s: Snapshots) -> DataFrame:
 
 
 @report("PM1", order="path, level")
-def partition_hierarchy(s: Snapshots, max_depth: int = 10) -> DataFrame:
+def partition_hierarchy(s: Snapshots) -> DataFrame:
     nodes = s.partition_nodes.withColumn("name", qualified())
-    walked = walk_tree(nodes.select(*SNAP, "oid", "parent_oid", "name"), max_depth)
+    walked = walk_tree(nodes.select(*SNAP, "oid", "parent_oid", "name"))
     facts = nodes.select(*SNAP, "oid", "name", "relkind", "total_size", "table_size", "n_live_tup")
-    kind = F.when(F.col("level") == 0, "ROOT").when(F.col("relkind") == "p", "INTERMEDIATE").otherwise("LEAF")
+    kind = F.when(F.col("level").isNull(), "UNREACHABLE").when(F.col("level") == 0, "ROOT").when(F.col("relkind") == "p", "INTERMEDIATE").otherwise("LEAF")
     return walked.join(facts, [*SNAP, "oid"]).select(
-        *SNAP, F.concat(F.repeat(F.lit("  "), F.col("level")), "name").alias("partition_hierarchy"), "level",
+        *SNAP, F.concat(F.repeat(F.lit("  "), F.coalesce("level", F.lit(0))), "name").alias("partition_hierarchy"), "level",
         kind.alias("partition_type"), pretty_bytes("total_size").alias("total_size"),
         pretty_bytes("table_size").alias("table_size"), F.coalesce("n_live_tup", F.lit(0)).alias("estimated_rows"),
         F.size("path").alias("depth_in_hierarchy"), "path")

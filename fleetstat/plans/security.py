@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fleetstat.functions import SNAP, SYSTEM_SCHEMAS, Ladder, matches_ci, pretty_bytes, qualified, n_rows
 from fleetstat.operators.graphs import role_closure
 from fleetstat.operators.joins import pivot_settings
-from fleetstat.operators.ranking import bounded_lists
 from fleetstat.plans.registry import report
 from fleetstat.sources.snapshots import Snapshots
 
@@ -113,17 +112,10 @@ def role_closure_pairs(s: Snapshots) -> DataFrame:
 
 @report("PA1", order="is_superuser desc, can_create_roles desc, can_login desc, role_name")
 def role_risk(s: Snapshots) -> DataFrame:
+    """Attributes and risk of every role, with how many members it has and how many roles it is in. ``PA1L`` names them."""
     edges = memberships(s)
-    members = bounded_lists(
-        edges.select(*SNAP, F.col("roleid").alias("oid"), "member_name"), [*SNAP, "oid"], "member_name", "role_members")
-    groups = bounded_lists(
-        edges.select(*SNAP, F.col("member").alias("oid"), "role_name"), [*SNAP, "oid"], "role_name", "member_of_roles")
-    none = F.array().cast("array<string>")
-
-    def listed(name: str) -> Column:
-        """An empty list for a role without any; NULL only where the list is too long to gather."""
-        return F.when(F.col(f"{name}_count").isNull(), none).otherwise(F.col(name)).alias(name)
-
+    members = edges.groupBy(*SNAP, F.col("roleid").alias("oid")).agg(n_rows().alias("members"))
+    groups = edges.groupBy(*SNAP, F.col("member").alias("oid")).agg(n_rows().alias("groups"))
     return named_roles(s).join(members, [*SNAP, "oid"], "left").join(groups, [*SNAP, "oid"], "left").select(
         *SNAP, F.col("rolname").alias("role_name"), F.col("rolsuper").alias("is_superuser"),
         F.col("rolinherit").alias("inherits_privileges"), F.col("rolcreaterole").alias("can_create_roles"),
@@ -132,7 +124,7 @@ def role_risk(s: Snapshots) -> DataFrame:
         F.col("rolconnlimit").alias("connection_limit"),
         F.when(F.col("rolpassword").isNull(), "NO PASSWORD SET").otherwise("PASSWORD SET").alias("password_status"),
         F.col("rolvaliduntil").alias("password_expiry"), ROLE_RISK.column().alias("security_risk_level"),
-        listed("role_members"), listed("member_of_roles"))
+        F.coalesce("members", F.lit(0)).alias("role_member_count"), F.coalesce("groups", F.lit(0)).alias("member_of_count"))
 
 
 @report("PA1L", order="role_name, member_name")
@@ -148,24 +140,30 @@ def privileged_summary(s: Snapshots) -> DataFrame:
         F.count_if("rolsuper").alias("superuser_count"), F.count_if("rolcreaterole").alias("role_creators_count"),
         F.count_if("rolcreatedb").alias("db_creators_count"), F.count_if(passwordless()).alias("passwordless_login_roles"),
         F.count_if("rolbypassrls").alias("rls_bypass_roles"))
-    supers = bounded_lists(roles.where("rolsuper"), SNAP, "rolname", "superusers")
-    open_roles = bounded_lists(roles.where(passwordless()), SNAP, "rolname", "open_roles")
-    return counts.join(supers, SNAP, "left").join(open_roles, SNAP, "left").select(
+    return counts.select(
         *SNAP, "superuser_count", "role_creators_count", "db_creators_count", "passwordless_login_roles", "rls_bypass_roles",
-        PRIVILEGED.column().alias("security_assessment"), F.array_join("superusers", ", ").alias("superuser_roles"),
-        F.array_join("open_roles", ", ").alias("passwordless_roles"))
+        PRIVILEGED.column().alias("security_assessment"))
+
+
+@report("PA2L", order="kind, role_name")
+def privileged_roles(s: Snapshots) -> DataFrame:
+    """Superusers and login roles without a password by name, complete whatever their number."""
+    kinds = F.array_compact(F.array(F.when(F.col("rolsuper"), "superuser"), F.when(passwordless(), "passwordless")))
+    return named_roles(s).select(*SNAP, F.col("rolname").alias("role_name"), F.explode(kinds).alias("kind"))
 
 
 def effective_privileges(s: Snapshots, kind: str) -> DataFrame:
     """(role, object, privilege) held directly or through memberships; PUBLIC stays a grantee of its own.
 
+    Rights pass to a member only if it inherits, and on through members that do.
     A grant to PUBLIC or a superuser's power reaches every role or object alike,
     so it is one row rather than one per pair; ``rights_of`` collects what one role may do.
     """
     direct = s.grants.where(F.col("object_kind") == kind).select(*SNAP, F.col("grantee").alias("role_name"), "object", "privilege").distinct()
     names = s.roles.select(*SNAP, "oid", "rolname")
+    inheriting = s.roles.where("rolinherit").select(*SNAP, F.col("oid").alias("member"))
     closure = (
-        role_closure(s.auth_members)
+        role_closure(s.auth_members.join(inheriting, [*SNAP, "member"]))
         .join(names.select(*SNAP, F.col("oid").alias("member"), F.col("rolname").alias("member_name")), [*SNAP, "member"])
         .join(names.select(*SNAP, F.col("oid").alias("roleid"), F.col("rolname").alias("role_name")), [*SNAP, "roleid"]))
     inherited = direct.join(closure, [*SNAP, "role_name"]).select(*SNAP, F.col("member_name").alias("role_name"), "object", "privilege")
@@ -179,13 +177,20 @@ def _holders(s: Snapshots, kind: str, owners: DataFrame, flags: dict[str, str])
     held = granted.unionByName(owned).groupBy(*SNAP, "role_name", "object").agg(
         F.bool_or("is_owner").alias("is_owner"),
         *[F.coalesce(F.bool_or(F.col("privilege") == p), F.lit(False)).alias(flag) for flag, p in flags.items()])
+    # What everybody may do adds to what a role holds on the same object: one row per object, not per role.
+    public = held.where(F.col("role_name") == "PUBLIC").select(*SNAP, "object", *[F.col(flag).alias(f"all_{flag}") for flag in flags])
+    held = held.join(public, [*SNAP, "object"], "left").select(
+        *SNAP, "role_name", "object", "is_owner", *[(F.col(flag) | F.coalesce(f"all_{flag}", F.lit(False))).alias(flag) for flag in flags])
     logins = named_roles(s).where("rolcanlogin").select(*SNAP, F.col("rolname").alias("role_name"), F.col("rolsuper").alias("is_super"))
     known = held.join(logins, [*SNAP, "role_name"], "left")
-    plain = known.where((F.col("role_name") == "PUBLIC") | ~F.col("is_super")).withColumn("is_super", F.lit(False))
+    everybody = F.col("role_name") == "PUBLIC"
+    # A superuser is reported once for all objects, and once for each object it owns.
+    listed = known.where(everybody | ~F.col("is_super") | (F.col("is_super") & F.col("is_owner")))
+    super_ = F.coalesce("is_super", F.lit(False))
+    plain = listed.select(*SNAP, "role_name", "object", "is_owner", *[(F.col(flag) | super_).alias(flag) for flag in flags], super_.alias("is_super"))
     supers = logins.where("is_super").select(
         *SNAP, "role_name", F.lit(ALL_OBJECTS).alias("object"), F.lit(False).alias("is_owner"),
         *[F.lit(True).alias(flag) for flag in flags], "is_super")
-    # A superuser is reported once, for all objects.
     return plain.unionByName(supers)
 
 

@@ -165,9 +165,9 @@ def wait_advice(s: Snapshots, min_processes: int = 1) -> DataFrame:
 
 
 @report("LK1", order="granted, query_start")
-def locks_detail(s: Snapshots, database: int = 0) -> DataFrame:
-    """Locks of one database, or of none, with their sessions where they still exist."""
-    here = s.locks.where((F.col("database") == database) | F.col("database").isNull())
+def locks_detail(s: Snapshots, database: int | None = None) -> DataFrame:
+    """Locks, of one database and of none if one is named, with their sessions where they still exist."""
+    here = s.locks if database is None else s.locks.where((F.col("database") == database) | F.col("database").isNull())
     session = s.activity.select(
         *SNAP, "pid", "usename", "application_name", "client_addr", "query_start", "state", "query")
     return here.join(session, [*SNAP, "pid"], "left").select(

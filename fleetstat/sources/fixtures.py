@@ -415,14 +415,14 @@ def definitions(dialect: str) -> dict[str, str]:
 
     out["hypertables"] = f"""
         SELECT p_partkey % 4 AS server_id, {snap}, lower(p_type) AS schemaname, {table_name} AS table_name, p_partkey % 7 AS num_chunks
-        FROM (SELECT * FROM part WHERE p_size > 25) p"""
+        FROM part"""
 
     out["table_constraints"] = f"""
         SELECT p_partkey % 4 AS server_id, {snap}, 'fk_' || CAST(p_partkey AS VARCHAR(19)) AS constraint_name, lower(p_type) AS table_schema,
                {table_name} AS table_name, 'FOREIGN KEY' AS constraint_type FROM part
         UNION ALL
         SELECT p_partkey % 4 AS server_id, {snap}, 'pk_' || CAST(p_partkey AS VARCHAR(19)) AS constraint_name, lower(p_type) AS table_schema,
-               {table_name} AS table_name, 'PRIMARY KEY' AS constraint_type FROM part WHERE p_size > 5"""
+               {table_name} AS table_name, CASE WHEN p_size > 5 THEN 'PRIMARY KEY' ELSE 'UNIQUE' END AS constraint_type FROM part"""
 
     out["key_columns"] = f"""
         SELECT p_partkey % 4 AS server_id, {snap}, 'fk_' || CAST(p_partkey AS VARCHAR(19)) AS constraint_name, lower(p_type) AS table_schema,
@@ -505,7 +505,7 @@ def definitions(dialect: str) -> dict[str, str]:
     out["progress_vacuum"] = f"""
         SELECT event_id % 4 AS server_id, {snap}, event_id AS pid, {d.div("event_id", "5")} AS relid,
                {_words("event_id % 3", "scanning heap", "vacuuming indexes", "cleaning up")} AS phase
-        FROM events WHERE event_type = 'error'"""
+        FROM events"""
 
     bound = _words("c_nationkey % 4", "FOR VALUES FROM (1) TO (2)", "FOR VALUES IN (1)", "FOR VALUES WITH (modulus 4, remainder 0)", "DEFAULT")
     out["partition_nodes"] = f"""
@@ -557,7 +557,7 @@ def definitions(dialect: str) -> dict[str, str]:
 
     out["pair_history"] = f"""
         SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, user_id AS blocked_pid, user_id % 10 + 1000 AS blocking_pid
-        FROM events WHERE event_type IN ('error', 'signup')"""
+        FROM events"""
 
     out["statement_history"] = f"""
         SELECT l_partkey % 4 AS server_id, CAST(l_shipdate AS TIMESTAMP) AS snap_ts, l_partkey AS queryid,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,22 @@ def value_text(value: str = "value") -> Column:
     return F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("decimal(28,6)").cast("string"))
 
 
-def label_text(labels: str = "labels", quote: str = '"') -> Column:
-    """k="v" pairs in key order, separated by commas."""
-    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("=" + quote), e["value"], F.lit(quote)))
+def escaped(value: Column, *characters: str) -> Column:
+    """A backslash before each of the characters; a line feed becomes the two characters of its escape."""
+    for c in characters:
+        value = F.replace(value, F.lit(c), F.lit("\\" + c))
+    return F.replace(value, F.lit("\n"), F.lit("\\n"))
+
+
+def label_text(labels: str = "labels") -> Column:
+    """k="v" pairs in key order, separated by commas; quotes, backslashes and line feeds of a value are escaped."""
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"], "\\", '"'), F.lit('"')))
+    return F.array_join(pairs, ",")
+
+
+def tag_text(labels: str = "labels") -> Column:
+    """k=v tags in key order; blanks, commas and equals signs of a value are escaped."""
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), escaped(e["value"], " ", ",", "=")))
     return F.array_join(pairs, ",")
 
 
@@ -69,8 +84,8 @@ def to_prometheus_lines(metrics: DataFrame) -> DataFrame:
 def to_influx_lines(metrics: DataFrame, servers: DataFrame, measurement: str = "postgresql", database: str = "postgres") -> DataFrame:
     """Line protocol with host, database and metric labels as tags and nanosecond times."""
     hosts = servers.select(*SNAP, "host")
-    tags = F.concat_ws(",", F.lit(measurement), F.concat(F.lit("host="), F.coalesce("host", F.lit("localhost"))),
-                       F.lit(f"database={database}"), F.when(F.size("labels") > 0, label_text(quote="")))
+    tags = F.concat_ws(",", F.lit(measurement), F.concat(F.lit("host="), escaped(F.coalesce("host", F.lit("localhost")), " ", ",", "=")),
+                       F.concat(F.lit("database="), escaped(F.lit(database), " ", ",", "=")), F.when(F.size("labels") > 0, tag_text()))
     ns = (F.unix_micros("snap_ts") * 1000).cast("string")
     return metrics.join(hosts, SNAP, "left").select(*SNAP, F.concat(tags, F.lit(" "), "metric", F.lit("="), value_text(), F.lit(" "), ns).alias("line"))
 
@@ -121,16 +136,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _per_scrape(df: DataFrame) -> DataFrame:
+    """Folder columns of a written scrape: its day, and its time of day."""
+    return df.withColumn("snap_date", F.to_date("snap_ts")).withColumn("scrape", F.date_format("snap_ts", "HHmmss.SSSSSS"))
+
+
 def write_lines(df: DataFrame, path: str) -> None:
-    """Text files, one folder per snapshot day; the order inside a metric is kept by sorting each task's rows."""
+    """Text files, one folder per scrape; the order inside a metric is kept by sorting each task's rows.
+
+    Writing a scrape again replaces its folder and leaves all others.
+    """
     keys = [c for c in ("server_id", "metric", "part") if c in df.columns]
-    parts = df.withColumn("snap_date", F.to_date("snap_ts"))
-    parts.sortWithinPartitions(*keys).select("snap_date", "line").write.mode("append").partitionBy("snap_date").text(path)
+    rows = _per_scrape(df).sortWithinPartitions(*keys).select("snap_date", "scrape", "line")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snap_date", "scrape").text(path)
 
 
 def write_findings(df: DataFrame, path: str) -> None:
-    """Append findings to a table partitioned by day, for trends."""
-    df.withColumn("snap_date", F.to_date("snap_ts")).write.mode("append").partitionBy("snap_date").parquet(path)
+    """Findings in a table with one folder per scrape, for trends. Writing a scrape again replaces its folder."""
+    _per_scrape(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snap_date", "scrape").parquet(path)
 
 
 # --- retention --------------------------------------------------------------------
@@ -150,12 +173,33 @@ def retention_summary(tiered: DataFrame) -> DataFrame:
         F.min("snap_ts").alias("oldest"), F.max("snap_ts").alias("newest"))
 
 
-def apply_retention(df: DataFrame, path: str, as_of: Column, keep_days: int = 30, compress_days: int = 7) -> None:
-    """Write what is kept to ``path`` by day, recent days with fast and older days with dense compression.
+def apply_retention(df: DataFrame, path: str, as_of: Column, keep_days: int = 30, compress_days: int = 7) -> list[str]:
+    """Bring the table at ``path`` (one folder per day) up to date; returns the expired days it dropped.
 
-    The target must differ from the source: rows are rewritten, never deleted in place.
+    Days that have aged into the dense tier, or are not there yet, are written from ``df``, recent days with fast and
+    older days with dense compression; days that lie there in the right tier are left alone. Expired days are removed
+    as folders, without reading them. What the driver lists is one name per stored day.
     """
+    spark = df.sparkSession
+    today, = spark.range(1).select(F.to_date(as_of)).first()
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(hadoop)
+    expired, present = [], {}
+    if files.exists(root):
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("snap_date=") and name[10:12].isdigit():
+                if (today - datetime.date.fromisoformat(name[10:])).days > keep_days:
+                    files.delete(status.getPath(), True)
+                    expired.append(name[10:])
+                else:
+                    parts = [f.getPath().getName() for f in files.listStatus(status.getPath())]
+                    present[name[10:]] = "COMPRESS" if any(".zstd." in p for p in parts) else "KEEP"
     tiered = retention_tiers(df, as_of, keep_days, compress_days).withColumn("snap_date", F.to_date("snap_ts"))
     for tier, codec in (("KEEP", "snappy"), ("COMPRESS", "zstd")):
-        kept = tiered.where(F.col("tier") == tier).drop("tier", "age_days")
-        kept.write.mode("overwrite").option("compression", codec).partitionBy("snap_date").parquet(path)
+        done = [day for day, t in present.items() if t == tier]
+        fresh = tiered.where((F.col("tier") == tier) & ~F.col("snap_date").cast("string").isin(done)).drop("tier", "age_days")
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec)
+         .partitionBy("snap_date").parquet(path))
+    return sorted(expired)

@@ -18,15 +18,31 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 def blocking_pair_writer(locks: DataFrame, load_activity, path: str, checkpoint: str) -> DataStreamWriter:
     """Blocking pairs of every scrape, appended to a table that ``blocking_episodes`` reads.
 
-    Each batch of lock rows is paired with itself and the sessions of the same
-    scrapes. A batch replayed after a failure rewrites its own folder, so the
-    table holds every batch exactly once.
+    Lock rows are stored by day and scrape as they come, and every scrape that a
+    batch touches is paired anew from all its stored rows, so a scrape split over
+    two batches keeps its pairs. Sessions are read for the days of the batch only.
+    A batch replayed after a failure rewrites its own rows and its scrapes'
+    folders, so the tables hold everything exactly once.
     """
+    seen = f"{path}_locks"
+    scrape = F.date_format("snap_ts", "HHmmss.SSSSSS")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        times = batch.select(*SNAP).distinct()
-        activity = load_activity().join(times, SNAP, "left_semi")
-        pairs = blocking_pairs(batch, activity).select(
+        spark = batch.sparkSession
+        dated = batch.withColumn("snap_date", F.to_date("snap_ts")).withColumn("scrape", scrape).withColumn("batch_id", F.lit(batch_id))
+        (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snap_date", "scrape", "batch_id").parquet(seen))
+        stored = spark.read.schema(dated.schema).parquet(seen)
+        scrapes = stored.where(F.col("batch_id") == batch_id).select("snap_date", "scrape").distinct()
+        days = [r["snap_date"] for r in scrapes.select("snap_date").distinct().collect()]
+        if not days:
+            return
+        locks = stored.where(F.col("snap_date").isin(days)).join(scrapes, ["snap_date", "scrape"], "left_semi")
+        sessions = load_activity()
+        day = F.col("snap_date") if "snap_date" in sessions.columns else F.to_date("snap_ts")
+        activity = sessions.where(day.isin(days)).join(locks.select(*SNAP).distinct(), SNAP, "left_semi")
+        pairs = blocking_pairs(locks, activity).select(
             *[F.col(f"l.{c}") for c in SNAP], F.col("l.pid").alias("blocked_pid"), F.col("r.pid").alias("blocking_pid")).distinct()
-        pairs.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        (pairs.withColumn("snap_date", F.to_date("snap_ts")).withColumn("scrape", scrape)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snap_date", "scrape").parquet(path))
 
     return locks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -75,5 +75,5 @@ SQL = {
         string_agg(name || '=' || setting, ';' ORDER BY category, name) AS settings_in_order FROM settings GROUP BY server_id""",
     "pt1_recommend_settings": recommended(),
     "pt2_settings_drift": f"""SELECT r.server_id, r.name, x.setting || coalesce(x.unit, '') AS current_value, recommended, source,
-        {C.DRIFT.sql().replace("name =", "x.name =")} AS note FROM ({recommended()}) r JOIN {VALUES} ON x.server_id = r.server_id AND x.name = r.name""",
+        {C.DRIFT.sql().replace("name =", "x.name =")} AS note FROM ({recommended()}) r LEFT JOIN {VALUES} ON x.server_id = r.server_id AND x.name = r.name""",
 }

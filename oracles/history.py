@@ -42,7 +42,7 @@ SQL = {
     "st3_hit_ratio_over_time": f"""SELECT {clock('day')} AS window_start, {clock('day + INTERVAL 1 DAY')} AS window_end, server_id, datname,
         sum({grown('blks_hit')})::BIGINT AS hit, sum({grown('blks_read')})::BIGINT AS read,
         {pct(f"sum({grown('blks_hit')})", f"(sum({grown('blks_hit')}) + sum({grown('blks_read')}))")} AS hit_percent
-        FROM (SELECT *, date_trunc('day', snap_ts) AS day FROM {IO}) x WHERE prev_snap_ts >= day GROUP BY day, server_id, datname""",
+        FROM (SELECT *, date_trunc('day', snap_ts) AS day FROM {IO}) x WHERE prev_snap_ts IS NOT NULL GROUP BY day, server_id, datname""",
     "st4_evaluate_trend_alerts": f"SELECT server_id, {clock('snap_ts')} AS seen_at, metric, object, value, severity FROM {BREACHES}",
     "st5_sustained_alerts": "SELECT * FROM (" + sessions(
         BREACHES, "server_id, metric, object, severity, for_seconds", 43200,
@@ -55,7 +55,7 @@ SQL = {
             {r2(SECONDS.format('max(snap_ts)', 'min(snap_ts)'), 3)} AS lasted_seconds"""),
     "st7_state_changes": f"""SELECT {clock('day')} AS window_start, {clock('day + INTERVAL 1 DAY')} AS window_end, server_id, metric_key,
         count(*) FILTER (sync_state IS DISTINCT FROM prev_sync_state) AS changes
-        FROM (SELECT *, date_trunc('day', snap_ts) AS day FROM {COUNTERS}) x WHERE prev_snap_ts >= day GROUP BY day, server_id, metric_key""",
+        FROM (SELECT *, date_trunc('day', snap_ts) AS day FROM {COUNTERS}) x WHERE prev_snap_ts IS NOT NULL GROUP BY day, server_id, metric_key""",
     "st8_distinct_scrapes": """SELECT server_id, metric_key, count(*) AS scrapes FROM (SELECT DISTINCT server_id, metric_key,
         date_trunc('minute', snap_ts) AS m FROM counters) x GROUP BY server_id, metric_key""",
     "w4_degradation": f"""SELECT server_id, queryid, {clock('period')} AS period, n AS period_count, {r2('t / n', 3)} AS mean,

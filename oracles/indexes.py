@@ -52,7 +52,7 @@ SQL = {
           FULL JOIN (SELECT server_id, count(*) FILTER (seq_scan > idx_scan AND n_live_tup > 1000) AS tables_needing_indexes
                      FROM table_stats GROUP BY server_id) t ON t.server_id = i.server_id) x""",
     "a9_duplicate_indexes": """SELECT server_id, schemaname, table_name, array_to_string(indkey, ',') AS indkey, count(*) AS copies,
-        array_to_string(list_sort(list(index_name)), ',') AS dup_indexes FROM index_stats GROUP BY server_id, schemaname, table_name, index_stats.indkey HAVING count(*) > 1""",
+        min(index_name) AS first_index, sum(index_size)::BIGINT AS total_bytes FROM index_stats GROUP BY server_id, schemaname, table_name, index_stats.indkey HAVING count(*) > 1""",
     "a9l_duplicate_index_members": """SELECT i.server_id, i.schemaname, i.table_name, array_to_string(i.indkey, ',') AS indkey, index_name, index_size, copies
         FROM index_stats i JOIN (SELECT server_id, schemaname, table_name, indkey, count(*) AS copies FROM index_stats GROUP BY ALL) g
         ON g.server_id = i.server_id AND g.schemaname = i.schemaname AND g.table_name = i.table_name AND g.indkey = i.indkey WHERE copies > 1""",

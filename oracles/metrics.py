@@ -50,7 +50,7 @@ SQL = {
     "s4_prometheus_lines": f"""SELECT DISTINCT server_id, metric, 0 AS part, '# HELP ' || metric || ' ' || {HELP} AS line FROM ({ALL}) a
         UNION ALL SELECT DISTINCT server_id, metric, 1, '# TYPE ' || metric || ' ' || {TYPE} FROM ({ALL}) a
         UNION ALL SELECT server_id, metric, 2, metric || CASE WHEN labels = '' THEN '' ELSE '{{' || {QUOTED} || '}}' END || ' ' || {VALUE} FROM ({ALL}) a""",
-    "s5_influx_lines": f"""SELECT a.server_id, 'postgresql,host=' || coalesce(host, 'localhost') || ',database=postgres' || CASE WHEN labels = '' THEN '' ELSE ',' || labels END
+    "s5_influx_lines": f"""SELECT a.server_id, 'postgresql,host=' || coalesce(host, 'localhost') || ',database=postgres' || CASE WHEN labels = '' THEN '' ELSE ',' || replace(labels, ' ', chr(92) || ' ') END
         || ' ' || metric || '=' || {VALUE} || ' 1706659200000000000' AS line FROM ({ALL}) a LEFT JOIN servers v ON v.server_id = a.server_id""",
     "s6_metrics_json": f"""SELECT a.server_id, host, port::VARCHAR AS port, '2024-01-31T00:00:00Z' AS timestamp,
         string_agg(metric || '=' || value::DECIMAL(38,0)::VARCHAR, ';' ORDER BY metric) AS metrics_in_order

@@ -11,12 +11,14 @@ SQL = {
           SELECT server_id, oid, 0 AS level, [schemaname || '.' || table_name] AS path FROM partition_nodes WHERE parent_oid IS NULL
           UNION ALL
           SELECT n.server_id, n.oid, w.level + 1, list_append(w.path, n.schemaname || '.' || n.table_name)
-          FROM walked w JOIN partition_nodes n ON n.server_id = w.server_id AND n.parent_oid = w.oid WHERE w.level < 10)
-        SELECT w.server_id, repeat('  ', level) || schemaname || '.' || table_name AS partition_hierarchy, level,
-               CASE WHEN level = 0 THEN 'ROOT' WHEN relkind = 'p' THEN 'INTERMEDIATE' ELSE 'LEAF' END AS partition_type,
+          FROM walked w JOIN partition_nodes n ON n.server_id = w.server_id AND n.parent_oid = w.oid),
+        everywhere AS (SELECT * FROM walked UNION ALL SELECT n.server_id, n.oid, NULL, [schemaname || '.' || table_name] FROM partition_nodes n
+          WHERE parent_oid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM walked w WHERE w.server_id = n.server_id AND w.oid = n.oid))
+        SELECT w.server_id, repeat('  ', coalesce(level, 0)) || schemaname || '.' || table_name AS partition_hierarchy, level,
+               CASE WHEN level IS NULL THEN 'UNREACHABLE' WHEN level = 0 THEN 'ROOT' WHEN relkind = 'p' THEN 'INTERMEDIATE' ELSE 'LEAF' END AS partition_type,
                {pretty('total_size')} AS total_size, {pretty('table_size')} AS table_size, coalesce(n_live_tup, 0) AS estimated_rows,
                len(path)::INT AS depth_in_hierarchy, array_to_string(path, ',') AS path
-        FROM walked w JOIN partition_nodes n ON n.server_id = w.server_id AND n.oid = w.oid""",
+        FROM everywhere w JOIN partition_nodes n ON n.server_id = w.server_id AND n.oid = w.oid""",
     "pm2_partition_balance": f"""SELECT server_id, parent_table, partition_count, total_bytes, smallest_bytes, largest_bytes,
         {pretty('total_bytes')} AS total_partitioned_size, {pretty('round(avg_size)')} AS avg_partition_size,
         {pretty('smallest_bytes')} AS smallest_partition, {pretty('largest_bytes')} AS largest_partition,

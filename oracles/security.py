@@ -9,21 +9,30 @@ TABLES = """(SELECT r.*, t.n_live_tup, t.total_relation_size FROM relations r LE
     WHERE relkind IN ('r', 'p') AND r.schemaname NOT IN ('pg_catalog', 'information_schema'))"""
 
 
+#: Memberships whose rights reach the member: every role on the way but the last inherits.
+REACH = """reach AS (SELECT a.server_id, a.member, a.roleid FROM auth_members a JOIN roles m ON m.server_id = a.server_id AND m.oid = a.member AND m.rolinherit
+    UNION SELECT r.server_id, r.member, a.roleid FROM reach r JOIN auth_members a ON a.server_id = r.server_id AND a.member = r.roleid
+      JOIN roles m ON m.server_id = a.server_id AND m.oid = a.member AND m.rolinherit)"""
+
+
 def holders(kind: str, owners: str, flags: dict[str, str]) -> str:
+    """One set of rights per role and object: own, inherited and everybody's grants, then ownership."""
     f = ", ".join(f"coalesce(bool_or(privilege = '{p}'), false) AS {c}" for c, p in flags.items())
     names = ", ".join(flags)
-    return f"""WITH RECURSIVE {CLOSURE},
+    return f"""WITH RECURSIVE {REACH},
         direct AS (SELECT DISTINCT server_id, grantee, object, privilege FROM grants WHERE object_kind = '{kind}'),
-        held AS (SELECT server_id, grantee AS role_name, object, bool_or(own) AS is_owner, {f} FROM (
-            SELECT server_id, grantee, object, privilege, false AS own FROM direct
+        gained AS (SELECT server_id, grantee AS role_name, object, privilege, false AS own FROM direct
             UNION ALL SELECT d.server_id, m.rolname, d.object, d.privilege, false FROM direct d
               JOIN roles g ON g.server_id = d.server_id AND g.rolname = d.grantee
-              JOIN closure c ON c.server_id = g.server_id AND c.roleid = g.oid
+              JOIN reach c ON c.server_id = g.server_id AND c.roleid = g.oid
               JOIN roles m ON m.server_id = c.server_id AND m.oid = c.member
-            UNION ALL {owners}) u GROUP BY server_id, grantee, object),
+            UNION ALL {owners}),
+        added AS (SELECT * FROM gained UNION ALL SELECT DISTINCT g.server_id, g.role_name, d.object, d.privilege, false FROM direct d
+            JOIN (SELECT DISTINCT server_id, role_name, object FROM gained) g ON g.server_id = d.server_id AND g.object = d.object WHERE d.grantee = 'PUBLIC'),
+        held AS (SELECT server_id, role_name, object, bool_or(own) AS is_owner, {f} FROM added GROUP BY server_id, role_name, object),
         logins AS (SELECT server_id, rolname AS role_name, rolsuper AS is_super FROM roles WHERE {NAMED} AND rolcanlogin),
-        holders AS (SELECT h.server_id, h.role_name, object, is_owner, {names}, is_super FROM held h
-              JOIN logins l ON l.server_id = h.server_id AND l.role_name = h.role_name WHERE NOT is_super
+        holders AS (SELECT h.server_id, h.role_name, object, is_owner, {', '.join(f"is_super OR {c} AS {c}" for c in flags)}, is_super FROM held h
+              JOIN logins l ON l.server_id = h.server_id AND l.role_name = h.role_name WHERE NOT is_super OR is_owner
             UNION ALL SELECT server_id, role_name, object, is_owner, {names}, false FROM held WHERE role_name = 'PUBLIC'
             UNION ALL SELECT server_id, role_name, '*', false, {', '.join('true' for _ in flags)}, true FROM logins WHERE is_super)"""
 
@@ -45,18 +54,19 @@ SQL = {
         rolbypassrls AS bypasses_rls, rolconnlimit AS connection_limit,
         CASE WHEN rolpassword IS NULL THEN 'NO PASSWORD SET' ELSE 'PASSWORD SET' END AS password_status,
         {clock('rolvaliduntil')} AS password_expiry, {P.ROLE_RISK.sql()} AS security_risk_level,
-        coalesce((SELECT string_agg(m.rolname, ',' ORDER BY m.rolname) FROM auth_members a JOIN roles m ON m.server_id = a.server_id AND m.oid = a.member
-                  WHERE a.server_id = r.server_id AND a.roleid = r.oid), '') AS role_members,
-        coalesce((SELECT string_agg(g.rolname, ',' ORDER BY g.rolname) FROM auth_members a JOIN roles g ON g.server_id = a.server_id AND g.oid = a.roleid
-                  WHERE a.server_id = r.server_id AND a.member = r.oid), '') AS member_of_roles
+        (SELECT count(*) FROM auth_members a JOIN roles m ON m.server_id = a.server_id AND m.oid = a.member
+         JOIN roles g ON g.server_id = a.server_id AND g.oid = a.roleid WHERE a.server_id = r.server_id AND a.roleid = r.oid) AS role_member_count,
+        (SELECT count(*) FROM auth_members a JOIN roles m ON m.server_id = a.server_id AND m.oid = a.roleid
+         JOIN roles g ON g.server_id = a.server_id AND g.oid = a.member WHERE a.server_id = r.server_id AND a.member = r.oid) AS member_of_count
         FROM roles r WHERE {NAMED}""",
     "pa1l_role_memberships": """SELECT a.server_id, g.rolname AS role_name, m.rolname AS member_name FROM auth_members a
         JOIN roles m ON m.server_id = a.server_id AND m.oid = a.member JOIN roles g ON g.server_id = a.server_id AND g.oid = a.roleid""",
     "pa2_privileged_summary": f"""SELECT *, {P.PRIVILEGED.sql()} AS security_assessment FROM (SELECT server_id,
         count(*) FILTER (rolsuper) AS superuser_count, count(*) FILTER (rolcreaterole) AS role_creators_count,
         count(*) FILTER (rolcreatedb) AS db_creators_count, count(*) FILTER ({OPEN}) AS passwordless_login_roles,
-        count(*) FILTER (rolbypassrls) AS rls_bypass_roles, string_agg(rolname, ', ' ORDER BY rolname) FILTER (rolsuper) AS superuser_roles,
-        string_agg(rolname, ', ' ORDER BY rolname) FILTER ({OPEN}) AS passwordless_roles FROM roles WHERE {NAMED} GROUP BY server_id) x""",
+        count(*) FILTER (rolbypassrls) AS rls_bypass_roles FROM roles WHERE {NAMED} GROUP BY server_id) x""",
+    "pa2l_privileged_roles": f"""SELECT server_id, rolname AS role_name, 'superuser' AS kind FROM roles WHERE {NAMED} AND rolsuper
+        UNION ALL SELECT server_id, rolname, 'passwordless' FROM roles WHERE {NAMED} AND {OPEN}""",
     "pa3_database_access": holders("database", """SELECT d.server_id, r.rolname, d.datname, NULL, true FROM database_stats d
             JOIN roles r ON r.server_id = d.server_id AND r.oid = d.datdba""", {"can_connect": "CONNECT", "can_create": "CREATE", "can_temp": "TEMP"})
     + f""" SELECT h.server_id, object AS database_name, role_name, CASE WHEN is_owner THEN 'OWNER' WHEN can_connect THEN 'CONNECT' ELSE 'NO ACCESS' END AS database_privilege,

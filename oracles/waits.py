@@ -65,8 +65,7 @@ SQL = {
         SELECT l.server_id, locktype, database, relation, page, tuple, virtualxid, transactionid, mode, granted, l.pid, usename,
                application_name, client_addr, {age_s('query_start')} AS query_age_seconds,
                {clock('query_start')} AS query_start, state, query
-        FROM locks l LEFT JOIN activity a ON a.server_id = l.server_id AND a.pid = l.pid
-        WHERE database = 0 OR database IS NULL""",
+        FROM locks l LEFT JOIN activity a ON a.server_id = l.server_id AND a.pid = l.pid""",
     "lk2_blocking_detail": pairs(f"""w.pid AS blocked_pid, wa.usename AS blocked_user, wa.application_name AS blocked_application,
                w.mode AS blocked_mode, wa.query AS blocked_query, {clock('wa.query_start')} AS blocked_query_start,
                {age_s('wa.query_start')} AS blocked_seconds, h.pid AS blocking_pid, ha.usename AS blocking_user,

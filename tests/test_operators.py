@@ -46,12 +46,6 @@ def test_top_k_is_per_snapshot_and_deterministic(spark):
     assert sorted(tuple(r) for r in got) == [(1, 1), (1, 3), (1, 5), (1, 7), (2, 0), (2, 1), (2, 2)]
 
 
-def test_bounded_lists_leave_long_groups_out_but_count_them(spark):
-    df = spark.createDataFrame([("a", str(i)) for i in range(5)] + [("b", "x")], "k string, v string")
-    got = {r.k: (r.m_count, r.m) for r in ranking.bounded_lists(df, ["k"], "v", "m", limit=3).collect()}
-    assert got == {"a": (5, None), "b": (1, ["x"])}
-
-
 def test_closure_handles_cycles_and_chains(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 102), (102, 100)]
     df = spark.createDataFrame([(1, T0, m, r) for m, r in edges], "server_id long, snap_ts timestamp, member long, roleid long")
@@ -60,11 +54,38 @@ def test_closure_handles_cycles_and_chains(spark):
     assert got == expected
 
 
-def test_tree_walk_stops_at_depth_and_skips_unreachable(spark):
-    rows = [(0, None)] + [(i + 1, i) for i in range(5)] + [(50, 51), (51, 50)]
+def test_tree_walk_reaches_every_level_and_names_what_no_root_leads_to(spark):
+    rows = [(0, None)] + [(i + 1, i) for i in range(15)] + [(50, 51), (51, 50), (60, 99), (61, 60)]
     df = spark.createDataFrame([(1, T0, o, p, str(o)) for o, p in rows], "server_id long, snap_ts timestamp, oid long, parent_oid long, name string")
-    got = {(r.oid, r.level) for r in graphs.walk_tree(df, max_depth=3).collect()}
-    assert got == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    got = {(r.oid, r.level) for r in graphs.walk_tree(df).collect()}
+    assert got == {(i, i) for i in range(16)} | {(o, None) for o in (50, 51, 60, 61)}
+
+
+def test_a_role_of_many_members_is_whole(spark):
+    from fleetstat.plans import security
+    n = 20_000
+    roles = spark.range(n + 1).selectExpr(
+        "1L server_id", "timestamp'2024-01-31' snap_ts", "id oid", "concat('r', id) rolname", "false rolsuper", "true rolinherit", "false rolcreaterole",
+        "false rolcreatedb", "true rolcanlogin", "false rolreplication", "false rolbypassrls", "-1 rolconnlimit", "'x' rolpassword", "cast(null as timestamp) rolvaliduntil")
+    edges = spark.range(1, n + 1).selectExpr("1L server_id", "timestamp'2024-01-31' snap_ts", "0L roleid", "id member")
+    s = Snapshots.from_frames(spark, roles=roles, auth_members=edges)
+    assert security.role_risk(s).where("role_name = 'r0'").first().role_member_count == n
+    assert security.role_memberships(s).count() == n
+
+
+def test_rights_stop_at_a_member_that_does_not_inherit(spark):
+    from fleetstat.plans import security
+    at = "timestamp'2024-01-31' snap_ts"
+    roles = spark.sql(f"""SELECT 1L server_id, {at}, oid, rolname, rolsuper, rolinherit, true rolcanlogin FROM
+        VALUES (1L, 'a', false, true), (2L, 'b', false, false), (3L, 'c', false, true), (4L, 's', true, true) t(oid, rolname, rolsuper, rolinherit)""")
+    members = spark.sql(f"SELECT 1L server_id, {at}, * FROM VALUES (1L, 2L), (2L, 3L) t(member, roleid)")
+    grants = spark.sql(f"""SELECT 1L server_id, {at}, * FROM VALUES ('c', 'table', '9', 'SELECT'), ('b', 'table', '9', 'INSERT'), ('PUBLIC', 'table', '9', 'DELETE')
+        t(grantee, object_kind, object, privilege)""")
+    owners = spark.sql(f"SELECT 1L server_id, {at}, 's' role_name, '9' object")
+    held = security._holders(Snapshots.from_frames(spark, roles=roles, auth_members=members, grants=grants), "table", owners, {"s": "SELECT", "i": "INSERT", "d": "DELETE"})
+    got = {(r.role_name, r.object): (r.is_owner, r.s, r.i, r.d) for r in held.collect()}
+    assert got == {("a", "9"): (False, False, True, True), ("b", "9"): (False, False, True, True), ("c", "9"): (False, True, False, True),
+                   ("PUBLIC", "9"): (False, False, False, True), ("s", "9"): (True, True, True, True), ("s", security.ALL_OBJECTS): (False, True, True, True)}
 
 
 def test_counter_delta_resets_and_bucket_borders(spark):
@@ -143,7 +164,13 @@ def test_retention_and_findings_files(spark):
     assert sorted(r.size_bytes - 100 for r in spark.read.parquet(f"{root}/kept").collect()) == [0, 7, 8, 30]
     sinks.write_findings(df, f"{root}/findings")
     sinks.write_findings(df, f"{root}/findings")
-    assert spark.read.parquet(f"{root}/findings").count() == 10
+    sinks.write_findings(df.where("size_bytes = 100").withColumn("snap_ts", F.expr("snap_ts + interval 1 hour")), f"{root}/findings")
+    assert spark.read.parquet(f"{root}/findings").count() == 6
+    later = F.lit(as_of + dt.timedelta(days=1))
+    assert sinks.apply_retention(df, f"{root}/kept", later) == ["2024-01-31"]
+    assert sorted(r.size_bytes - 100 for r in spark.read.parquet(f"{root}/kept").collect()) == [0, 7, 8]
+    dense = [f for f in os.listdir(f"{root}/kept/snap_date=2024-02-23") if ".zstd." in f]
+    assert dense and all(".zstd." in f for f in os.listdir(f"{root}/kept/snap_date=2024-02-23") if f.startswith("part-"))
     sinks.write_csv(df.drop("snap_ts"), f"{root}/csv")
     assert spark.read.option("header", True).csv(f"{root}/csv").count() == 5
 
@@ -157,7 +184,13 @@ def test_exposition_lines(spark):
     assert lines[("pg_up", 0)].startswith("# HELP pg_up ") and lines[("pg_up", 1)] == "# TYPE pg_up gauge"
     root = tempfile.mkdtemp(prefix="fleetstat-test-")
     sinks.write_lines(sinks.to_prometheus_lines(rows), f"{root}/prom")
+    sinks.write_lines(sinks.to_prometheus_lines(rows), f"{root}/prom")
     assert spark.read.text(f"{root}/prom").count() == 6
+    odd = sinks.metric_rows(df.withColumn("x", F.lit('a"b\\c\nd, e=f')), {"pg_up": F.col("n")}, {"x": F.col("x")})
+    line = next(r.line for r in sinks.to_prometheus_lines(odd).collect() if r.part == 2)
+    assert line == 'pg_up{x="a\\"b\\\\c\\nd, e=f"} 3'
+    servers = df.select("server_id", "snap_ts", F.lit("h 1").alias("host"))
+    assert ',x=a"b\\c\\nd\\,\\ e\\=f pg_up=3 ' in sinks.to_influx_lines(odd, servers).first().line
 
 
 def test_plans_have_no_cartesian_product_and_prune_columns(spark):
