@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,21 @@ URGENCY = Ladder(
     ("tables_need_vacuum > 0", "LOW - Regular maintenance sufficient"),
     default="MINIMAL - System healthy",
 )
-ADVICE_TITLES = {
-    "immediate": "IMMEDIATE ACTIONS RECOMMENDED:", "regular": "REGULAR MAINTENANCE:",
-    "statistics": "STATISTICS UPDATES:", "autovacuum": "AUTOVACUUM STATUS:",
+#: Section of the advice report: its title, and sentences in order with the condition of each; {name} is a column.
+ADVICE = {
+    "immediate": ("IMMEDIATE ACTIONS RECOMMENDED:", (
+        ("urgent > 0", "Run VACUUM on {urgent} tables with >20% dead tuples immediately"),
+        (None, "No urgent VACUUM operations needed"))),
+    "regular": ("REGULAR MAINTENANCE:", (
+        ("vacuum > 0", "Schedule VACUUM for {vacuum} tables during maintenance window"),
+        (None, "No additional VACUUM operations needed"))),
+    "statistics": ("STATISTICS UPDATES:", (
+        ("stale > 0", "Run ANALYZE on {stale} tables to update query planner statistics"),
+        (None, "Table statistics are current"))),
+    "autovacuum": ("AUTOVACUUM STATUS:", (
+        ("autovacuum = 'off'", "CRITICAL: Autovacuum is disabled - enable immediately!"),
+        ("workers < 3 AND vacuum > 10", "Consider increasing autovacuum_max_workers (current: {workers})"),
+        (None, "Autovacuum configuration appears adequate"))),
 }
 AUTOVACUUM_EFFECT = Ladder(
     ("last_autovacuum IS NULL AND n_dead_tup > 10000", "AUTOVACUUM_NOT_RUNNING"),
@@ -150,26 +164,25 @@ def autovacuum_effectiveness(s: Snapshots, k: int = 20) -> DataFrame:
         AUTOVACUUM_EFFECT.column().alias("autovacuum_effectiveness"), pretty_bytes("total_relation_size").alias("table_size"))
 
 
+def sentence(rules: tuple) -> Column:
+    """The first sentence whose condition holds, columns filled in."""
+    chosen = F
+    for condition, text in rules:
+        words = [F.col(w).cast("string") if i % 2 else F.lit(w) for i, w in enumerate(re.split(r"{(\w+)}", text))]
+        chosen = chosen.when(F.expr(condition), F.concat(*words)) if condition else chosen.otherwise(F.concat(*words))
+    return chosen
+
+
 @report("MS7")
 def maintenance_advice(s: Snapshots) -> DataFrame:
     counts = s.table_stats.groupBy(*SNAP).agg(
         F.count_if(needs_vacuum(0.2, 5000)).alias("urgent"), F.count_if(needs_vacuum()).alias("vacuum"),
-        F.count_if(worth_analyzing()).alias("analyze"))
+        F.count_if(worth_analyzing()).alias("stale"))
     summary = counts.join(pivot_settings(s.settings, "autovacuum_max_workers", "autovacuum"), SNAP, "left").withColumn(
         "workers", as_number("autovacuum_max_workers"))
     return advice_rows(
-        summary, "recommendation", ADVICE_TITLES,
-        immediate=F.when(F.col("urgent") > 0, F.format_string("Run VACUUM on %d tables with >20%% dead tuples immediately", "urgent"))
-        .otherwise("No urgent VACUUM operations needed"),
-        regular=F.when(F.col("vacuum") > 0, F.format_string("Schedule VACUUM for %d tables during maintenance window", "vacuum"))
-        .otherwise("No additional VACUUM operations needed"),
-        statistics=F.when(F.col("analyze") > 0, F.format_string("Run ANALYZE on %d tables to update query planner statistics", "analyze"))
-        .otherwise("Table statistics are current"),
-        autovacuum=F.when(F.col("autovacuum") == "off", "CRITICAL: Autovacuum is disabled - enable immediately!")
-        .when((F.col("workers") < 3) & (F.col("vacuum") > 10),
-              F.format_string("Consider increasing autovacuum_max_workers (current: %d)", "workers"))
-        .otherwise("Autovacuum configuration appears adequate"),
-    )
+        summary, "recommendation", {key: title for key, (title, _) in ADVICE.items()},
+        **{key: sentence(rules) for key, (_, rules) in ADVICE.items()})
 
 
 @report("MS8")
