@@ -186,10 +186,12 @@ def test_exact_dedup_keeps_whole_rows(spark):
     assert kept.columns == documents(spark).columns and kept.count() == len({k[3] for k in brute_classes(AWKWARD)})
 
 
-def test_exact_dedup_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    assert differences(queries.op5_exact_dedup(spark, SF), con.sql(queries.oracle_sql()["op5_exact_dedup"])) == []
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert differences(queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])) == []
 
 
 def brute_near(rows, words, percent):
