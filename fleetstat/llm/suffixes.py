@@ -43,7 +43,7 @@ from fleetstat.llm.common import slices, text_of, written
 WINDOW = 400
 GRAM = 64
 #: First digits with at most so many extents are finished inside one task, others window by window.
-TOGETHER = 512
+TOGETHER = 128
 #: Bytes whose windows are looked at together.
 _PART = 1 << 20
 _U = np.uint64

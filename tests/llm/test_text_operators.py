@@ -132,7 +132,7 @@ def repeated_bytes(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window,gram,together", [(40, 8, 512), (40, 40, 3), (25, 5, 0)])
+@pytest.mark.parametrize("window,gram,together", [(40, 8, 128), (40, 40, 3), (25, 5, 0)])
 def test_repeated_windows_are_removed(spark, monkeypatch, window, gram, together):
     monkeypatch.setattr(suffixes, "TOGETHER", together)
     rng = random.Random(5)
