@@ -16,8 +16,9 @@ theirs, so one row stands for a run of suffixes:
    hundreds of suffixes. Copies and the inside of shared passages end here.
 3. The rest are runs that share their first digit and differ in extent, which is
    where passages begin and end. One run of each extent is read again and its
-   windows are dealt by their place in the run and all their bytes: inside one
-   task for a first digit with few extents, else one suffix a row.
+   windows are compared by their place in the run and all their bytes: inside
+   one task for a first digit with few extents, else by passes over ever shorter
+   pieces of runs, which most runs leave long before their single windows.
 
 Digits travel as hashes: 64 bits of the first digit, 128 of an extent, and 64 of a
 window beside those of its first digit and its place. Rows of one key are counted inside each task
@@ -44,6 +45,8 @@ WINDOW = 400
 GRAM = 64
 #: First digits with at most so many extents are finished inside one task, others window by window.
 TOGETHER = 128
+#: Places of a run that one piece has in the passes over digits with more extents.
+STEPS = (49, 7, 1)
 #: Bytes whose windows are looked at together.
 _PART = 1 << 20
 _U = np.uint64
@@ -215,23 +218,57 @@ def _together(extents: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "g long, e1 long, e2 long, backs array<struct<low:bigint,high:bigint>>")
 
 
-def _apart(extents: DataFrame, window: int) -> DataFrame:
-    """The same for first digits with many extents: each window is a row, so that no task gets a whole digit."""
-    names = ["g", "e1", "e2", "back", "w"]
+def _split(extents: DataFrame, window: int, step: int) -> DataFrame:
+    """Cut ranges of places into blocks of `step`: for each piece the bytes common to all windows of the block, and all bytes of the piece."""
+    names = ["g", "e1", "e2", "low", "high", "core", "whole"]
 
     def run(batches):
         for batch in batches:
-            for g, e1, e2, high, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                view, n = memoryview(body), len(body) - window + 1
-                digests = np.array([xxhash.xxh3_64_intdigest(view[s:s + window]) for s in range(n)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(n, k)) for k in (g, e1, e2)), pa.array(np.arange(high, high - n, -1)), pa.array(digests.astype(np.int64))], names)
+            out: list[tuple] = []
+            for g, e1, e2, top, body, ranges in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                view = memoryview(body)
+                for r in ranges:
+                    for block in range(r["low"] // step * step, r["high"] + 1, step):
+                        low, high = max(block, r["low"]), min(block + step - 1, r["high"])
+                        # The least place of a block starts last and its greatest ends first.
+                        core = xxhash.xxh3_64_intdigest(view[top - block:max(top - block, top - block - step + 1 + window)])
+                        out.append((g, e1, e2, low, high, core, xxhash.xxh3_64_intdigest(view[top - high:top - low + window])))
+            if out:
+                columns = [np.array(c, dtype=np.uint64 if k > 4 else np.int64).astype(np.int64) for k, c in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+
+    return extents.mapInArrow(run, "g long, e1 long, e2 long, low long, high long, core long, whole long")
 
-    rows = written(extents.select("g", "e1", "e2", "high", "body").mapInArrow(run, "g long, e1 long, e2 long, back long, w long"), "windows")
-    extent = F.xxhash64("e1", "e2")
-    twice = rows.groupBy("g", "back", "w").agg(F.min(extent).alias("least"), F.max(extent).alias("most")).where("least <> most").select("g", "back", "w")
-    backs = rows.join(twice, ["g", "back", "w"], "left_semi").groupBy("g", "e1", "e2").agg(F.collect_set("back").alias("backs"))
-    return backs.select("g", "e1", "e2", F.transform("backs", lambda b: F.struct(b.alias("low"), b.alias("high"))).alias("backs"))
+
+def _apart(extents: DataFrame, window: int) -> DataFrame:
+    """The same for first digits with many extents, by more passes, so that no task gets a whole digit.
+
+    A pass cuts the places of a run into blocks. Pieces with the same place and
+    bytes repeat each other in all their windows. A piece whose block's common
+    bytes are met once cannot repeat. What is left is cut finer, down to single
+    windows; of equal pieces one goes on, for others to be compared with.
+    """
+    keys = ["g", "e1", "e2"]
+    bodies = extents.select(*keys, F.col("high").alias("top"), "body")
+    todo = extents.select(*keys, F.col("high").alias("top"), "body", F.array(F.struct("low", "high")).alias("ranges"))
+    own, found = F.xxhash64("e1", "e2"), []
+    for step in STEPS:
+        pieces = written(_split(todo, window, step).withColumn("own", own).withColumn("block", F.floor(F.col("low") / step)), "pieces")
+        met = pieces.groupBy("g", "block", "core").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("g", "block", "core")
+        equal = pieces.groupBy("g", "low", "high", "whole").agg(F.min("own").alias("first"), F.max("own").alias("last"))
+        alive = written(
+            pieces.join(met, ["g", "block", "core"], "left_semi").join(equal, ["g", "low", "high", "whole"])
+            .withColumn("decided", F.col("first") != F.col("last")), "alive")
+        found.append(alive.where("decided").select(*keys, "low", "high"))
+        if step > 1:
+            left = alive.groupBy("g", "block", "core").agg(F.bool_and("decided").alias("all")).where("not all").select("g", "block", "core")
+            on = alive.where("own = first").join(left, ["g", "block", "core"], "left_semi")
+            ranges = on.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges"))
+            todo = bodies.join(ranges, keys)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*keys).agg(F.collect_list(F.struct("low", "high")).alias("backs"))
 
 
 def repeated(base: DataFrame, window: int, gram: int) -> DataFrame:
