@@ -36,8 +36,8 @@ END = "</w>"
 NONE = np.int64(1) << 60
 #: Words of more symbols get a tree of their own.
 LONG = 64
-#: Chunks and words a worker keeps; tables are emptied when they are full.
-KEPT_CHUNKS, KEPT_WORDS = 200_000, 100_000
+#: Chunks and words a worker keeps. A full table of chunks keeps those that came up again, a full table of words is emptied.
+KEPT_CHUNKS, KEPT_WORDS = 600_000, 400_000
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
@@ -201,6 +201,7 @@ class Encoder:
         self.v = vocabulary(path)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     @staticmethod
     def normal(chunk: str) -> str:
@@ -262,7 +263,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
+            self.chunks = {c: self.chunks[c] for c in self.again}
         parted: list[list] = []
         for text in texts:
             if self.v.split_special is not None and any(s in text for s in self.v.special):
@@ -275,7 +276,8 @@ class Encoder:
             for p in parts:
                 if not isinstance(p, int):
                     unknown.update(p)
-        unknown.difference_update(self.chunks)
+        self.again = unknown & self.chunks.keys()
+        unknown -= self.again
         self._learn(unknown)
         get = self.chunks.__getitem__
         return [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts]) for parts in parted]
