@@ -110,7 +110,7 @@ def test_pages_equal_the_article_cut_by_hand(spark):
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
-    docs, out = documents(spark).selectExpr("doc_id", "text", "'en' lang", "source", "cast(length(text) as long) n_chars").unionByName(spark.read.parquet(f"{SF}/documents.parquet")), []
+    docs, out = documents(spark).selectExpr("doc_id + 10000 AS doc_id", "text", "'en' lang", "source", "cast(length(text) as long) n_chars").unionByName(spark.read.parquet(f"{SF}/documents.parquet")), []
     folder = tmp_path_factory.mktemp("stages")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
