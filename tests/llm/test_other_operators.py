@@ -73,6 +73,44 @@ def test_audit_measures_what_is_missing(spark):
     assert neighbours.audit(points, degrees.limit(0)) == 0.0
 
 
+def crowds(cosine, bridges, seed=5, size=700, dim=32):
+    """Two crowds of near copies, all links across or only those of `bridges` pairs."""
+    rng, out = np.random.default_rng(seed), []
+    angle = np.arccos(cosine)
+    for side in (0, 1):
+        for k in range(size):
+            turn = side * angle + (0.075 if side == 0 else -0.075) * (k < bridges)
+            x = 0.01 * rng.standard_normal(dim)
+            x[:2] += np.cos(turn), np.sin(turn)
+            out.append((len(out), x.astype(np.float32).tolist(), 0))
+    return out
+
+
+@pytest.mark.parametrize("cosine, bridges", [(0.95, 0), (0.88, 2)])
+def test_links_between_crowds_are_found(spark, monkeypatch, cosine, bridges):
+    """Lists are full of vectors of the own crowd; the links across must join the two nevertheless."""
+    monkeypatch.setattr(neighbours, "AUDIT", 1)
+    rows = crowds(cosine, bridges)
+    x = np.array([r[1] for r in rows], dtype=float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    across = int(near[:700, 700:].sum())
+    assert near[:700, :700].sum() == 700 * 699 and across and (not bridges or across < 20)
+    got = neighbours.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
+    assert {r.component_id for r in got} == {0}
+
+
+def test_audit_counts_links_between_components(spark):
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int")
+    _, points = neighbours.vertices(df, "vec_id", "embedding", "label")
+    alone = points.withColumn("component", points["v"])
+    degrees = neighbours._degrees(alone, 0.93)
+    recall, apart = neighbours.audited(alone, degrees)
+    assert recall == 0.0 and apart > 1000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="x"><nav><ul><li>m<li>n</ul></nav>
 <header><p>site</header><div class="ad">buy</div><article><h1>A &amp; B&nbsp;</h1><p>one <b>two</b>three<br>four
  five<p>six <!-- no --><script>var a="</p>";</script><div class="share-box">share</div>%s</article><aside>side</aside>
