@@ -2,7 +2,8 @@
 
 Vectors are compared inside one label and one length only. Equal vectors are one
 vertex with a count. The neighbour graph starts from random-projection leaves
-(a leaf with too many vectors is cut by hash) and is refined by rounds of
+(a leaf with too many vectors is cut by hash; labels with more vectors have more
+trees) and is refined, until lists and links hardly change, by rounds of
 neighbours-of-neighbours joins: every vertex compares the members of its list and
 of the lists it is in with each other, a member takes what is nearer than its
 farthest neighbour, and only pairs with a new member are compared again. A list
@@ -14,9 +15,10 @@ least vertex their links lead to. Vertices with saturated lists are then searche
 again, with a list of the nearest outside their component, until no more components
 are joined. Inside each component all pairs are counted in blocks, so the number of
 links does not depend on how long lists have grown. An audit compares a sample of
-about AUDIT query vectors with all vectors of their label, in blocks; while its
-recall is below `least_recall`, or a true link has its ends in two components, the
-search is repeated with longer lists and more leaves.
+about AUDIT query vectors with all vectors of their label, in blocks, and takes more
+until it holds AUDIT_LINKS true links or all vectors; while its recall is below
+`least_recall`, or a true link has its ends in two components, the search is repeated
+with longer lists and more leaves. If that does not help, all pairs are compared.
 
 A vertex with a list of very many others is cut by hash as well, so no task gets
 an unbounded group. Nothing is dropped: what a list cannot hold is counted inside
@@ -32,6 +34,8 @@ identifier, vector and label are neither read nor returned.
 from __future__ import annotations
 
 import logging
+import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +46,18 @@ from fleetstat.llm.common import written
 from fleetstat.llm.components import components
 
 THRESHOLD = 0.93
-LIST, LEAVES, LEAF_ROWS, LEAF_MOST, ROUNDS = 10, 4, 128, 1024, 5
+LIST, LEAVES, LEAF_ROWS, LEAF_MOST = 10, 4, 128, 1024
+#: Refining ends when at most this share of all list entries, and of all links in lists, is new.
+CHANGED, NEW_LINKS = 0.01, 0.001
+#: A pair at the threshold is apart in all start trees of its label with at most this probability.
+MISS = 0.01
+#: Searches with doubled effort before all pairs of a label are compared.
+TRIES = 4
 #: Saturated lists grow up to so many times LIST; beyond that, the search outside the component and counting inside it take over.
 GROWTH = 4
 BLOCK = 1024
-AUDIT = 1000
+#: Query vectors of the audit, and true links its sample must hold, or else it is enlarged up to all vectors.
+AUDIT, AUDIT_LINKS = 1000, 500
 LEAST_RECALL = 0.95
 _LOG = logging.getLogger(__name__)
 
@@ -72,11 +83,18 @@ def vertices(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> tup
     return rows, written(distinct.select("v", space.alias("space"), "vec", "count", "label"), "vertices")
 
 
-def _leaves(points: DataFrame, leaves: int, seed: int) -> DataFrame:
+def _trees(leaves: int, bits, threshold: float):
+    """Start trees of a label: `leaves`, or as many more as bound the probability that a pair at the threshold shares no leaf."""
+    together = F.pow(F.lit(1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi), bits)
+    needed = F.when((together < 1) & (together > 0), F.ceil(F.lit(leaves / LEAVES * math.log(MISS)) / F.log1p(-together)))
+    return F.greatest(F.lit(leaves), needed).cast("int")
+
+
+def _leaves(points: DataFrame, leaves: int, seed: int, threshold: float) -> DataFrame:
     """(tree, leaf, v, vec, own): every vector in one leaf of each tree, leaves of bounded size."""
     sizes = points.groupBy("space").agg(F.count("*").alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF_ROWS))).cast("int")
-    sized = points.join(sizes.select("space", bits.alias("bits")), "space").select("v", "space", "vec", "bits", "own")
+    sized = points.join(sizes.select("space", bits.alias("bits"), _trees(leaves, bits, threshold).alias("trees")), "space").select("v", "space", "vec", "bits", "own", "trees")
     kind = sized.schema["vec"].dataType.simpleString()
 
     def run(batches):
@@ -86,14 +104,16 @@ def _leaves(points: DataFrame, leaves: int, seed: int) -> DataFrame:
             for dim in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == dim))
                 unit = _matrix(pa.chunked_array([part.column(2)]))
-                bits = part.column(3).to_numpy()
-                for tree in range(leaves):
+                trees = part.column(5).to_numpy()
+                for tree in range(int(trees.max())):
                     if (dim, tree) not in planes:
                         planes[dim, tree] = np.random.default_rng([seed, tree, int(dim)]).standard_normal((int(dim), 40))
-                    signs = (unit @ planes[dim, tree] > 0).astype(np.int64)
+                    has = trees > tree
+                    dealt, bits = part.filter(pa.array(has)), part.column(3).to_numpy()[has]
+                    signs = (unit[has] @ planes[dim, tree] > 0).astype(np.int64)
                     code = (signs << np.arange(40)).sum(axis=1) & ((np.int64(1) << np.minimum(bits, 40)) - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), tree)), part.column(1), pa.array(code), part.column(0), part.column(2), part.column(4)],
+                        [pa.array(np.full(len(dealt), tree)), dealt.column(1), pa.array(code), dealt.column(0), dealt.column(2), dealt.column(4)],
                         ["tree", "space", "code", "v", "vec", "own"])
 
     coded = sized.mapInArrow(run, f"tree long, space long, code long, v long, vec {kind}, own long")
@@ -148,7 +168,7 @@ def _start(points: DataFrame, k: int, leaves: int, seed: int, threshold: float)
         i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, dtype=int),) * 2
         return _entries(ids, own, sims, i, j, (sims >= threshold) & ~same)
 
-    return _leaves(points, leaves, seed).groupBy("tree", "space", "code", "part").applyInArrow(run, _ENTRY)
+    return _leaves(points, leaves, seed, threshold).groupBy("tree", "space", "code", "part").applyInArrow(run, _ENTRY)
 
 
 def _kept(candidates: DataFrame, before: DataFrame | None, k: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,22 +220,25 @@ def _round(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> Dat
     return members.groupBy("at", "part").applyInArrow(run, _ENTRY)
 
 
-def _descended(points: DataFrame, start: DataFrame, k: int, rounds: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _descended(points: DataFrame, start: DataFrame, k: int, rounds: int | None, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The graph refined from its first candidates, and the links (a, b) of all compared pairs, each group's as a star."""
     rooted = lambda graph: graph.select(F.col("v").alias("a"), F.explode("roots").alias("b"))
     graph = _kept(start, None, k, threshold)
     links = rooted(graph)
     old = F.transform("near", lambda e: F.struct(e["sim"], e["u"], F.lit(False).alias("fresh")))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         graph = _kept(_round(graph, points, k, threshold), graph.withColumn("near", old), k, threshold)
         links = links.unionByName(rooted(graph))
-        news, all_ = graph.select(F.sum(F.size(F.filter("near", lambda e: e["fresh"] & (e["sim"] >= threshold)))), F.sum(F.size("near"))).first()
-        if (news or 0) <= 0.0005 * (all_ or 0):
+        number = lambda test: F.coalesce(F.sum(F.size(F.filter("near", test))), F.lit(0))
+        changed, entries, news, linked_ = graph.where("not inside").select(
+            number(lambda e: e["fresh"]), number(lambda e: F.lit(True)),
+            number(lambda e: e["fresh"] & (e["sim"] >= threshold)), number(lambda e: e["sim"] >= threshold)).first()
+        if changed <= CHANGED * entries and news <= NEW_LINKS * linked_:
             break
     return graph, links
 
 
-def search(points: DataFrame, k: int = LIST, leaves: int = LEAVES, rounds: int = ROUNDS, threshold: float = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def search(points: DataFrame, k: int = LIST, leaves: int = LEAVES, rounds: int | None = None, threshold: float = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The refined graph, and links (a, b) that connect what is linked.
 
     A list that is full of links says nothing about links beyond it. The vertices
@@ -246,7 +269,7 @@ def search(points: DataFrame, k: int = LIST, leaves: int = LEAVES, rounds: int =
         links = links.unionByName(more)
 
 
-def descend(points: DataFrame, k: int = LIST, leaves: int = LEAVES, rounds: int = ROUNDS, threshold: float = THRESHOLD, seed: int = 0) -> DataFrame:
+def descend(points: DataFrame, k: int = LIST, leaves: int = LEAVES, rounds: int | None = None, threshold: float = THRESHOLD, seed: int = 0) -> DataFrame:
     """The refined graph: v, near (sim, u, fresh)."""
     return search(points, k, leaves, rounds, threshold, seed)[0]
 
@@ -297,15 +320,22 @@ def _degrees(placed: DataFrame, threshold: float) -> DataFrame:
     return _counted(_blocked(inside, inside, "component"), threshold).select("v", "links")
 
 
-def audited(points: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> tuple[float, int]:
-    """Share of the true links of sampled query vectors that were found, and how many of them join different components."""
+def audited(points: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT, least_links: int = AUDIT_LINKS) -> tuple[float, int]:
+    """Share of the true links of sampled query vectors that were found, and how many of them join different components.
+
+    The sample grows until it holds `least_links` links or every vector, so that an
+    audit never passes on links it has not seen.
+    """
     n = points.count()
-    share = min(1.0, queries / max(n, 1))
-    chosen = points.where(F.pmod(F.xxhash64("v", F.lit("audit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    true = _counted(_blocked(chosen, points, "space"), threshold)
-    both = true.join(degrees.withColumnRenamed("links", "found"), "v", "left").agg(
-        F.sum("links").alias("t"), F.sum(F.coalesce("found", F.lit(0))).alias("f"), F.sum("apart").alias("apart")).first()
-    return 1.0 if not both["t"] else both["f"] / both["t"], both["apart"] or 0
+    while True:
+        share = min(1.0, queries / max(n, 1))
+        chosen = points.where(F.pmod(F.xxhash64("v", F.lit("audit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        true = _counted(_blocked(chosen, points, "space"), threshold)
+        links, found, apart = true.join(degrees.withColumnRenamed("links", "found"), "v", "left").agg(
+            F.coalesce(F.sum("links"), F.lit(0)), F.sum(F.coalesce("found", F.lit(0))), F.coalesce(F.sum("apart"), F.lit(0))).first()
+        if links >= least_links or share == 1.0:
+            return (found / links if links else 1.0), apart
+        queries *= max(2, min(16, math.ceil(1.5 * least_links / max(links, 1))))
 
 
 def audit(points: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
@@ -313,19 +343,37 @@ def audit(points: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, q
     return audited(points, degrees, threshold, queries)[0]
 
 
+def _exactly(points: DataFrame, threshold: float) -> DataFrame:
+    """Every vertex with its component by all pairs of its label, in blocks."""
+    def run(group: pa.Table) -> pa.Table:
+        unit, side, ids = _matrix(group.column("vec")), group.column("side").to_numpy(), group.column("v").to_numpy()
+        a, b = side == 0, side == 1
+        roots = np.concatenate(_roots(unit[a] @ unit[b].T >= threshold, ids[a], ids[b]))
+        both = np.concatenate((ids[a], ids[b]))
+        return pa.table({"a": both[roots != both], "b": roots[roots != both]})
+
+    links = _blocked(points, points, "space").where("i <= j").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    found = components(links)
+    return points.join(found, points["v"] == found["vertex"], "left").select("v", "space", "vec", "count", F.coalesce("component", "v").alias("component"))
+
+
 def linked(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", k: int = LIST, least_recall: float = LEAST_RECALL) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     rows, points = vertices(df, id_col, vector_col, label_col)
     leaves = LEAVES
-    for _ in range(4):
+    for _ in range(TRIES):
         graph, links = search(points, k, leaves, threshold=threshold)
         placed = written(_joined(points, graph, threshold, links), "placed")
         degrees = written(_degrees(placed, threshold), "degrees")
-        recall, apart = audited(placed, degrees, threshold)
+        recall, apart = audited(placed, degrees, threshold, AUDIT, AUDIT_LINKS)
         _LOG.info("NN-descent with lists of %d and %d trees: recall %.4f, %d links between components", k, leaves, recall, apart)
         if recall >= least_recall and not apart:
             break
         k, leaves = 2 * k, 2 * leaves
+    else:
+        _LOG.warning("NN-descent stays below recall %.4f or leaves links between components: all pairs are compared", least_recall)
+        placed = written(_exactly(points, threshold), "placed")
+        degrees = written(_degrees(placed, threshold), "degrees")
     of_vertex = placed.join(degrees, "v", "left").select("v", "component", "count", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
     classes = points.select("v", F.col("label").alias("l"), F.col("vec").alias("x")).join(of_vertex, "v").select("l", "x", "component", "n_links")
     good = rows.where("good").join(classes, (F.col("label") == F.col("l")) & (F.col("vec") == F.col("x"))).select("vec_id", "component", "n_links")

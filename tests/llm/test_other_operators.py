@@ -111,6 +111,28 @@ def test_audit_counts_links_between_components(spark):
     assert recall == 0.0 and apart > 1000
 
 
+def test_rare_links_are_audited_and_compared_if_not_found(spark, monkeypatch):
+    """A search that finds nothing fails the audit although the first sample has no true link; then all pairs are compared."""
+    rng = np.random.default_rng(11)
+    rows = [(k, x.tolist(), 0) for k, x in enumerate(rng.standard_normal((3000, 16)).astype(np.float32))]
+    rows += [(3000 + k, rows[k][1][:15] + [rows[k][1][15] + 0.01], 0) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    _, points = neighbours.vertices(df, "vec_id", "embedding", "label")
+    alone = points.withColumn("component", points["v"])
+    assert neighbours.audited(alone, neighbours._degrees(alone, 0.93), queries=10) == (0.0, sum(n for _, n, _ in brute_links(rows[:6] + rows[3000:]).elements()))
+    monkeypatch.setattr(neighbours, "TRIES", 0)
+    got = neighbours.linked(df).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got if r.n_links) == Counter(
+        (k, n, g) for k, n, g in brute_links(rows[:6] + rows[3000:]).elements() if n)
+
+
+def test_labels_with_more_vectors_have_more_trees(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(0,), (3,), (10,), (17,)], "bits int").select("bits", neighbours._trees(4, F.col("bits"), 0.93).alias("trees"))
+    for bits, trees in df.collect():
+        assert trees >= 4 and (bits == 0 or (1 - 0.8802 ** bits) ** trees <= 0.0101)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="x"><nav><ul><li>m<li>n</ul></nav>
 <header><p>site</header><div class="ad">buy</div><article><h1>A &amp; B&nbsp;</h1><p>one <b>two</b>three<br>four
  five<p>six <!-- no --><script>var a="</p>";</script><div class="share-box">share</div>%s</article><aside>side</aside>
