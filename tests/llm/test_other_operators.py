@@ -152,6 +152,16 @@ def test_main_text_of_hand_pages(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_minority_layout_keep_their_text(spark):
+    story, entry = "<body><div class=top><p>top</div><div class=story><p>%s</div>", "<body><div class=top><p>top</div><div class=entry><p>%s</div>"
+    rows = [(k, "http://a.example/", (story if k < 7 else entry) % (f"{k} tale " * 30)) for k in range(10)]
+    rows += [(10 + k, "http://b.example/", f"<article><p>in {k}" if k < 3 else f"<div class=post><p>out {k}</div>") for k in range(4)]
+    rows += [(20, None, "<article><p>one"), (21, "http://[bad", "<div><p>two</div>"), (22, None, "<main><p>three</main>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(f"{k} tale") and "top" not in got[k].split() for k in range(10)), got
+    assert [got[k] for k in (10, 11, 12, 13, 20, 21, 22)] == ["in 0", "in 1", "in 2", "out 3", "one", "two", "three"]
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     wrapper = wrappers.infer(["<u <l # >l >u <p # >p", "<u <l # >l <l # >l <l # >l >u <h # >h <p # >p <p # >p"])
     assert wrapper == "<u ( <l # >l )+ >u ( <h # >h )? ( <p # >p )+"
