@@ -162,6 +162,15 @@ def test_pages_of_a_minority_layout_keep_their_text(spark):
     assert [got[k] for k in (10, 11, 12, 13, 20, 21, 22)] == ["in 0", "in 1", "in 2", "out 3", "one", "two", "three"]
 
 
+@pytest.mark.parametrize("tag, attributes, skipped", [
+    ("div", ' style="overflow:hidden"', False), ("div", ' aria-hidden="false"', False), ("p", ' title="the hidden city"', False), ("div", ' data-hidden="1"', False),
+    ("div", " hidden", True), ("div", ' hidden=""', True), ("div", ' aria-hidden="true"', True),
+    ("body", ' class="no-sidebar"', False), ("div", ' id="content-with-sidebar"', False), ("article", ' class="widget-news"', False), ("main", ' class="search"', False),
+    ("div", ' class="article-header"', False), ("div", ' class="x share-box"', True), ("div", ' id="cookie-notice"', True), ("div", ' class="site-footer"', True), ("div", ' class="ad-728x90"', True)])
+def test_only_whole_names_rule_parts_out(tag, attributes, skipped):
+    assert wrappers._signature(tag, attributes)[1] == skipped
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     wrapper = wrappers.infer(["<u <l # >l >u <p # >p", "<u <l # >l <l # >l <l # >l >u <h # >h <p # >p <p # >p"])
     assert wrapper == "<u ( <l # >l )+ >u ( <h # >h )? ( <p # >p )+"
