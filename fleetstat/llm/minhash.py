@@ -40,6 +40,7 @@ BANDS = 32
 #: Coordinates in a band by least similarity in percent.
 ROWS = {85: 7, 80: 5}
 _PART = 1 << 20
+_SPACES = tuple(bytes([c]) for c in (0x20, *range(0x09, 0x0E)))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,8 +75,9 @@ def _hash_part(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _IS_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    if len(raw) > _PART:  # one word longer than a part
-        return starts, np.array([int.from_bytes(hashlib.blake2b(_LOWER[raw[a:b]].astype(np.uint8).tobytes(), digest_size=8).digest(), "little") for a, b in zip(starts, ends)], dtype=np.uint64)
+    if len(raw) > _PART:  # a word longer than a part has a digest; the choice is by its own length
+        long = lambda a, b: int.from_bytes(hashlib.blake2b(_LOWER[raw[a:b]].astype(np.uint8).tobytes(), digest_size=8).digest(), "little")
+        return starts, np.array([long(a, b) if b - a > _PART else _hash_part(raw[a:b])[1][0] for a, b in zip(starts, ends)], dtype=np.uint64)
     if not _POWERS:
         _POWERS.append(_powers())
     up, down = _POWERS[0]
@@ -90,7 +92,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         end = min(at + _PART, len(data))
         if end < len(data) and not _SPACE.match(data, end):
-            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            cut = max(data.rfind(space, at, end) for space in _SPACES)
             if cut > at:
                 end = cut
             else:

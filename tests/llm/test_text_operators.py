@@ -253,6 +253,20 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     assert whole[0].tolist() == parts[0].tolist() and whole[1][:-1].tolist() == parts[1][:-1].tolist()
 
 
+@pytest.mark.parametrize("space", ["\t", "\r", "\x0b", "\x0c"])
+def test_parts_are_cut_at_any_white_space(monkeypatch, space):
+    text = prose(9, 1)[0].replace(" ", space).encode()
+    whole = minhash.word_hashes(text)[1]
+    monkeypatch.setattr(minhash, "_PART", 100)
+    assert len(text) > 300 and minhash.word_hashes(text)[1].tolist() == whole.tolist()
+
+
+def test_a_words_own_length_chooses_its_hash(monkeypatch):
+    monkeypatch.setattr(minhash, "_PART", 100)
+    alone, after = (minhash.word_hashes(t)[1].tolist() for t in (b"x" * 100, b" " + b"x" * 100))
+    assert alone == after
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
