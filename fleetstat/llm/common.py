@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they find it from whatever folder they start."""
+    context = spark.sparkContext
+    if getattr(context, "_fleetstat_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='fleetstat-package-')}/fleetstat", "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(name)
+    context._fleetstat_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. Only a session that names none gets its own, and only on one machine."""
     context = spark.sparkContext

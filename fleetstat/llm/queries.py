@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import bpe, exact, langid, minhash, neighbours, packing, secrets, sharding, suffixes, wrappers
-from fleetstat.llm.common import table
+from fleetstat.llm import audit, bpe, exact, idstore, langid, minhash, neighbours, packing, secrets, sharding, suffixes, wrappers
+from fleetstat.llm.common import scratch, ship, table
 
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -58,20 +59,43 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = idstore.write(docs, WORDS, scratch(spark, "store"))
+    return idstore.report(idstore.read(store, docs))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "pipeline": corpus_pipeline.run,
-        "op1_language_id": op1_language_id,
-        "op2_bpe_encoding": op2_bpe_encoding,
-        "op3_sharding": op3_sharding,
-        "op4_suffix_array_dedup": op4_suffix_array_dedup,
-        "op5_exact_dedup": op5_exact_dedup,
-        "op6_embedding_near_dedup": op6_embedding_near_dedup,
-        "op7_minhash_near_dedup": op7_minhash_near_dedup,
-        "op8_best_fit_packing": op8_best_fit_packing,
-        "op9_html_extraction": op9_html_extraction,
-        "op10_secret_scans": op10_secret_scans,
-    }
+    return {name: _shipped(query) for name, query in _QUERIES.items()}
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
+    "op1_language_id": op1_language_id,
+    "op2_bpe_encoding": op2_bpe_encoding,
+    "op3_sharding": op3_sharding,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_secret_scans": op10_secret_scans,
+    "op12_token_id_output": op12_token_id_output,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
+}
 
 
 EXACT_SQL = r"""
@@ -111,7 +135,39 @@ SELECT x.vec_id, coalesce(n, 0) AS n_links, least(x.vec_id, coalesce(l.b, x.vec_
 FROM embeddings x LEFT JOIN least_of l ON l.a = x.vec_id LEFT JOIN degrees d ON d.a = x.vec_id
 """
 
+AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+least_of AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY ALL),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > least THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM words JOIN least_of USING (t) LEFT JOIN said USING (doc_id)),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+permuted AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INT AS step FROM permuted),
+cells AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+judged AS (
+  SELECT part, filter_order, step, filter_order[step] AS x, good, toxic, n, fails, list_contains(fails, filter_order[step]) AS here,
+         len(list_filter(fails, lambda y: contains(filter_order[1:step - 1], y))) > 0 AS before FROM cells, steps),
+summed AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN NOT before AND NOT here THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN here AND before THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here AND len(fails) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN here AND NOT before AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN here AND NOT before AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM summed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op5_exact_dedup": EXACT_SQL, "op6_embedding_near_dedup": VECTOR_SQL, "op7_minhash_near_dedup": NEAR_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op5_exact_dedup": EXACT_SQL, "op6_embedding_near_dedup": VECTOR_SQL, "op7_minhash_near_dedup": NEAR_SQL, "op13_filter_interaction_audit": AUDIT_SQL,
+           "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
