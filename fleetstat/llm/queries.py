@@ -9,7 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetstat.llm import audit, bpe, exact, idstore, langid, minhash, neighbours, packing, secrets, sharding, suffixes, wrappers
+from fleetstat.llm import audit, bpe, exact, idstore, langid, minhash, neighbours, packing, phrases, secrets, sharding, suffixes, wrappers
 from fleetstat.llm.common import scratch, ship, table
 
 
@@ -59,6 +59,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = idstore.write(docs, WORDS, scratch(spark, "store"))
@@ -93,6 +97,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_token_id_output": op12_token_id_output,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
@@ -135,6 +140,31 @@ SELECT x.vec_id, coalesce(n, 0) AS n_links, least(x.vec_id, coalesce(l.b, x.vec_
 FROM embeddings x LEFT JOIN least_of l ON l.a = x.vec_id LEFT JOIN degrees d ON d.a = x.vec_id
 """
 
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, range(1, 5) t(k)),
+counted AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, phrase, a, c.k, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS tail
+  FROM counted c, range(1, 4) t(j) WHERE c.k > j),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, ((2000000 * cuts.a::HUGEINT) // (x.a + y.a))::BIGINT AS score,
+         row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (2000000 * cuts.a::HUGEINT) // (x.a + y.a), j) AS place
+  FROM cuts JOIN counted x ON x.lang = cuts.lang AND x.phrase = head JOIN counted y ON y.lang = cuts.lang AND y.phrase = tail),
+inside AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' '))) AS phrase
+  FROM counted, range(2, 4) t(m) WHERE k > m),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longest g ON g.lang = s.lang AND g.phrase = s.phrase WHERE place = 1 AND coalesce(100 * longer < 80 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 AUDIT_SQL = r"""
 WITH words AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
@@ -168,6 +198,6 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op5_exact_dedup": EXACT_SQL, "op6_embedding_near_dedup": VECTOR_SQL, "op7_minhash_near_dedup": NEAR_SQL, "op13_filter_interaction_audit": AUDIT_SQL,
+    sql = {"op5_exact_dedup": EXACT_SQL, "op6_embedding_near_dedup": VECTOR_SQL, "op7_minhash_near_dedup": NEAR_SQL, "op11_phrase_collocations": PHRASE_SQL, "op13_filter_interaction_audit": AUDIT_SQL,
            "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
