@@ -11,11 +11,11 @@ union's phrases exactly over all documents.
 A shard is not a task: its counts are summed by shard and phrase over all tasks, so a
 shard may have any size and their number stays below `least`, where a lowered support
 still rules phrases out. Between passes the union travels as a bit table of fixed size
-(2^`bits` bits, 16 MB) over hashes of language and phrase. It has no phrase too few;
+(2^`bits` bits, 8 MB) over hashes of language and phrase. It has no phrase too few;
 those it has too many are counted and then fall to the exact support, so hashes never
 decide a result: the last pass counts language and words themselves.
 
-A worker reads words of about 8 MB of text at once as numbers of a table of its distinct
+A worker reads words of about 4 MB of text at once as numbers of a table of its distinct
 words (exact), and phrases as numbers of pairs (shorter phrase, next word). Texts are cut
 at the ends of pieces only, so no phrase is lost; memory follows the longest piece.
 
@@ -41,13 +41,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetstat.llm.common import BATCH_BYTES, slices, text_of, written
+from fleetstat.llm.common import slices, text_of, written
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 HELD_PERCENT = 80
 SCALE = 2_000_000
 SHARDS = 8
-BITS = 27
+BITS = 26
+#: Bytes of text a worker reads at once.
+SLICE_BYTES = 4 << 20
 
 # Classes of bytes: part of a word, blank, end of a piece.
 _WORD, _BLANK, _END = 0, 1, 2
@@ -86,7 +88,7 @@ class Words:
         coded = words.dictionary_encode()
         self.distinct = coded.dictionary
         self.number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.piece = np.cumsum(kinds == _END, dtype=np.int64)[starts] if len(starts) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(kinds == _END, dtype=np.int32)[starts]
         self.text = np.searchsorted(ends, starts, side="right")
 
 
@@ -147,16 +149,16 @@ class Phrases:
 
 
 def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes of texts, each closed by an end of a piece, in stretches of about BATCH_BYTES that close with one too, and where each text ends."""
+    """Bytes of texts, each closed by an end of a piece, in stretches of about SLICE_BYTES that close with one too, and where each text ends."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    if len(data) <= 2 * BATCH_BYTES:
+    if len(data) <= 2 * SLICE_BYTES:
         yield data, ends
         return
     closes = np.flatnonzero(_CLASS[data] == _END) + 1
     start = 0
     while start < len(data):
-        at = max(np.searchsorted(closes, start + BATCH_BYTES, side="right") - 1, np.searchsorted(closes, start, side="right"))
+        at = max(np.searchsorted(closes, start + SLICE_BYTES, side="right") - 1, np.searchsorted(closes, start, side="right"))
         stop = int(closes[at])
         yield data[start:stop], ends - start
         start = stop
@@ -166,7 +168,7 @@ def _chains(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray | None])
     """Phrases of one word, two words and so on in each slice of rows (lang, ..., text); groups are the values before the text."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
-        for start, end in slices([len(t) if (t := s.as_buffer()) is not None else 0 for s in texts]):
+        for start, end in slices([len(t) if (t := s.as_buffer()) is not None else 0 for s in texts], SLICE_BYTES):
             values = list(zip(*(batch.column(i).slice(start, end - start).to_pylist() for i in range(batch.num_columns - 1))))
             names: dict[tuple, int] = {}
             group = np.array([names.setdefault(v, len(names)) for v in values])
@@ -227,7 +229,7 @@ def shard_phrases(docs: DataFrame, tables: list[Broadcast], lengths: tuple[int,
 
 
 def bit_table(hashes: DataFrame, bits: int = BITS) -> Broadcast:
-    """The union as a table of 2^bits bits: at most 2^(bits - 6) words of it reach the driver, 16 MB with 27 bits, whatever the union."""
+    """The union as a table of 2^bits bits: at most 2^(bits - 6) words of it reach the driver, 8 MB with 26 bits, whatever the union."""
     at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
