@@ -338,4 +338,5 @@ def remove(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
 def report(cut: DataFrame) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"), (F.size("removed") > 0).alias("repeated"))
