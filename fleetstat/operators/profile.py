@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MCV = 10
-BUCKETS = 10
-
 
 def _width(f: T.StructField) -> Column:
     """Bytes of a value: the text length, or the fixed size of the type."""
@@ -22,14 +19,14 @@ def _profiled(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def column_profile(df: DataFrame, table: str, exact: bool = False, mcv: int = MCV) -> DataFrame:
+def column_profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     """Null fraction, distinct values (-1 when all differ), width, extremes and top counts per column.
 
     One pass computes the scalar statistics. Value counts are one further
     aggregation over (column, value) pairs, partial before the shuffle, so a
-    value filling most of the table crosses the network once per task; only the
-    ``mcv`` most frequent values of each column survive. With ``exact`` the
-    distinct count is the number of groups of that aggregation, otherwise a sketch.
+    value filling most of the table crosses the network once per task. With ``exact``
+    the distinct count is the number of groups of that aggregation, otherwise a sketch.
+    Paths inside nested columns are the matter of ``distribution.nested_profile``.
     """
     fields = _profiled(df)
     texts = {f.name: F.col(f.name).cast("string") for f in fields}
@@ -69,29 +66,3 @@ def column_profile(df: DataFrame, table: str, exact: bool = False, mcv: int = MC
         F.coalesce("top_frequency", F.lit(0)).cast("bigint").alias("top_frequency"),
         F.coalesce("repeated_values", F.lit(0)).cast("bigint").alias("repeated_values"),
     )
-
-
-def most_common_values(df: DataFrame, columns: list[str], k: int = MCV) -> DataFrame:
-    """The k most frequent values of each column with their frequencies; ties go to the smaller text."""
-    from pyspark.sql.window import Window
-
-    pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("attname"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL")
-    counts = pairs.groupBy("attname", "value").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("attname").orderBy(F.col("freq").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def histogram_bounds(df: DataFrame, columns: list[str], buckets: int = BUCKETS, accuracy: int = 10_000) -> DataFrame:
-    """Equal-height bucket bounds of numeric columns from a mergeable quantile sketch."""
-    points = [i / buckets for i in range(buckets + 1)]
-    one = df.agg(*[F.percentile_approx(c, points, accuracy).cast("array<double>").alias(c) for c in columns])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("attname"), F.col(c).alias("histogram_bounds")) for c in columns])))
-
-
-def order_correlation(df: DataFrame, row_order: str, columns: list[str]) -> DataFrame:
-    """Correlation of numeric column values with a row-order column, in one pass."""
-    one = df.agg(*[F.corr(F.col(row_order).cast("double"), F.col(c).cast("double")).alias(c) for c in columns])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("attname"), F.col(c).alias("correlation")) for c in columns])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetstat.functions import (
     SNAP, n_rows, Ladder, age_micros, array_length, as_number, latest_of, older_than, percent, pretty_bytes,
 )
+from fleetstat.operators import distribution
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.operators.profile import column_profile
 from fleetstat.plans.registry import report
@@ -199,3 +200,69 @@ def _profile(table: str):
 
 for _table in ("orders", "lineitem", "customer", "part", "events", "documents"):
     report(f"A16_{_table.upper()}")(_profile(_table))
+
+
+#: Text columns that hold JSON objects, and the order in which a table's rows were stored.
+JSON_COLUMNS = {"events": ("props",)}
+ROW_ORDER = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
+COMMON_OF = ("orders", "lineitem", "customer", "part", "events", "documents", "embeddings")
+NESTED_OF = ("events", "embeddings")
+
+
+def _named(build, name: str):
+    build.__name__ = name
+    return build
+
+
+def _common(table: str):
+    return _named(lambda s, k=distribution.COMMON: distribution.most_common_values(
+        getattr(s, table), table, k, json=JSON_COLUMNS.get(table, ())), "most_common_values")
+
+
+def _bounds(table: str):
+    return _named(lambda s, buckets=distribution.BUCKETS: distribution.histogram_bounds(getattr(s, table), table, buckets), "histogram_bounds")
+
+
+def _correlation(table: str):
+    return _named(lambda s: distribution.order_correlation(getattr(s, table), table, ROW_ORDER[table]), "order_correlation")
+
+
+def _nested(table: str):
+    return _named(lambda s: distribution.nested_profile(getattr(s, table), table, JSON_COLUMNS.get(table, ())), "nested_profile")
+
+
+for _table in COMMON_OF:
+    report(f"A16M_{_table.upper()}")(_common(_table))
+for _table in ROW_ORDER:
+    report(f"A16H_{_table.upper()}")(_bounds(_table))
+    report(f"A16C_{_table.upper()}")(_correlation(_table))
+for _table in NESTED_OF:
+    report(f"A16N_{_table.upper()}")(_nested(_table))
+
+
+def computed_statistics(s: Snapshots, tables=("orders", "customer"), target: int = 100) -> DataFrame:
+    """Statistics of the tables' own columns, as a planner would have gathered them."""
+    parts = [distribution.statistics(getattr(s, t), t, column_profile(getattr(s, t), t, exact=True), ROW_ORDER[t], target) for t in tables]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@report("SC3C")
+def insufficient_computed_stats(s: Snapshots, target: int = 100) -> DataFrame:
+    weak = computed_statistics(s, target=target).where(F.expr(f"({WEAK_MCV}) OR ({WEAK_HISTOGRAM}) OR ({WEAK_CORRELATION})"))
+    return weak.select(
+        "table_name", F.col("attname").alias("column_name"), "n_distinct", "mcv_count", "histogram_buckets", "correlation",
+        STATISTICS_QUALITY.column().alias("statistics_quality"))
+
+
+@report("SC5C")
+def computed_distribution(s: Snapshots, tables=("orders", "lineitem", "customer", "part", "events", "documents")) -> DataFrame:
+    parts = [column_profile(getattr(s, t), t, exact=True) for t in tables]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.where(NOTABLE).select(
+        "table_name", "attname", "null_frac", "n_distinct", "avg_width", NULL_CATEGORY.column().alias("null_category"),
+        CARDINALITY_CATEGORY.column().alias("cardinality_category"), SIZE_CATEGORY.column().alias("size_category"))

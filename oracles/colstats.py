@@ -40,6 +40,73 @@ def profile(table: str) -> str:
     return " UNION ALL ".join(branches)
 
 
+FLOATS = {"o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "c_acctbal", "p_retailprice", "value"}
+TIMES = {"o_orderdate", "l_shipdate", "ts"}
+ORDER = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
+WHOLE = {"embeddings": ["vec_id", "label"]}
+NESTED = {
+    "events": ["""SELECT 'props.' || key AS attname, json_extract_string(props, '$."' || key || '"') AS text, NULL::DOUBLE AS number,
+                  strlen(json_extract_string(props, '$."' || key || '"'))::BIGINT AS width FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)"""],
+    "embeddings": ["SELECT 'embedding.size' AS attname, len(embedding)::VARCHAR AS text, len(embedding)::DOUBLE AS number, 4::BIGINT AS width FROM embeddings",
+                   "SELECT 'embedding[]' AS attname, NULL::VARCHAR AS text, x::DOUBLE AS number, CASE WHEN x IS NOT NULL THEN 4::BIGINT END AS width"
+                   " FROM (SELECT unnest(embedding) AS x FROM embeddings)"],
+}
+
+
+def cell(c: str, text: bool) -> str:
+    if text:
+        return f"{c} AS text, NULL::DOUBLE AS number"
+    if c in FLOATS:
+        return f"NULL::VARCHAR AS text, {c}::DOUBLE AS number"
+    return f"{c}::VARCHAR AS text, {f'epoch_us({c})' if c in TIMES else c}::DOUBLE AS number"
+
+
+def cells(table: str, extra: str = "", source: str = "", json: bool = False) -> str:
+    columns = WIDTH.get(table) or dict.fromkeys(WHOLE[table], 4)
+    parts = [f"SELECT '{c}' AS attname, {cell(c, w == 0)}{extra} FROM {source or table}" for c, w in columns.items() if not (json and c == "props")]
+    parts += [f"SELECT attname, text, number FROM ({p})" for p in NESTED.get(table, ()) if json]
+    return " UNION ALL ".join(parts)
+
+
+def common(table: str, k: int = 10) -> str:
+    return f"""SELECT '{table}' AS table_name, attname, rank, value, number, freq FROM (
+        SELECT *, row_number() OVER (PARTITION BY attname ORDER BY freq DESC, number NULLS FIRST, value)::INT AS rank FROM (
+            SELECT attname, CASE WHEN length(text) > 32 THEN 'md5:' || md5(text) ELSE text END AS value, number, count(*) AS freq
+            FROM ({cells(table, json=True)}) c WHERE text IS NOT NULL OR number IS NOT NULL GROUP BY ALL) f) r WHERE rank <= {k}"""
+
+
+def bounds(table: str, buckets: int = 10) -> str:
+    return f"""SELECT '{table}' AS table_name, attname, j::INT AS bucket, text AS bound_text, number AS bound_number FROM (
+        SELECT *, row_number() OVER (PARTITION BY attname ORDER BY number NULLS FIRST, text) AS place, count(*) OVER (PARTITION BY attname) AS n
+        FROM ({cells(table)}) c WHERE text IS NOT NULL OR number IS NOT NULL) r JOIN range({buckets + 1}) t(j) ON place = 1 + (j * (n - 1)) // {buckets}"""
+
+
+def correlations(table: str) -> str:
+    order = ORDER[table] + [c for c in WIDTH[table] if c not in ORDER[table]]
+    placed = f"(SELECT *, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in order)}) AS position FROM {table})"
+    return f"""SELECT '{table}' AS table_name, attname, count(*) AS value_count, round(corr(position::DOUBLE, place::DOUBLE), 6) AS correlation FROM (
+        SELECT *, row_number() OVER (PARTITION BY attname ORDER BY number NULLS FIRST, text, position) AS place
+        FROM ({cells(table, ', position', placed)}) c WHERE text IS NOT NULL OR number IS NOT NULL) r GROUP BY attname"""
+
+
+def nested(table: str) -> str:
+    return f"""
+        SELECT '{table}' AS table_name, attname, sum(n)::BIGINT AS cell_count, coalesce(sum(n) FILTER (void), 0)::DOUBLE / sum(n)::DOUBLE AS null_frac,
+               (CASE WHEN max(n) FILTER (NOT void) = 1 THEN -1 ELSE count(*) FILTER (NOT void) END)::BIGINT AS n_distinct,
+               sum(bytes)::DOUBLE / sum(n) FILTER (NOT void)::DOUBLE AS avg_width,
+               coalesce(max(n) FILTER (NOT void), 0)::BIGINT AS top_frequency, count(*) FILTER (NOT void AND n > 1) AS repeated_values
+        FROM (SELECT attname, text, number, text IS NULL AND number IS NULL AS void, count(*) AS n, sum(width) AS bytes
+              FROM ({' UNION ALL '.join(NESTED[table])}) c GROUP BY ALL) g GROUP BY attname"""
+
+
+def statistics(table: str) -> str:
+    return f"""SELECT p.*, mcv_count, histogram_buckets, correlation FROM ({profile(table)}) p
+        LEFT JOIN (SELECT attname, count(*) AS mcv_count FROM ({common(table, 100)}) WHERE freq > 1 GROUP BY attname) m ON m.attname = p.attname
+        LEFT JOIN (SELECT attname, count(DISTINCT coalesce(bound_text, bound_number::VARCHAR)) AS histogram_buckets FROM ({bounds(table, 100)}) GROUP BY attname) b
+          ON b.attname = p.attname
+        LEFT JOIN ({correlations(table)}) r ON r.attname = p.attname"""
+
+
 def line(category: str, text: str) -> str:
     return f"SELECT server_id, '{C.ADVICE_TITLES[category]}' AS category, {text} AS recommendation FROM {SUMMARY}"
 
@@ -92,4 +159,20 @@ SQL = {
              ELSE 'default_statistics_target (' || target || ') appears reasonable' END"""),
     ]),
     **{f"a16_{t}_column_profile": profile(t) for t in WIDTH},
+    **{f"a16m_{t}_most_common_values": common(t) for t in (*WIDTH, "embeddings")},
+    **{f"a16h_{t}_histogram_bounds": bounds(t) for t in ORDER},
+    **{f"a16c_{t}_order_correlation": correlations(t) for t in ORDER},
+    **{f"a16n_{t}_nested_profile": nested(t) for t in NESTED},
+    "sc3c_insufficient_computed_stats": f"""SELECT table_name, attname AS column_name, n_distinct, mcv_count, histogram_buckets, correlation,
+        CASE WHEN n_distinct > 100 AND mcv_count < 10 THEN 'LOW_MCV_COUNT' WHEN n_distinct > 1000 AND histogram_buckets < 20 THEN 'LOW_HISTOGRAM_RESOLUTION'
+             ELSE 'POOR_CORRELATION_STATS' END AS statistics_quality
+        FROM ({statistics('orders')} UNION ALL {statistics('customer')}) s
+        WHERE (n_distinct > 100 AND mcv_count < 10) OR (n_distinct > 1000 AND histogram_buckets < 20) OR (abs(correlation) > 0.1 AND histogram_buckets < 50)""",
+    "sc5c_computed_distribution": f"""SELECT table_name, attname, null_frac, n_distinct, avg_width,
+        CASE WHEN null_frac > 0.5 THEN 'HIGH_NULLS' WHEN null_frac > 0.1 THEN 'MODERATE_NULLS' WHEN null_frac > 0 THEN 'LOW_NULLS' ELSE 'NO_NULLS' END AS null_category,
+        CASE WHEN n_distinct = -1 THEN 'UNIQUE' WHEN n_distinct > 1000 THEN 'HIGH_CARDINALITY' WHEN n_distinct > 100 THEN 'MODERATE_CARDINALITY'
+             WHEN n_distinct > 10 THEN 'LOW_CARDINALITY' ELSE 'VERY_LOW_CARDINALITY' END AS cardinality_category,
+        CASE WHEN avg_width > 1000 THEN 'LARGE_VALUES' WHEN avg_width > 100 THEN 'MEDIUM_VALUES' ELSE 'SMALL_VALUES' END AS size_category
+        FROM ({' UNION ALL '.join(profile(t) for t in WIDTH)}) p
+        WHERE null_frac > 0.5 OR n_distinct = -1 OR n_distinct > 1000 OR avg_width > 100""",
 }
