@@ -142,12 +142,16 @@ def basic_counts(s: Snapshots) -> DataFrame:
 # --- readiness ----------------------------------------------------------------------
 
 def _status(passes: Column, warns: Column, known: Column) -> Column:
-    return F.when(known, F.when(passes, "PASS").when(warns, "WARN").otherwise("FAIL"))
+    return F.when(known, F.when(passes, "PASS").when(warns, "WARN").otherwise("FAIL")).otherwise("UNKNOWN")
 
 
 @report("CK4", order="server_id, category")
 def production_readiness(s: Snapshots) -> DataFrame:
-    """Checklist per server; a check without data for a server is left out."""
+    """Checklist per server; a check without data for a server is UNKNOWN.
+
+    A server without standbys runs alone by choice, so that check passes as soon as any server reports standbys at that scrape;
+    without replication data at all nothing is known.
+    """
     hit, read = F.sum("blks_hit"), F.sum("blks_read")
     facts = (
         s.servers.select(*SNAP)
@@ -156,33 +160,37 @@ def production_readiness(s: Snapshots) -> DataFrame:
         .join(s.database_stats.groupBy(*SNAP).agg(percent(hit, hit + read).alias("ratio")), SNAP, "left")
         .join(config.configuration_advice(s).groupBy(*SNAP).agg(
             F.count_if(F.col("recommendation").startswith("CRITICAL")).alias("config_issues")), SNAP, "left")
+        .join(s.relations.groupBy(*SNAP).agg(n_rows().alias("relation_count")), SNAP, "left")
         .join(admin.tables_without_primary_key(s).groupBy(*SNAP).agg(n_rows().alias("no_pk")), SNAP, "left")
-        .join(s.extensions.where(F.col("extname") == "pg_stat_statements").groupBy(*SNAP).agg(n_rows().alias("monitored")), SNAP, "left")
+        .join(s.extensions.groupBy(*SNAP).agg(F.count_if(F.col("extname") == "pg_stat_statements").alias("monitored")), SNAP, "left")
+        .join(s.repl_stats.groupBy("snap_ts").agg(n_rows().alias("standbys")), "snap_ts", "left")
         .join(pivot_settings(s.settings, "autovacuum"), SNAP, "left")
         .join(connections.connection_utilization(s).select(*SNAP, F.col("connection_utilization_percent").alias("used")), SNAP, "left"))
-    yes = F.lit(True)
-    no = F.lit(False)
+    yes, no = F.lit(True), F.lit(False)
     checks = {
         "SECURITY": _status(F.col("grade").startswith("GOOD"), ~F.col("grade").startswith("CRITICAL"), F.col("grade").isNotNull()),
         "BACKUP": _status(F.col("backup").startswith("OK"), F.col("backup").startswith("WARNING"), F.col("backup").isNotNull()),
         "PERFORMANCE": _status(F.col("ratio") > 95, F.col("ratio") > 90, F.col("ratio").isNotNull()),
         "CONFIGURATION": _status(F.col("config_issues") == 0, yes, F.col("config_issues").isNotNull()),
-        "SCHEMA": _status(F.coalesce("no_pk", F.lit(0)) == 0, yes, yes),
-        "MONITORING": _status(F.col("monitored").isNotNull(), yes, yes),
+        "SCHEMA": _status(F.coalesce("no_pk", F.lit(0)) == 0, yes, F.col("relation_count").isNotNull()),
+        "MONITORING": _status(F.col("monitored") > 0, yes, F.col("monitored").isNotNull()),
+        "REPLICATION": _status(yes, yes, F.col("standbys").isNotNull()),
         "MAINTENANCE": _status(F.col("autovacuum") == "on", no, F.col("autovacuum").isNotNull()),
         "CAPACITY": _status(F.col("used") < 70, F.col("used") < 85, F.col("used").isNotNull()),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("category"), v.alias("status")) for k, v in checks.items()])
-    return facts.select(*SNAP, F.inline(rows)).where("status IS NOT NULL")
+    return facts.select(*SNAP, F.inline(rows))
 
 
 @report("A15", order="server_id")
 def readiness_score(s: Snapshots) -> DataFrame:
+    """Ready only if every check is known and none fails."""
     status = F.col("status")
     return production_readiness(s).groupBy(*SNAP).agg(
         F.count_if(status == "PASS").alias("passed"), F.count_if(status == "WARN").alias("warnings"),
-        F.count_if(status == "FAIL").alias("failures")).withColumn(
-        "overall", F.when(F.col("failures") == 0, "READY FOR PRODUCTION").otherwise("NOT READY - CRITICAL ISSUES MUST BE RESOLVED"))
+        F.count_if(status == "FAIL").alias("failures"), F.count_if(status == "UNKNOWN").alias("unknown")).withColumn(
+        "overall", F.when(F.col("failures") > 0, "NOT READY - CRITICAL ISSUES MUST BE RESOLVED")
+        .when(F.col("unknown") > 0, "NOT READY - CHECKS WITHOUT DATA").otherwise("READY FOR PRODUCTION"))
 
 
 @report("CK5", order="queryid")

@@ -118,16 +118,33 @@ MAINTENANCE_ADVICE = Ladder(
 MONITORING_ADVICE = Ladder(
     ("statement_extensions = 0", "Install pg_stat_statements extension for query performance monitoring"),
     default="pg_stat_statements extension installed - good for monitoring")
-# Tuning per workload (percent of memory, connections, other settings).
 DEFAULT_RAM = 8 * GB
+# Percent of memory for buffers, connections, and percent of memory for caches, by workload.
 WORKLOADS = {
-    "oltp": (20, 200, 60, "max_wal_size=4GB effective_io_concurrency=200 default_statistics_target=100"),
-    "olap": (25, 50, 75, "max_wal_size=8GB effective_io_concurrency=200 default_statistics_target=500"
-                         " max_parallel_workers_per_gather=4 max_parallel_workers=8"),
-    "web": (15, 100, 60, "max_wal_size=2GB effective_io_concurrency=100 default_statistics_target=200"),
-    "mixed": (20, 100, 60, "max_wal_size=4GB effective_io_concurrency=200 default_statistics_target=200"),
+    "oltp": (20, 200, 60),
+    "olap": (25, 50, 75),
+    "web": (15, 100, 60),
+    "mixed": (20, 100, 60),
 }
-COMMON_TUNING = "checkpoint_completion_target=0.9 random_page_cost=1.1"
+# Settings of one value, for a workload or for all (None).
+LISTED_TUNING = [
+    (None, "checkpoint_completion_target", "0.9"),
+    (None, "random_page_cost", "1.1"),
+    ("oltp", "max_wal_size", "4GB"),
+    ("oltp", "effective_io_concurrency", "200"),
+    ("oltp", "default_statistics_target", "100"),
+    ("olap", "max_wal_size", "8GB"),
+    ("olap", "effective_io_concurrency", "200"),
+    ("olap", "default_statistics_target", "500"),
+    ("olap", "max_parallel_workers_per_gather", "4"),
+    ("olap", "max_parallel_workers", "8"),
+    ("web", "max_wal_size", "2GB"),
+    ("web", "effective_io_concurrency", "100"),
+    ("web", "default_statistics_target", "200"),
+    ("mixed", "max_wal_size", "4GB"),
+    ("mixed", "effective_io_concurrency", "200"),
+    ("mixed", "default_statistics_target", "200"),
+]
 DRIFT = Ladder(
     (f"name = 'shared_buffers' AND bytes_value < {128 * MB}", "Increase to ~25% of RAM"),
     (f"name = 'work_mem' AND bytes_value < {4 * MB}", "Consider increasing for complex queries"),
@@ -259,9 +276,13 @@ def _tuned(servers: DataFrame) -> DataFrame:
                 chain = chain.when(F.col("workload") == name, F.lit(values[position]))
         return chain.otherwise(F.lit(WORKLOADS["mixed"][position]))
 
+    known = F.when(F.col("workload").isin(*WORKLOADS), F.col("workload")).otherwise("mixed")
+    listed = F.filter(
+        F.array(*[F.struct(F.lit(w).cast("string").alias("workload"), F.lit(n).alias("name"), F.lit(v).alias("recommended")) for w, n, v in LISTED_TUNING]),
+        lambda row: row["workload"].isNull() | (row["workload"] == known))
     div = lambda a, b: F.call_function("div", a, b)
     return servers.withColumn("ram_gb", ram_gb).select(
-        *SNAP, by_workload(1).cast("bigint").alias("connections"), by_workload(3).alias("extra"),
+        *SNAP, by_workload(1).cast("bigint").alias("connections"), listed.alias("listed"),
         div(ram_mb * by_workload(0), F.lit(100)).alias("buffers_mb"),
         F.greatest(F.lit(4), F.least(F.lit(512), div(div(ram_mb, by_workload(1)), F.lit(4)))).alias("work_mb"),
         F.greatest(F.lit(64), F.least(F.lit(2048), div(ram_mb * 8, F.lit(100)))).alias("maintenance_mb"),
@@ -274,9 +295,7 @@ def recommend_settings(s: Snapshots) -> DataFrame:
     computed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("recommended")) for n, v in {
         "shared_buffers": mb("buffers_mb"), "work_mem": mb("work_mb"), "maintenance_work_mem": mb("maintenance_mb"),
         "effective_cache_size": mb("cache_mb"), "max_connections": F.col("connections").cast("string")}.items()])
-    listed = F.transform(
-        F.split(F.concat_ws(" ", F.lit(COMMON_TUNING), "extra"), " "),
-        lambda word: F.struct(F.split_part(word, F.lit("="), F.lit(1)).alias("name"), F.split_part(word, F.lit("="), F.lit(2)).alias("recommended")))
+    listed = F.transform("listed", lambda row: F.struct(row["name"].alias("name"), row["recommended"].alias("recommended")))
     return _tuned(s.servers).select(*SNAP, F.inline(F.concat(computed, listed)))
 
 

@@ -173,33 +173,64 @@ def retention_summary(tiered: DataFrame) -> DataFrame:
         F.min("snap_ts").alias("oldest"), F.max("snap_ts").alias("newest"))
 
 
-def apply_retention(df: DataFrame, path: str, as_of: Column, keep_days: int = 30, compress_days: int = 7) -> list[str]:
-    """Bring the table at ``path`` (one folder per day) up to date; returns the expired days it dropped.
+def day_manifest(df: DataFrame) -> DataFrame:
+    """Rows and a digest of every day. The digest is a sum over rows, so neither their order nor their files matter."""
+    row = F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    return df.groupBy(F.to_date("snap_ts").alias("snap_date")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
 
-    Days that have aged into the dense tier, or are not there yet, are written from ``df``, recent days with fast and
-    older days with dense compression; days that lie there in the right tier are left alone. Expired days are removed
-    as folders, without reading them. What the driver lists is one name per stored day.
-    """
-    spark = df.sparkSession
-    today, = spark.range(1).select(F.to_date(as_of)).first()
+
+def _stored_days(spark, path: str) -> tuple[object, object, dict[datetime.date, object]]:
+    """File system, root and the folders of the days that lie at ``path``."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(hadoop)
-    expired, present = [], {}
+    files, days = root.getFileSystem(hadoop), {}
     if files.exists(root):
         for status in files.listStatus(root):
             name = status.getPath().getName()
             if name.startswith("snap_date=") and name[10:12].isdigit():
-                if (today - datetime.date.fromisoformat(name[10:])).days > keep_days:
-                    files.delete(status.getPath(), True)
-                    expired.append(name[10:])
-                else:
-                    parts = [f.getPath().getName() for f in files.listStatus(status.getPath())]
-                    present[name[10:]] = "COMPRESS" if any(".zstd." in p for p in parts) else "KEEP"
-    tiered = retention_tiers(df, as_of, keep_days, compress_days).withColumn("snap_date", F.to_date("snap_ts"))
+                days[datetime.date.fromisoformat(name[10:])] = status.getPath()
+    return files, root, days
+
+
+def read_manifest(spark, path: str) -> dict[datetime.date, tuple[int, str, str]]:
+    """What the table at ``path`` says it holds: rows, digest and tier of each day. One row for each day that is kept."""
+    files, _, _ = _stored_days(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    if not files.exists(place):
+        return {}
+    rows = spark.read.schema("snap_date date, n_rows long, digest string, tier string").parquet(str(place)).collect()
+    return {r["snap_date"]: (r["n_rows"], r["digest"], r["tier"]) for r in rows}
+
+
+def apply_retention(df: DataFrame, path: str, as_of: Column, keep_days: int = 30, compress_days: int = 7) -> list[str]:
+    """Bring the table at ``path`` (one folder per day) up to date; returns the expired days it dropped.
+
+    A manifest beside the days says how many rows each holds, their digest and their tier. Days whose rows or tier
+    differ from it are written anew from ``df``, so scrapes that arrive late for a day that is already there are not
+    lost; all other days are left alone. Recent days have fast and older days dense compression. Expired days are
+    removed as folders, without reading them. The manifest is written after the days, so a run that breaks off is
+    made good by the next one. Days that ``df`` no longer holds stay until they expire; rows without a time belong to
+    no day. The driver sees one row per day that is kept.
+    """
+    spark = df.sparkSession
+    today, = spark.range(1).select(F.to_date(as_of)).first()
+    files, _, stored = _stored_days(spark, path)
+    known = {day: entry for day, entry in read_manifest(spark, path).items() if day in stored}
+    expired = [day for day in stored if (today - day).days > keep_days]
+    for day in expired:
+        files.delete(stored[day], True)
+        known.pop(day, None)
+
+    days = retention_tiers(day_manifest(df).withColumn("snap_ts", F.col("snap_date")), as_of, keep_days, compress_days).where(
+        "tier <> 'DELETE' AND snap_date IS NOT NULL")
+    current = {r["snap_date"]: (r["n_rows"], r["digest"], r["tier"]) for r in days.select("snap_date", "n_rows", "digest", "tier").collect()}
+    dated = df.withColumn("snap_date", F.to_date("snap_ts"))
     for tier, codec in (("KEEP", "snappy"), ("COMPRESS", "zstd")):
-        done = [day for day, t in present.items() if t == tier]
-        fresh = tiered.where((F.col("tier") == tier) & ~F.col("snap_date").cast("string").isin(done)).drop("tier", "age_days")
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec)
-         .partitionBy("snap_date").parquet(path))
-    return sorted(expired)
+        changed = [day for day, entry in current.items() if entry[2] == tier and known.get(day) != entry]
+        if changed:
+            (dated.where(F.col("snap_date").isin(changed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("compression", codec).partitionBy("snap_date").parquet(path))
+    entries = [(day, *entry) for day, entry in sorted((known | current).items())]
+    spark.createDataFrame(entries, "snap_date date, n_rows long, digest string, tier string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return sorted(day.isoformat() for day in expired)

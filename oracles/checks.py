@@ -47,21 +47,22 @@ def kv(source: str, **values: str) -> str:
     return " UNION ALL ".join(f"SELECT server_id, '{k.replace('_', ' ')}' AS metric, ({v})::VARCHAR AS value FROM {source}" for k, v in values.items())
 
 
-FACTS = f"""(SELECT v.server_id, grade, backup, ratio, config_issues, no_pk, monitored, autovacuum, used FROM servers v
+FACTS = f"""(SELECT v.server_id, grade, backup, ratio, config_issues, relation_count, no_pk, monitored, autovacuum, used FROM servers v
     LEFT JOIN (SELECT server_id, overall_security_grade AS grade FROM ({security.SQL['pa9_security_grade']}) a) g ON g.server_id = v.server_id
     LEFT JOIN (SELECT server_id, overall_status AS backup FROM ({servers.SQL['bk8_backup_readiness']}) a) b ON b.server_id = v.server_id
     LEFT JOIN (SELECT server_id, {pct('sum(blks_hit)', '(sum(blks_hit) + sum(blks_read))')} AS ratio FROM database_stats GROUP BY server_id) r ON r.server_id = v.server_id
     LEFT JOIN (SELECT server_id, count(*) FILTER (recommendation LIKE 'CRITICAL%') AS config_issues FROM ({config.SQL['ca10_configuration_advice']}) a GROUP BY server_id) c
       ON c.server_id = v.server_id
     LEFT JOIN (SELECT server_id, count(*) AS no_pk FROM ({admin.SQL['ad9_tables_without_primary_key']}) a GROUP BY server_id) p ON p.server_id = v.server_id
-    LEFT JOIN (SELECT server_id, 1 AS monitored FROM extensions WHERE extname = 'pg_stat_statements') m ON m.server_id = v.server_id
+    LEFT JOIN (SELECT server_id, count(*) AS relation_count FROM relations GROUP BY server_id) t ON t.server_id = v.server_id
+    LEFT JOIN (SELECT server_id, count(*) FILTER (extname = 'pg_stat_statements') AS monitored FROM extensions GROUP BY server_id) m ON m.server_id = v.server_id
     LEFT JOIN (SELECT server_id, setting AS autovacuum FROM settings WHERE name = 'autovacuum') s ON s.server_id = v.server_id
     LEFT JOIN (SELECT server_id, connection_utilization_percent AS used FROM ({connections.SQL['cp1_connection_utilization']}) a) u ON u.server_id = v.server_id) f"""
 
 
 def check(category: str, known: str, passes: str, warns: str) -> str:
-    return f"""SELECT server_id, '{category}' AS category, CASE WHEN {passes} THEN 'PASS' WHEN {warns} THEN 'WARN' ELSE 'FAIL' END AS status
-        FROM {FACTS} WHERE {known}"""
+    return f"""SELECT server_id, '{category}' AS category, CASE WHEN NOT ({known}) THEN 'UNKNOWN' WHEN {passes} THEN 'PASS' WHEN {warns} THEN 'WARN' ELSE 'FAIL' END AS status
+        FROM {FACTS}"""
 
 
 READINESS = " UNION ALL ".join([
@@ -69,8 +70,9 @@ READINESS = " UNION ALL ".join([
     check("BACKUP", "backup IS NOT NULL", "backup LIKE 'OK%'", "backup LIKE 'WARNING%'"),
     check("PERFORMANCE", "ratio IS NOT NULL", "ratio > 95", "ratio > 90"),
     check("CONFIGURATION", "config_issues IS NOT NULL", "config_issues = 0", "true"),
-    check("SCHEMA", "true", "coalesce(no_pk, 0) = 0", "true"),
-    check("MONITORING", "true", "monitored IS NOT NULL", "true"),
+    check("SCHEMA", "relation_count IS NOT NULL", "coalesce(no_pk, 0) = 0", "true"),
+    check("MONITORING", "monitored IS NOT NULL", "monitored > 0", "true"),
+    check("REPLICATION", "EXISTS (SELECT 1 FROM repl_stats)", "true", "true"),
     check("MAINTENANCE", "autovacuum IS NOT NULL", "autovacuum = 'on'", "false"),
     check("CAPACITY", "used IS NOT NULL", "used < 70", "used < 85"),
 ])
@@ -155,9 +157,10 @@ SQL = {
             ("database_bytes", "sum(size_bytes)::BIGINT", "database_stats"), ("user_tables", "count(*)", "table_stats"),
             ("user_indexes", "count(*)", "index_stats"), ("replicas", "count(*)", "repl_stats"), ("sessions", "count(*)", "activity"))),
     "ck4_production_readiness": READINESS,
-    "a15_readiness_score": f"""SELECT *, CASE WHEN failures = 0 THEN 'READY FOR PRODUCTION' ELSE 'NOT READY - CRITICAL ISSUES MUST BE RESOLVED' END AS overall
+    "a15_readiness_score": f"""SELECT *, CASE WHEN failures > 0 THEN 'NOT READY - CRITICAL ISSUES MUST BE RESOLVED'
+        WHEN unknown > 0 THEN 'NOT READY - CHECKS WITHOUT DATA' ELSE 'READY FOR PRODUCTION' END AS overall
         FROM (SELECT server_id, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warnings,
-              count(*) FILTER (status = 'FAIL') AS failures FROM ({READINESS}) r GROUP BY server_id) x""",
+              count(*) FILTER (status = 'FAIL') AS failures, count(*) FILTER (status = 'UNKNOWN') AS unknown FROM ({READINESS}) r GROUP BY server_id) x""",
     "ck5_before_after": """WITH b AS (SELECT server_id, queryid, sum(calls)::BIGINT AS calls, sum(total_exec_time) AS t FROM statement_history
             WHERE snap_ts < TIMESTAMP '1999-01-01' GROUP BY ALL),
         a AS (SELECT server_id, queryid, sum(calls)::BIGINT AS calls, sum(total_exec_time) AS t FROM statement_history

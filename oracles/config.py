@@ -35,10 +35,8 @@ def recommended() -> str:
     rows = [f"SELECT server_id, '{n}' AS name, {c} || 'MB' AS recommended FROM {TUNED}" for n, c in (
         ("shared_buffers", "buffers_mb"), ("work_mem", "work_mb"), ("maintenance_work_mem", "maintenance_mb"), ("effective_cache_size", "cache_mb"))]
     rows.append(f"SELECT server_id, 'max_connections', connections::VARCHAR FROM {TUNED}")
-    for workload, values in C.WORKLOADS.items():
-        for word in f"{C.COMMON_TUNING} {values[3]}".split():
-            name, value = word.split("=")
-            rows.append(f"SELECT server_id, '{name}', '{value}' FROM servers WHERE workload = '{workload}'")
+    for workload, name, value in C.LISTED_TUNING:
+        rows.append(f"SELECT server_id, '{name}', '{value}' FROM servers" + (f" WHERE workload = '{workload}'" if workload else ""))
     return " UNION ALL ".join(rows)
 
 

@@ -170,6 +170,31 @@ def test_retention_and_findings_files(spark):
     assert spark.read.option("header", True).csv(f"{root}/csv").count() == 5
 
 
+def test_retention_takes_late_rows_and_leaves_the_rest(spark):
+    """Rows that arrive for a day already stored are written; unchanged days keep their files; a lost manifest does no harm."""
+    path = tempfile.mkdtemp(prefix="fleetstat-test-") + "/kept"
+    as_of = dt.datetime(2024, 3, 1, 12)
+    noon = [(1, as_of - dt.timedelta(days=d), d, {"k": d}, None) for d in (0, 1, 9)]
+    late = [(1, as_of - dt.timedelta(hours=h), 100 + h, {}, "x") for h in (-5, 26)] + [(2, as_of - dt.timedelta(days=9, hours=2), 109, None, None)]
+    schema = "server_id long, snap_ts timestamp, v long, props map<string,int>, note string"
+    files = lambda: {d: sorted(f for f in os.listdir(f"{path}/{d}") if f.startswith("part-")) for d in os.listdir(path) if d.startswith("snap_date")}
+    sinks.apply_retention(spark.createDataFrame(noon, schema), path, F.lit(as_of))
+    first = files()
+    sinks.apply_retention(spark.createDataFrame(noon, schema).repartition(3), path, F.lit(as_of))
+    assert files() == first
+    sinks.apply_retention(spark.createDataFrame(noon + late, schema), path, F.lit(as_of))
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == sorted(r[2] for r in noon + late)
+    second = files()
+    assert all(second[d] != f for d, f in first.items())
+    changed = [(*r[:2], 7, *r[3:]) if r[2] == 1 else r for r in noon + late]
+    sinks.apply_retention(spark.createDataFrame(changed, schema), path, F.lit(as_of))
+    assert {d for d, f in files().items() if f != second.get(d)} == {"snap_date=2024-02-29"}
+    assert [e[0] for e in sinks.read_manifest(spark, path).values()] == [2, 2, 2]
+    os.rename(f"{path}/_manifest", f"{path}/_gone")
+    sinks.apply_retention(spark.createDataFrame(changed, schema), path, F.lit(as_of))
+    assert spark.read.parquet(path).count() == 6
+
+
 def test_exposition_lines(spark):
     df = spark.createDataFrame([(1, T0, "b", "a", 3.0, 2.5)], "server_id long, snap_ts timestamp, y string, x string, n double, r double")
     rows = sinks.metric_rows(df, {"pg_up": F.col("n"), "other": F.col("r")}, {"y": F.col("y"), "x": F.col("x")})
