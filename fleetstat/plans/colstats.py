@@ -12,7 +12,7 @@ from fleetstat.operators import distribution
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.operators.profile import column_profile
 from fleetstat.plans.registry import report
-from fleetstat.plans.resources import advice_rows
+from fleetstat.plans.resources import advice_rows, sentence
 from fleetstat.sources.snapshots import Snapshots
 
 HOUR = 3600 * 1_000_000
@@ -67,6 +67,22 @@ ISSUES = [
 ]
 ISSUE_TYPE = Ladder(*[(p, label) for p, label, _ in ISSUES], default="OK")
 ISSUE_ADVICE = Ladder(*[(p, text) for p, _, text in ISSUES], default="Statistics appear adequate")
+# Advice sentences and when they hold.
+ADVICE = {
+    "immediate": (
+        ("never > 0", "ANALYZE {never} tables that have never been analyzed"),
+        (None, "All tables have been analyzed at least once")),
+    "regular": (
+        ("stale > 0", "Update statistics on {stale} large tables with stale statistics"),
+        (None, "Large table statistics are current")),
+    "tuning": (
+        ("weak > 0", "Consider increasing statistics_target for {weak} high-cardinality columns"),
+        (None, "Column statistics targets appear adequate")),
+    "configuration": (
+        ("target < 100", "Consider increasing default_statistics_target (current: {target}, recommend: 100-1000)"),
+        ("target > 1000", "default_statistics_target is high ({target}) - ensure ANALYZE performance is acceptable"),
+        (None, "default_statistics_target ({target}) appears reasonable")),
+}
 ADVICE_TITLES = {
     "immediate": "IMMEDIATE STATISTICS ACTIONS:", "regular": "REGULAR STATISTICS MAINTENANCE:",
     "tuning": "STATISTICS TARGET TUNING:", "configuration": "CONFIGURATION RECOMMENDATION:",
@@ -173,20 +189,7 @@ def statistics_advice(s: Snapshots) -> DataFrame:
     target = pivot_settings(s.settings, "default_statistics_target").select(
         *SNAP, as_number("default_statistics_target").alias("target"))
     summary = tables.join(columns, SNAP, "left").join(target, SNAP, "left").fillna(0, ["weak"])
-    return advice_rows(
-        summary, "recommendation", ADVICE_TITLES,
-        immediate=F.when(F.col("never") > 0, F.format_string("ANALYZE %d tables that have never been analyzed", "never"))
-        .otherwise("All tables have been analyzed at least once"),
-        regular=F.when(F.col("stale") > 0, F.format_string("Update statistics on %d large tables with stale statistics", "stale"))
-        .otherwise("Large table statistics are current"),
-        tuning=F.when(F.col("weak") > 0, F.format_string("Consider increasing statistics_target for %d high-cardinality columns", "weak"))
-        .otherwise("Column statistics targets appear adequate"),
-        configuration=F.when(F.col("target") < 100, F.format_string(
-            "Consider increasing default_statistics_target (current: %d, recommend: 100-1000)", "target"))
-        .when(F.col("target") > 1000, F.format_string(
-            "default_statistics_target is high (%d) - ensure ANALYZE performance is acceptable", "target"))
-        .otherwise(F.format_string("default_statistics_target (%d) appears reasonable", "target")),
-    )
+    return advice_rows(summary, "recommendation", ADVICE_TITLES, **{key: sentence(rules) for key, rules in ADVICE.items()})
 
 
 # --- statistics computed from data ---------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetstat.functions import SNAP, Ladder, age_seconds, as_number, pretty_bytes, setting_bytes
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.plans.registry import report
-from fleetstat.plans.resources import advice_rows
+from fleetstat.plans.resources import advice_rows, sentence
 from fleetstat.sources.snapshots import Snapshots
 
 GB, MB = 1024**3, 1024**2
@@ -110,6 +110,17 @@ ADVICE_TITLES = {
     "memory": "MEMORY RECOMMENDATIONS:", "connection": "CONNECTION RECOMMENDATIONS:", "durability": "DURABILITY RECOMMENDATIONS:",
     "maintenance": "MAINTENANCE RECOMMENDATIONS:", "monitoring": "MONITORING RECOMMENDATIONS:",
 }
+# Advice sentences and when they hold.
+MEMORY_ADVICE = (
+    (f"buffers < {128 * MB}", "shared_buffers too low - recommend 25% of RAM (current: {buffers_size})"),
+    (f"buffers > {8 * GB}", "shared_buffers very high - may cause performance issues (current: {buffers_size})"),
+    (None, "shared_buffers appears reasonable"),
+)
+CONNECTION_ADVICE = (
+    ("connections > 1000", "max_connections very high ({connections}) - strongly recommend connection pooling"),
+    ("connections > 200", "max_connections high ({connections}) - consider connection pooling"),
+    (None, "max_connections appears reasonable ({connections})"),
+)
 DURABILITY_ADVICE = Ladder(
     ("fsync = 'off'", "CRITICAL: fsync is OFF - data loss risk! Enable immediately"), default="fsync properly enabled for data safety")
 MAINTENANCE_ADVICE = Ladder(
@@ -224,15 +235,9 @@ def configuration_advice(s: Snapshots) -> DataFrame:
         F.count(F.lit(1)).alias("statement_extensions"))
     facts = wide.join(installed, SNAP, "left").fillna(0, ["statement_extensions"]).withColumn(
         "buffers", setting_bytes("shared_buffers", "shared_buffers_unit")).withColumn("connections", as_number("max_connections"))
-    size, n = pretty_bytes("buffers"), F.col("connections")
     return advice_rows(
-        facts, "recommendation", ADVICE_TITLES,
-        memory=F.when(F.col("buffers") < 128 * MB, F.format_string("shared_buffers too low - recommend 25%% of RAM (current: %s)", size))
-        .when(F.col("buffers") > 8 * GB, F.format_string("shared_buffers very high - may cause performance issues (current: %s)", size))
-        .otherwise("shared_buffers appears reasonable"),
-        connection=F.when(n > 1000, F.format_string("max_connections very high (%d) - strongly recommend connection pooling", n))
-        .when(n > 200, F.format_string("max_connections high (%d) - consider connection pooling", n))
-        .otherwise(F.format_string("max_connections appears reasonable (%d)", n)),
+        facts.withColumn("buffers_size", pretty_bytes("buffers")), "recommendation", ADVICE_TITLES,
+        memory=sentence(MEMORY_ADVICE), connection=sentence(CONNECTION_ADVICE),
         durability=DURABILITY_ADVICE.column(), maintenance=MAINTENANCE_ADVICE.column(), monitoring=MONITORING_ADVICE.column())
 
 

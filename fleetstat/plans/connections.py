@@ -9,7 +9,7 @@ from fleetstat.functions import SNAP, Ladder, age_seconds, any_of, as_number, ol
 from fleetstat.operators.joins import with_settings
 from fleetstat.operators.ranking import with_total
 from fleetstat.plans.registry import report
-from fleetstat.plans.resources import session_counts
+from fleetstat.plans.resources import sentence, session_counts
 from fleetstat.plans.waits import exclude_self
 from fleetstat.sources.snapshots import Snapshots
 
@@ -124,6 +124,23 @@ def transaction_churn(s: Snapshots) -> DataFrame:
         pretty_bytes("temp_bytes").alias("temp_data_size"), "stats_reset")
 
 
+# Advice sentences and when they hold.
+MANY_IDLE, NEARLY_FULL, STUCK = "idle > 2 * active", "total > 0.8 * limit", "stuck > 5"
+POOL_ADVICE = (
+    (MANY_IDLE, "Consider connection pooling: {idle} idle vs {active} active connections"),
+    (NEARLY_FULL, "Increase max_connections or implement pooling: {total}/{limit} connections used"),
+    (STUCK, "Fix application logic: {stuck} idle-in-transaction connections detected"),
+    ("app_count > 10", "Consider connection multiplexing: {app_count} different applications connecting"),
+    (None, "Connection usage appears optimal"),
+)
+POOL_GUIDANCE = (
+    (MANY_IDLE, "Suggested pool size: {pool_size} connections per database"),
+    (NEARLY_FULL, "Consider PgBouncer with pool_mode=transaction for better efficiency"),
+    (STUCK, "Review application transaction management and connection handling"),
+    (None, "Monitor connection patterns and adjust as workload changes"),
+)
+
+
 @report("CP6")
 def pool_advice(s: Snapshots) -> DataFrame:
     mine = exclude_self(s.activity)
@@ -131,21 +148,10 @@ def pool_advice(s: Snapshots) -> DataFrame:
         F.count_distinct("application_name").alias("app_count"), F.count_distinct("client_addr").alias("client_count"))
     c = with_settings(session_counts(mine).join(variety, SNAP), s.settings, "max_connections").withColumn(
         "limit", as_number("max_connections"))
-    many_idle = F.col("idle") > 2 * F.col("active")
-    nearly_full = F.col("total") > 0.8 * F.col("limit")
-    stuck = F.col("stuck") > 5
     pool = F.greatest(F.col("active") + 2, F.lit(5))
-    return c.select(
+    return c.withColumn("pool_size", pool).select(
         *SNAP, F.col("total").alias("total_connections"), "app_count", "client_count",
-        F.when(many_idle, F.format_string("Consider connection pooling: %d idle vs %d active connections", "idle", "active"))
-        .when(nearly_full, F.format_string("Increase max_connections or implement pooling: %d/%d connections used", "total", "limit"))
-        .when(stuck, F.format_string("Fix application logic: %d idle-in-transaction connections detected", "stuck"))
-        .when(F.col("app_count") > 10, F.format_string("Consider connection multiplexing: %d different applications connecting", "app_count"))
-        .otherwise("Connection usage appears optimal").alias("primary_recommendation"),
-        F.when(many_idle, F.format_string("Suggested pool size: %d connections per database", pool))
-        .when(nearly_full, "Consider PgBouncer with pool_mode=transaction for better efficiency")
-        .when(stuck, "Review application transaction management and connection handling")
-        .otherwise("Monitor connection patterns and adjust as workload changes").alias("detailed_guidance"))
+        sentence(POOL_ADVICE).alias("primary_recommendation"), sentence(POOL_GUIDANCE).alias("detailed_guidance"))
 
 
 @report("CP7")

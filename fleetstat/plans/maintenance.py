@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from fleetstat.functions import (
 from fleetstat.operators.joins import pivot_settings
 from fleetstat.operators.ranking import top_k
 from fleetstat.plans.registry import report
-from fleetstat.plans.resources import GB, advice_rows, dead_percent
+from fleetstat.plans.resources import GB, advice_rows, dead_percent, sentence
 from fleetstat.sources.snapshots import Snapshots
 
 MB = 1024**2
@@ -164,15 +162,6 @@ def autovacuum_effectiveness(s: Snapshots, k: int = 20) -> DataFrame:
         AUTOVACUUM_EFFECT.column().alias("autovacuum_effectiveness"), pretty_bytes("total_relation_size").alias("table_size"))
 
 
-def sentence(rules: tuple) -> Column:
-    """The first sentence whose condition holds, columns filled in."""
-    chosen = F
-    for condition, text in rules:
-        words = [F.col(w).cast("string") if i % 2 else F.lit(w) for i, w in enumerate(re.split(r"{(\w+)}", text))]
-        chosen = chosen.when(F.expr(condition), F.concat(*words)) if condition else chosen.otherwise(F.concat(*words))
-    return chosen
-
-
 @report("MS7")
 def maintenance_advice(s: Snapshots) -> DataFrame:
     counts = s.table_stats.groupBy(*SNAP).agg(

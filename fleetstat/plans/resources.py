@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,15 @@ def dead_percent() -> Column:
     return percent("n_dead_tup", F.col("n_live_tup") + F.col("n_dead_tup"))
 
 
+def sentence(rules: tuple) -> Column:
+    """The first sentence whose condition holds, columns filled in."""
+    chosen = F
+    for condition, text in rules:
+        words = [F.col(w).cast("string") if i % 2 else F.lit(w) for i, w in enumerate(re.split(r"{(\w+)}", text))]
+        chosen = chosen.when(F.expr(condition), F.concat(*words)) if condition else chosen.otherwise(F.concat(*words))
+    return chosen
+
+
 def advice_rows(df: DataFrame, name: str, titles: dict[str, str], **lines: Column) -> DataFrame:
     """One summary row per snapshot to one row per advice line; the summary is computed once."""
     records = [F.struct(F.lit(titles.get(key, key)).alias("category"), text.alias(name)) for key, text in lines.items()]
