@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import SNAP, Ladder, age_seconds, as_number, percent, pretty_bytes, qualified, n_rows
-from fleetstat.operators.alerts import evaluate_alerts
+from fleetstat.operators.alerts import evaluate_alerts, lasting_alerts
+from fleetstat.operators.history import with_previous
 from fleetstat.operators.joins import LOCK_OBJECT, blocked_sessions, pivot_settings, snapshot_diff
 from fleetstat.operators.ranking import top_k
 from fleetstat.plans import admin, config, connections, indexes, partitions, resources, security, servers
@@ -238,6 +239,7 @@ def alert_samples(s: Snapshots, metrics: set[str] | None = None) -> DataFrame:
         ({"cache_hit_percent"}, lambda: sample(
             s.database_stats.groupBy(*SNAP).agg(percent(hit, hit + read).alias("v")), "cache_hit_percent", F.lit("server"), col("v"))),
         ({"bloat_percent"}, lambda: sample(s.table_stats, "bloat_percent", qualified(), dead_percent())),
+        ({"index_bloat_percent"}, lambda: sample(indexes.index_sizes(s), "index_bloat_percent", col("index_name"), col("bloat_percent"))),
         ({"connection_percent", "idle_in_transaction_percent", "pool_efficiency_percent"}, lambda: several(
             counts, F.lit("server"), connection_percent=percent("total", "limit"),
             idle_in_transaction_percent=percent("idle_tx", "total"), pool_efficiency_percent=percent("active", "total"))),
@@ -265,9 +267,13 @@ def alert_samples(s: Snapshots, metrics: set[str] | None = None) -> DataFrame:
 
 
 def _alerts(s: Snapshots, rule_set: str) -> DataFrame:
+    """What fires at a scrape: rules without a duration at once, others after the breach has lasted through the scrapes before."""
     wanted = {r[1] for r in ALERT_RULES if r[0] == rule_set}
-    fired = evaluate_alerts(alert_samples(s, wanted), alert_rules(s.spark, rule_set))
-    return fired.select(*SNAP, "metric", "object", "value", "severity")
+    samples, rules, columns = alert_samples(s, wanted), alert_rules(s.spark, rule_set), [*SNAP, "metric", "object", "value", "severity"]
+    fired = evaluate_alerts(samples, rules.where("for_seconds = 0")).select(*columns)
+    if any(r[0] == rule_set and r[6] for r in ALERT_RULES):
+        fired = fired.unionByName(lasting_alerts(samples, rules.where("for_seconds > 0")).select(*columns))
+    return fired
 
 
 @report("AL1")
@@ -287,10 +293,52 @@ def monitor_alerts(s: Snapshots) -> DataFrame:
 
 @report("AL4")
 def replication_alerts(s: Snapshots) -> DataFrame:
-    """Breaches at this scrape; rules that must last are confirmed by ``sustained_alerts``."""
+    """What fires at each scrape; a catchup of more than half an hour needs scrapes of half an hour."""
     return _alerts(s, "AL4")
 
 
+def replication_samples(s: Snapshots) -> DataFrame:
+    """Lag and catchup of every standby at every scrape of its history."""
+    values = F.array(
+        F.struct(F.lit("replication_lag_seconds").alias("metric"), F.col("replay_lag_s").cast("double").alias("value")),
+        F.struct(F.lit("standby_catchup").alias("metric"), F.when(F.col("state") == "catchup", 1.0).otherwise(0.0).alias("value")))
+    return s.repl_history.select(*SNAP, F.col("application_name").alias("object"), F.inline(values)).where("value IS NOT NULL")
+
+
+@report("AL4T", order="server_id, metric, object, since")
+def lasting_replication_alerts(s: Snapshots, gap: str = "2 hours") -> DataFrame:
+    """Alerts that must last, one row for each run of scrapes at which they fired."""
+    fired = lasting_alerts(replication_samples(s), alert_rules(s.spark, "AL4").where("for_seconds > 0"), gap)
+    runs = fired.groupBy("server_id", "metric", "object", "severity", "since").agg(
+        F.min("snap_ts").alias("first_fired"), F.max("snap_ts").alias("last_fired"), n_rows().alias("scrapes"), F.max("value").alias("worst_value"))
+    return runs.select(
+        "server_id", "metric", "object", "severity", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("since", "first_fired", "last_fired")],
+        "scrapes", "worst_value")
+
+
+@report("AL4G", order="server_id, object, day")
+def growing_replication_lag(s: Snapshots, least_samples: int = 3, least_slope: float = 0.0001) -> DataFrame:
+    """Days on which a standby's lag grew: seconds of lag gained per second, by least squares."""
+    at = F.unix_micros("snap_ts") / 1_000_000 - F.unix_micros(F.date_trunc("day", "snap_ts")) / 1_000_000
+    days = s.repl_history.where("replay_lag_s IS NOT NULL").groupBy("server_id", F.col("application_name").alias("object"), F.date_trunc("day", "snap_ts").alias("day")).agg(
+        F.regr_slope(F.col("replay_lag_s").cast("double"), at).alias("slope"), n_rows().alias("samples"),
+        F.max_by("replay_lag_s", F.struct("snap_ts", "sample_id")).alias("latest_lag_s"))
+    grew = days.where((F.col("samples") >= least_samples) & (F.col("slope") > least_slope))
+    return grew.select(
+        "server_id", "object", F.date_format("day", "yyyy-MM-dd").alias("day"), "samples", "latest_lag_s", F.round("slope", 9).alias("slope"),
+        F.lit("MONITOR").alias("severity"))
+
+
+@report("AL4S", order="server_id, object, day")
+def frequent_sync_changes(s: Snapshots, least: int = 3) -> DataFrame:
+    """Days on which a standby changed between synchronous and asynchronous at least so often."""
+    paired = with_previous(s.repl_history, ["server_id", "application_name"], ["snap_ts", "sample_id"], ["sync_state"]).where("prev IS NOT NULL")
+    changed = ~F.col("sync_state").eqNullSafe(F.col("prev.sync_state"))
+    days = paired.groupBy("server_id", F.col("application_name").alias("object"), F.date_format("snap_ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count_if(changed).alias("changes"))
+    return days.where(F.col("changes") >= least).withColumn("severity", F.lit("MONITOR"))
+
+
 @report("AL5")
 def lock_alerts(s: Snapshots) -> DataFrame:
     return _alerts(s, "AL5")

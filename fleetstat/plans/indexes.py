@@ -196,6 +196,39 @@ def fillfactor_candidates(s: Snapshots, max_ratio: float = 0.5, k: int = 20) ->
         F.format_string("ALTER TABLE %s SET (fillfactor = 90);", qualified()).alias("suggested_command"))
 
 
+# Page, header and tuple sizes of a B-tree index, and how full its pages are built.
+PAGE, PAGE_OVERHEAD, LEAF_FILL, TUPLE_OVERHEAD, ALIGNED, UNKNOWN_WIDTH = 8192, 40, 90, 12, 8, 8
+
+
+def index_sizes(s: Snapshots) -> DataFrame:
+    """What each index holds against the pages it should need for its table's rows and its key's average width.
+
+    A key column without statistics, or an expression, counts as eight bytes.
+    """
+    key = [*SNAP, "relid", "index_name"]
+    columns = s.index_stats.select(
+        *key, F.explode(F.split(F.regexp_extract("indexdef", r"\((.*)\)", 1), ", ")).alias("attname"))
+    widths = s.column_stats.select(*SNAP, "relid", "attname", "avg_width")
+    aligned = F.call_function("div", F.coalesce("avg_width", F.lit(UNKNOWN_WIDTH)) + ALIGNED - 1, F.lit(ALIGNED)) * ALIGNED
+    keys = columns.join(widths, [*SNAP, "relid", "attname"], "left").groupBy(*key).agg(F.sum(aligned).alias("key_width"))
+    rows = s.table_stats.select(*SNAP, "relid", F.col("n_live_tup").alias("row_count"))
+    per_page = F.greatest(F.lit(1), F.call_function("div", F.lit((PAGE - PAGE_OVERHEAD) * LEAF_FILL // 100), F.col("key_width") + TUPLE_OVERHEAD))
+    pages = F.call_function("div", F.col("row_count") + per_page - 1, per_page) + 1
+    return (
+        s.index_stats.select(*key, "schemaname", "table_name", "index_size").join(keys, key).join(rows, [*SNAP, "relid"])
+        .withColumn("expected_bytes", pages * PAGE)
+        .withColumn("bloat_bytes", F.greatest(F.lit(0), F.col("index_size") - F.col("expected_bytes")))
+        .withColumn("bloat_percent", percent("bloat_bytes", "index_size")))
+
+
+@report("IB1", order="bloat_bytes desc, index_name")
+def index_bloat(s: Snapshots) -> DataFrame:
+    """Estimated bloat of every index."""
+    return index_sizes(s).select(
+        *SNAP, "schemaname", "table_name", "index_name", "row_count", "key_width", "index_size", "expected_bytes", "bloat_bytes",
+        "bloat_percent", pretty_bytes("bloat_bytes").alias("bloat_size"))
+
+
 def hot_update_documents(s: Snapshots, k: int = 50) -> DataFrame:
     """One nested document per snapshot; at most k tables each, so the arrays are bounded."""
     ranked = _worst_hot(s, k).withColumn("hot_update_percent", percent("n_tup_hot_upd", "n_tup_upd"))

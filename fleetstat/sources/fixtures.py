@@ -543,6 +543,13 @@ def definitions(dialect: str) -> dict[str, str]:
                event_type AS object, CAST((event_id * 37) % 1000 AS DOUBLE) AS value
         FROM events"""
 
+    out["repl_history"] = f"""
+        SELECT user_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, 'standby_' || CAST(user_id % 3 AS VARCHAR(9)) AS application_name,
+               CASE WHEN hour(ts) BETWEEN 6 AND 11 OR day(ts) % 5 = 0 THEN 'catchup' ELSE 'streaming' END AS state,
+               {_words("event_id % 7", "async", "sync")} AS sync_state,
+               CASE WHEN hour(ts) >= 18 THEN 31 + event_id % 50 ELSE event_id % 40 END AS replay_lag_s, event_id AS sample_id
+        FROM events"""
+
     out["activity_history"] = f"""
         SELECT event_id % 4 AS server_id, date_trunc('minute', CAST(ts AS TIMESTAMP)) AS snap_ts, event_id AS pid,
                CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_type = 'view' THEN 'idle' WHEN event_type = 'signup' THEN 'idle in transaction'

@@ -161,6 +161,10 @@ SCHEMAS: dict[str, str] = {
     "samples": (
         "server_id bigint, snap_ts timestamp, metric string, object string, value double"
     ),
+    "repl_history": (
+        "server_id bigint, snap_ts timestamp, application_name string, state string, sync_state string, "
+        "replay_lag_s bigint, sample_id bigint"
+    ),
     "activity_history": (
         "server_id bigint, snap_ts timestamp, pid bigint, state string, query string"
     ),

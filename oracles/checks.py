@@ -97,6 +97,7 @@ SAMPLES = "(" + " UNION ALL ".join([
     s("database_stats", "xid_age", "datname", "xid_age"),
     s(f"(SELECT server_id, {pct('sum(blks_hit)', '(sum(blks_hit) + sum(blks_read))')} AS v FROM database_stats GROUP BY server_id) x", "cache_hit_percent", "'server'", "v"),
     s("table_stats", "bloat_percent", "schemaname || '.' || table_name", DEAD),
+    s(indexes.INDEX_SIZES, "index_bloat_percent", "index_name", pct("bloat_bytes", "index_size")),
     s(COUNTS, "connection_percent", "'server'", pct("total", "lim")),
     s(COUNTS, "idle_in_transaction_percent", "'server'", pct("idle_tx", "total")),
     s(COUNTS, "pool_efficiency_percent", "'server'", pct("active", "total")),
@@ -123,8 +124,9 @@ SAMPLES = "(" + " UNION ALL ".join([
 def alerts(rule_set: str) -> str:
     # Rules of one set are counted one by one: a sample breaching two of them is listed twice.
     parts = []
-    for name, metric, low, high, inclusive, severity, _ in ALERT_RULES:
-        if name != rule_set:
+    for name, metric, low, high, inclusive, severity, lasting in ALERT_RULES:
+        # One scrape has no duration, so rules that must last do not fire on it.
+        if name != rule_set or lasting:
             continue
         e = "=" if inclusive else ""
         bounds = [f"metric = '{metric}'"] + ([f"value >{e} {low}"] if low is not None else []) + ([f"value <{e} {high}"] if high is not None else [])
@@ -132,6 +134,19 @@ def alerts(rule_set: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def lasting(metric: str, value: str, breach: str, severity: str, seconds: int, gap: int) -> str:
+    """Runs of a breach over scrapes, from the scrape on at which it has lasted long enough."""
+    return f"""SELECT server_id, '{metric}' AS metric, application_name AS object, '{severity}' AS severity,
+            strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(min(snap_ts), '%Y-%m-%d %H:%M:%S') AS first_fired,
+            strftime(max(snap_ts), '%Y-%m-%d %H:%M:%S') AS last_fired, count(*) AS scrapes, max(value) AS worst_value
+        FROM (SELECT *, max(start) OVER (PARTITION BY server_id, application_name ORDER BY snap_ts, value ROWS UNBOUNDED PRECEDING) AS since
+              FROM (SELECT *, CASE WHEN breach AND (prev_ts IS NULL OR NOT prev_breach OR epoch_us(snap_ts) - epoch_us(prev_ts) > {gap}::BIGINT * 1000000) THEN snap_ts END AS start
+                    FROM (SELECT *, lag(snap_ts) OVER w AS prev_ts, lag(breach) OVER w AS prev_breach
+                          FROM (SELECT server_id, application_name, snap_ts, ({value})::DOUBLE AS value, {breach} AS breach FROM repl_history) b
+                          WINDOW w AS (PARTITION BY server_id, application_name ORDER BY snap_ts, value)) l) m) r
+        WHERE breach AND epoch_us(snap_ts) - epoch_us(since) >= {seconds}::BIGINT * 1000000 GROUP BY server_id, application_name, since"""
+
+
 RANK = "CASE severity " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(
     ("CRITICAL", "ERROR", "HIGH", "WARNING", "MEDIUM", "NOTICE", "INFO", "LOW", "OK"))) + " ELSE 9 END"
 
@@ -172,6 +187,16 @@ SQL = {
     "al2_warning_alerts": alerts("AL2"),
     "al3_monitor_alerts": alerts("AL3"),
     "al4_replication_alerts": alerts("AL4"),
+    "al4t_lasting_replication_alerts": lasting("standby_catchup", "CASE WHEN state = 'catchup' THEN 1 ELSE 0 END", "state = 'catchup'", "WARNING", 1800, 7200)
+        + " UNION ALL " + lasting("replication_lag_seconds", "replay_lag_s", "replay_lag_s > 30", "MONITOR", 300, 7200),
+    "al4g_growing_replication_lag": """SELECT server_id, object, day, samples, latest_lag_s, round(slope, 9) AS slope, 'MONITOR' AS severity FROM (
+        SELECT server_id, application_name AS object, strftime(snap_ts, '%Y-%m-%d') AS day, count(*) AS samples, arg_max(replay_lag_s, (snap_ts, sample_id)) AS latest_lag_s,
+               regr_slope(replay_lag_s::DOUBLE, (epoch_us(snap_ts) - epoch_us(date_trunc('day', snap_ts))) / 1000000.0) AS slope
+        FROM repl_history GROUP BY ALL) d WHERE samples >= 3 AND slope > 0.0001""",
+    "al4s_frequent_sync_changes": """SELECT server_id, object, day, changes, 'MONITOR' AS severity FROM (
+        SELECT server_id, object, day, count(*) FILTER (sync_state IS DISTINCT FROM previous) AS changes FROM (
+            SELECT server_id, application_name AS object, strftime(snap_ts, '%Y-%m-%d') AS day, sync_state, row_number() OVER w AS place, lag(sync_state) OVER w AS previous
+            FROM repl_history WINDOW w AS (PARTITION BY server_id, application_name ORDER BY snap_ts, sample_id)) l WHERE place > 1 GROUP BY ALL) d WHERE changes >= 3""",
     "al5_lock_alerts": alerts("AL5"),
     "al6_configured_alerts": alerts("AL6"),
     "al7_scheduled_alerts": alerts("AL7"),

@@ -10,7 +10,20 @@ FK = """(SELECT c.server_id, c.constraint_name, c.table_schema, c.table_name, k.
     JOIN constraint_columns r ON r.server_id = c.server_id AND r.constraint_name = c.constraint_name AND r.table_schema = c.table_schema
     WHERE c.constraint_type = 'FOREIGN KEY') fk"""
 
+# An index entry: key columns rounded up to eight bytes, eight bytes of header and a line pointer of four; pages are nine tenths full.
+INDEX_SIZES = """(SELECT *, greatest(0, index_size - expected_bytes) AS bloat_bytes FROM (
+    SELECT i.server_id, i.schemaname, i.table_name, i.index_name, n_live_tup AS row_count, key_width, index_size,
+           ((n_live_tup + per_page - 1) // per_page + 1) * 8192 AS expected_bytes
+    FROM index_stats i
+    JOIN (SELECT *, greatest(1, 7336 // (key_width + 12)) AS per_page FROM (
+            SELECT k.server_id, k.relid, k.index_name, sum((coalesce(avg_width, 8) + 7) // 8 * 8)::BIGINT AS key_width
+            FROM (SELECT server_id, relid, index_name, unnest(string_split(regexp_extract(indexdef, '\\((.*)\\)', 1), ', ')) AS attname FROM index_stats) k
+            LEFT JOIN column_stats c ON c.server_id = k.server_id AND c.relid = k.relid AND c.attname = k.attname
+            GROUP BY ALL) w) w ON w.server_id = i.server_id AND w.relid = i.relid AND w.index_name = i.index_name
+    JOIN table_stats t ON t.server_id = i.server_id AND t.relid = i.relid) e) ix"""
+
 SQL = {
+    "ib1_index_bloat": f"""SELECT *, {pct('bloat_bytes', 'index_size')} AS bloat_percent, {pretty('bloat_bytes')} AS bloat_size FROM {INDEX_SIZES}""",
     "mi1_seq_scan_hotspots": f"""SELECT server_id, {FULL}, seq_scan AS sequential_scans, seq_tup_read AS sequential_tuples_read,
         idx_scan AS index_scans, idx_tup_fetch AS index_tuples_fetched, n_live_tup AS estimated_rows, {pretty('relation_size')} AS table_size,
         coalesce({pct('seq_scan', '(seq_scan + coalesce(idx_scan, 0))')}, 0.0) AS seq_scan_percentage,
