@@ -1,7 +1,9 @@
 """Time-window reports that run on stored and on streaming snapshots.
 
 Every function takes a frame and builds the same plan for both; a watermark only
-matters to a stream. Results of a stream appear once their window has closed.
+matters to a stream. Results of a stream appear once their window has closed, and
+rates, ratios and changes are of the samples inside a window. What must also count
+the step from one window into the next is in ``stateful``.
 """
 
 from __future__ import annotations

@@ -223,3 +223,27 @@ def test_plans_have_no_cartesian_product_and_prune_columns(spark):
         assert "WindowGroupLimit" in registry.run(id, s)._jdf.queryExecution().executedPlan().toString(), id
     plan = registry.run("WE1", s)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "value" not in plan
+
+
+def test_index_bloat_around_its_threshold(spark):
+    """An index of exactly the pages it needs has none; ten per cent is not yet an alert, a page more is."""
+    from fleetstat.operators.alerts import evaluate_alerts
+    from fleetstat.plans import checks, indexes, rules
+    from fleetstat.sources.snapshots import Snapshots
+
+    page, per_page = 8192, 7336 // (16 + 12)
+    n_rows = 899 * per_page
+    needed = 900 * page
+    sizes = {"exact": needed, "small": page, "at": 1000 * page, "over": 1001 * page}
+    index = [(1, T0, 5, "s", "t", name, [1, 2], size, f"CREATE INDEX {name} ON s.t (a, lower(b))") for name, size in sizes.items()]
+    snaps = Snapshots.from_frames(
+        spark,
+        index_stats=spark.createDataFrame(index, "server_id long, snap_ts timestamp, relid long, schemaname string, table_name string, index_name string, indkey array<int>, index_size long, indexdef string"),
+        table_stats=spark.createDataFrame([(1, T0, 5, n_rows)], "server_id long, snap_ts timestamp, relid long, n_live_tup long"),
+        column_stats=spark.createDataFrame([(1, T0, 5, "a", 3)], "server_id long, snap_ts timestamp, relid long, attname string, avg_width long"),
+        activity=spark.createDataFrame([], "server_id long, snap_ts timestamp"), settings=spark.createDataFrame([], "server_id long, snap_ts timestamp"))
+    got = {r["index_name"]: r for r in indexes.index_sizes(snaps).collect()}
+    assert {r["expected_bytes"] for r in got.values()} == {needed} and {r["key_width"] for r in got.values()} == {16}
+    assert {n: float(r["bloat_percent"]) for n, r in got.items()} == {"exact": 0.0, "small": 0.0, "at": 10.0, "over": 10.09}
+    samples = checks.alert_samples(snaps, {"index_bloat_percent"})
+    assert {r["object"] for r in evaluate_alerts(samples, rules.alert_rules(spark, "AL3")).collect()} == {"over"}
