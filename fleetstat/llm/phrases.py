@@ -4,9 +4,9 @@ Documents are dealt to a few shards. A phrase that occurs `least` times in a lan
 occurs, in at least one shard, as often as the shard's share of the language's words
 lets expect: `least * words of the shard / words of the language`. Each shard is mined
 completely at that lowered support, length by length: a phrase is only counted in a
-shard's pass if both phrases one word shorter were locally frequent in some shard. The
-union of what is locally frequent holds every frequent phrase; one more pass counts the
-union's phrases exactly over all documents.
+shard's pass if its words are frequent and all pairs of neighbours in it were locally
+frequent in some shard. The union of what is locally frequent holds every frequent
+phrase; one more pass counts the union's phrases exactly over all documents.
 
 A shard is not a task: its counts are summed by shard and phrase over all tasks, so a
 shard may have any size and their number stays below `least`, where a lowered support
@@ -46,8 +46,10 @@ from fleetstat.llm.common import slices, text_of, written
 LEAST, LONGEST, TOP = 30, 4, 2000
 HELD_PERCENT = 80
 SCALE = 2_000_000
-SHARDS = 8
+SHARDS = 4
 BITS = 26
+#: Values of the hash of language and shard, the low 16 bits of a key.
+CELLS = 1 << 16
 #: Bytes of text a worker reads at once.
 SLICE_BYTES = 4 << 20
 
@@ -186,46 +188,48 @@ def _chains(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray | None])
 # The passes.
 
 def documents_of(df: DataFrame, text_col: str = "text", lang_col: str = "lang", shards: int = SHARDS) -> DataFrame:
-    """lang, shard and text of every document; the text decides the shard, so that every pass deals alike."""
+    """lang, cell and text of every document. Its file decides a document's shard (its text, where it comes from no file),
+    so every pass deals alike and a task's documents mostly share one. A cell is a hash of language and shard."""
     text = text_of(text_col)
-    return df.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"), text.alias("text"))
+    shard = F.pmod(F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name())).otherwise(F.xxhash64(text)), F.lit(shards))
+    dealt = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), shard.alias("shard"), text.alias("text"))
+    return dealt.select("lang", F.pmod(F.xxhash64("lang", "shard"), F.lit(CELLS)).cast("int").alias("cell"), "text")
 
 
 def shard_words(docs: DataFrame) -> DataFrame:
-    """Words of each shard: lang, shard, hash, n."""
+    """Words of each shard: lang, cell, hash, n."""
     def run(batches):
         for names, (one,) in _chains(batches, []):
-            langs, shards = zip(*names)
+            langs, cells = zip(*names)
             yield pa.RecordBatch.from_arrays([
-                pa.array(langs, pa.string()).take(pa.array(one.group)), pa.array(shards, pa.int32()).take(pa.array(one.group)),
-                pa.array(one.hash.view(np.int64)), pa.array(one.counts())], ["lang", "shard", "hash", "n"])
-    rows = docs.select("lang", "shard", "text").mapInArrow(run, "lang string, shard int, hash long, n long")
-    return written(rows.groupBy("lang", "shard", "hash").agg(F.sum("n").alias("n")), "words")
+                pa.array(langs, pa.string()).take(pa.array(one.group)), pa.array(cells, pa.int32()).take(pa.array(one.group)),
+                pa.array(one.hash.view(np.int64)), pa.array(one.counts())], ["lang", "cell", "hash", "n"])
+    rows = docs.select("lang", "cell", "text").mapInArrow(run, "lang string, cell int, hash long, n long")
+    return written(rows.groupBy("lang", "cell", "hash").agg(F.sum("n").alias("n")), "words")
 
 
-def supports(words: DataFrame, least: int) -> DataFrame:
-    """lang, shard, the words of the language, and the support that the shard's share of them leaves."""
-    sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("here"))
-    total = sizes.groupBy("lang").agg(F.sum("here").alias("total"))
+def supports(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The words of each language, and the support that its share of them leaves to each cell (the least of any it stands for)."""
+    sizes = words.groupBy("lang", "cell").agg(F.sum("n").alias("here"))
+    total = written(sizes.groupBy("lang").agg(F.sum("here").alias("total")), "totals")
     needed = F.expr(f"cast(cast({least} * cast(here AS decimal(20, 0)) + total - 1 AS decimal(38, 0)) div total AS long)")
-    return written(sizes.join(total, "lang").select("lang", "shard", "total", needed.alias("needed")), "supports")
+    return total, written(sizes.join(total, "lang").groupBy("cell").agg(F.min(needed).alias("needed")), "supports")
 
 
-def shard_phrases(docs: DataFrame, tables: list[Broadcast], lengths: tuple[int, ...]) -> DataFrame:
+def shard_phrases(docs: DataFrame, needed: DataFrame, tables: list[Broadcast], lengths: tuple[int, ...]) -> DataFrame:
     """Hashes of the phrases of these lengths that are locally frequent in some shard."""
     def run(batches):
         chain = [t.value for t in tables]
         for names, phrases in _chains(batches, chain + [None] * (max(lengths) - 1 - len(chain))):
-            shards, needed = np.array([n[1] for n in names], np.uint64), np.array([n[2] for n in names])
+            cells = np.array([n[1] for n in names], np.uint64)
             for p in phrases:
                 if p.length in lengths and len(p.first):
-                    key = (p.hash << np.uint64(8)) | shards[p.group]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key.view(np.int64)), pa.array(needed[p.group]), pa.array(p.counts())], ["key", "needed", "n"])
-    rows = docs.select("lang", "shard", "needed", "text").mapInArrow(run, "key long, needed long, n long")
-    local = rows.groupBy("key").agg(F.min("needed").alias("needed"), F.sum("n").alias("n"))
-    return local.where("n >= needed").select(F.shiftrightunsigned("key", 8).alias("hash"))
+                    key = (p.hash << np.uint64(16)) | cells[p.group]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(p.counts())], ["key", "n"])
+    rows = docs.select("lang", "cell", "text").mapInArrow(run, "key long, n long")
+    local = rows.groupBy("key").agg(F.sum("n").alias("n")).withColumn("cell", F.col("key").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+    # At most CELLS short rows are broadcast.
+    return local.join(F.broadcast(needed), "cell").where("n >= needed").select(F.shiftrightunsigned("key", 16).alias("hash"))
 
 
 def bit_table(hashes: DataFrame, bits: int = BITS) -> Broadcast:
@@ -248,10 +252,10 @@ def counted(docs: DataFrame, tables: list[Broadcast], least: int, longest: int)
                 which = np.flatnonzero(p.allowed(allowed))
                 if len(which):
                     yield pa.RecordBatch.from_arrays([
-                        langs.take(pa.array(p.group[which])), p.texts(which), pa.array(np.full(len(which), p.length, np.int32)),
-                        pa.array(p.counts()[which])], ["lang", "phrase", "length", "n"])
-    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, length int, n long")
-    return written(rows.groupBy("lang", "phrase", "length").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+                        langs.take(pa.array(p.group[which])), p.texts(which), pa.array(p.counts()[which])], ["lang", "phrase", "n"])
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+    frequent = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    return written(frequent.withColumn("length", F.size(F.split("phrase", " "))), "phrases")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -277,22 +281,22 @@ def contained(phrases: DataFrame) -> DataFrame:
 def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, held_percent: int = HELD_PERCENT, shards: int = SHARDS,
                  bits: int = BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    if not 1 <= shards < 256 or longest < 2:
-        raise ValueError("1 to 255 shards, phrases of at least two words")
+    if shards < 1 or longest < 2:
+        raise ValueError("at least one shard, phrases of at least two words")
     docs = documents_of(df, text_col, lang_col, shards)
     words = shard_words(docs)
-    support = supports(words, least)
-    tables = [bit_table(words.join(support, ["lang", "shard"]).where("n >= needed").select("hash"), bits)]
-    dealt = docs.join(support.select("lang", "shard", "needed"), ["lang", "shard"])
-    tables.append(bit_table(shard_phrases(dealt, tables, (2,)), bits))
+    total, needed = supports(words, least)
+    # The sums over shards are all there for single words, so only frequent words go on.
+    frequent = words.groupBy("lang", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    tables = [bit_table(frequent, bits)]
+    tables.append(bit_table(shard_phrases(docs, needed, tables, (2,)), bits))
     if longest > 2:
         # All greater lengths in one pass: phrases whose pairs of neighbours are all in the table.
-        longer = bit_table(shard_phrases(dealt, tables, tuple(range(3, longest + 1))), bits)
+        longer = bit_table(shard_phrases(docs, needed, tables, tuple(range(3, longest + 1))), bits)
         tables += [longer] * (longest - 2)
     phrases = counted(docs, tables, least, longest)
     held = F.coalesce(100 * F.col("longer").cast("decimal(20,0)") >= held_percent * F.col("a").cast("decimal(20,0)"), F.lit(False))
     kept = scored(phrases).join(contained(phrases), ["lang", "phrase"], "left").where(~held)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    total = support.groupBy("lang").agg(F.max("total").alias("n"))
-    return first.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return first.join(total.withColumnRenamed("total", "n"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
