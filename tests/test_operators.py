@@ -240,10 +240,12 @@ def test_index_bloat_around_its_threshold(spark):
         spark,
         index_stats=spark.createDataFrame(index, "server_id long, snap_ts timestamp, relid long, schemaname string, table_name string, index_name string, indkey array<int>, index_size long, indexdef string"),
         table_stats=spark.createDataFrame([(1, T0, 5, n_rows)], "server_id long, snap_ts timestamp, relid long, n_live_tup long"),
-        column_stats=spark.createDataFrame([(1, T0, 5, "a", 3)], "server_id long, snap_ts timestamp, relid long, attname string, avg_width long"),
-        activity=spark.createDataFrame([], "server_id long, snap_ts timestamp"), settings=spark.createDataFrame([], "server_id long, snap_ts timestamp"))
+        column_stats=spark.createDataFrame([(1, T0, 5, "a", 3)], "server_id long, snap_ts timestamp, relid long, attname string, avg_width long"))
     got = {r["index_name"]: r for r in indexes.index_sizes(snaps).collect()}
     assert {r["expected_bytes"] for r in got.values()} == {needed} and {r["key_width"] for r in got.values()} == {16}
     assert {n: float(r["bloat_percent"]) for n, r in got.items()} == {"exact": 0.0, "small": 0.0, "at": 10.0, "over": 10.09}
+    whole = Snapshots.from_tables(spark, "/root/testdata/sf0.001")
+    empty = {r: getattr(whole, r).limit(0) for r in ("locks", "activity", "settings", "servers", "repl_stats", "repl_slots", "database_stats")}
+    snaps = Snapshots.from_frames(spark, **{**empty, "index_stats": snaps.index_stats, "table_stats": snaps.table_stats, "column_stats": snaps.column_stats})
     samples = checks.alert_samples(snaps, {"index_bloat_percent"})
     assert {r["object"] for r in evaluate_alerts(samples, rules.alert_rules(spark, "AL3")).collect()} == {"over"}
