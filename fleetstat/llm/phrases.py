@@ -46,7 +46,7 @@ from fleetstat.llm.common import slices, text_of, written
 LEAST, LONGEST, TOP = 30, 4, 2000
 HELD_PERCENT = 80
 SCALE = 2_000_000
-SHARDS = 4
+SHARDS = 3
 BITS = 26
 #: Values of the hash of language and shard, the low 16 bits of a key.
 CELLS = 1 << 16
@@ -60,6 +60,8 @@ _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _END
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bits of a hash that travel in a key; bit tables look at fewer.
+_KEPT = np.uint64((1 << 40) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,6 +75,10 @@ def _hash_of(values: list) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(v) for v in values], dtype=np.uint64)
 
 
+def _first_hash(lang: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(lang * _C1 ^ word)
+
+
 class Words:
     """The words of some texts: number and piece of each, and the distinct words."""
 
@@ -112,7 +118,7 @@ class Phrases:
         self.place = np.arange(len(words.number))
         self.number, self.first = _factorized(at * max(1, len(words.distinct)) + words.number)
         self.group = at[self.first]
-        self.hash = _mix(group_hash[self.group] * _C1 ^ word_hash[words.number[self.first]])
+        self.hash = _first_hash(group_hash[self.group], word_hash[words.number[self.first]])
 
     def allowed(self, table: np.ndarray | None) -> np.ndarray:
         """For each distinct phrase, whether it is in the table."""
@@ -196,26 +202,38 @@ def documents_of(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return dealt.select("lang", F.pmod(F.xxhash64("lang", "shard"), F.lit(CELLS)).cast("int").alias("cell"), "text")
 
 
-def shard_words(docs: DataFrame) -> DataFrame:
-    """Words of each shard: lang, cell, hash, n."""
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """lang, word, n of the frequent words of each language, and lang, cell, n (word null) of all words of each shard."""
     def run(batches):
         for names, (one,) in _chains(batches, []):
             langs, cells = zip(*names)
+            counts, n = one.counts(), len(names)
+            here = np.bincount(one.group, weights=counts, minlength=n).astype(np.int64)
+            group = pa.array(np.concatenate([one.group, np.arange(n)]))
             yield pa.RecordBatch.from_arrays([
-                pa.array(langs, pa.string()).take(pa.array(one.group)), pa.array(cells, pa.int32()).take(pa.array(one.group)),
-                pa.array(one.hash.view(np.int64)), pa.array(one.counts())], ["lang", "cell", "hash", "n"])
-    rows = docs.select("lang", "cell", "text").mapInArrow(run, "lang string, cell int, hash long, n long")
-    return written(rows.groupBy("lang", "cell", "hash").agg(F.sum("n").alias("n")), "words")
+                pa.array(langs, pa.string()).take(group), pa.concat_arrays([pa.nulls(len(counts), pa.int32()), pa.array(cells, pa.int32())]),
+                pa.concat_arrays([one.texts(np.arange(len(counts))), pa.nulls(n, pa.string())]),
+                pa.array(np.concatenate([counts, here]))], ["lang", "cell", "word", "n"])
+    rows = docs.select("lang", "cell", "text").mapInArrow(run, "lang string, cell int, word string, n long")
+    return written(rows.groupBy("lang", "cell", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()), "words")
 
 
-def supports(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def supports(sizes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The words of each language, and the support that its share of them leaves to each cell (the least of any it stands for)."""
-    sizes = words.groupBy("lang", "cell").agg(F.sum("n").alias("here"))
-    total = written(sizes.groupBy("lang").agg(F.sum("here").alias("total")), "totals")
-    needed = F.expr(f"cast(cast({least} * cast(here AS decimal(20, 0)) + total - 1 AS decimal(38, 0)) div total AS long)")
+    total = sizes.groupBy("lang").agg(F.sum("n").alias("total"))
+    needed = F.expr(f"cast(cast({least} * cast(n AS decimal(20, 0)) + total - 1 AS decimal(38, 0)) div total AS long)")
     return total, written(sizes.join(total, "lang").groupBy("cell").agg(F.min(needed).alias("needed")), "supports")
 
 
+def word_hashes(words: DataFrame) -> DataFrame:
+    """The hashes that passes look for single words by."""
+    def run(batches):
+        for batch in batches:
+            lang, word = (_hash_of([v.encode() for v in batch.column(i).to_pylist()]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_first_hash(lang, word).view(np.int64))], ["hash"])
+    return words.select("lang", "word").mapInArrow(run, "hash long")
+
+
 def shard_phrases(docs: DataFrame, needed: DataFrame, tables: list[Broadcast], lengths: tuple[int, ...]) -> DataFrame:
     """Hashes of the phrases of these lengths that are locally frequent in some shard."""
     def run(batches):
@@ -224,7 +242,7 @@ def shard_phrases(docs: DataFrame, needed: DataFrame, tables: list[Broadcast], l
             cells = np.array([n[1] for n in names], np.uint64)
             for p in phrases:
                 if p.length in lengths and len(p.first):
-                    key = (p.hash << np.uint64(16)) | cells[p.group]
+                    key = ((p.hash & _KEPT) << np.uint64(16)) | cells[p.group]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(p.counts())], ["key", "n"])
     rows = docs.select("lang", "cell", "text").mapInArrow(run, "key long, n long")
     local = rows.groupBy("key").agg(F.sum("n").alias("n")).withColumn("cell", F.col("key").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
@@ -243,19 +261,18 @@ def bit_table(hashes: DataFrame, bits: int = BITS) -> Broadcast:
 
 
 def counted(docs: DataFrame, tables: list[Broadcast], least: int, longest: int) -> DataFrame:
-    """Exact counts of the union's phrases, those of at least `least`: lang, phrase, length, a."""
+    """Exact counts of the union's phrases of two words and more, those of at least `least`: lang, phrase, a."""
     def run(batches):
         bits = [t.value for t in tables]
         for names, phrases in _chains(batches, bits[:longest - 1]):
             langs = pa.array([n[0] for n in names], pa.string())
-            for p, allowed in zip(phrases, bits):
+            for p, allowed in zip(phrases[1:], bits[1:]):
                 which = np.flatnonzero(p.allowed(allowed))
                 if len(which):
                     yield pa.RecordBatch.from_arrays([
                         langs.take(pa.array(p.group[which])), p.texts(which), pa.array(p.counts()[which])], ["lang", "phrase", "n"])
     rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
-    frequent = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return written(frequent.withColumn("length", F.size(F.split("phrase", " "))), "phrases")
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -284,17 +301,18 @@ def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, top:
     if shards < 1 or longest < 2:
         raise ValueError("at least one shard, phrases of at least two words")
     docs = documents_of(df, text_col, lang_col, shards)
-    words = shard_words(docs)
-    total, needed = supports(words, least)
-    # The sums over shards are all there for single words, so only frequent words go on.
-    frequent = words.groupBy("lang", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    tables = [bit_table(frequent, bits)]
+    # Words are counted exactly at once, so only frequent ones go on.
+    words = word_counts(docs, least)
+    total, needed = supports(words.where("word IS NULL AND n > 0").select("lang", "cell", "n"), least)
+    single = words.where("word IS NOT NULL")
+    tables = [bit_table(word_hashes(single), bits)]
     tables.append(bit_table(shard_phrases(docs, needed, tables, (2,)), bits))
     if longest > 2:
         # All greater lengths in one pass: phrases whose pairs of neighbours are all in the table.
         longer = bit_table(shard_phrases(docs, needed, tables, tuple(range(3, longest + 1))), bits)
         tables += [longer] * (longest - 2)
-    phrases = counted(docs, tables, least, longest)
+    frequent = counted(docs, tables, least, longest).unionByName(single.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")))
+    phrases = written(frequent.withColumn("length", F.size(F.split("phrase", " "))), "phrases")
     held = F.coalesce(100 * F.col("longer").cast("decimal(20,0)") >= held_percent * F.col("a").cast("decimal(20,0)"), F.lit(False))
     kept = scored(phrases).join(contained(phrases), ["lang", "phrase"], "left").where(~held)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
