@@ -37,8 +37,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Bytes of the log that one micro-batch takes.
-BATCH = 64 << 30
+#: Bytes of the log that one micro-batch takes; a table of more is read in several, each of which consults the state of those before.
+BATCH = 2 << 30
 
 
 def normalised(text: Column) -> Column:

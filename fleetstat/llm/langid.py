@@ -14,9 +14,12 @@ documented bound is the only sample in the operator). Counts are kept as a table
 in the shared folder; a step sends one number for each piece and language to
 the driver, whatever the corpus.
 
-Prediction reads every whole text. Words are letter runs of the lowered text;
-runs above LONGEST letters are scored in consecutive parts. Word scores are kept
-in a bounded table of each worker process.
+Training leaves out words of more than LONGEST letters.
+
+Prediction reads every whole text. Words are runs of Unicode letters of the lowered
+text. Words up to LONGEST letters are scored many at once and kept in a bounded table
+of each worker process; longer ones, of any length, are scored alone by the same
+forward pass in a window that slides over them.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 with no training rows everything is `und`; equal totals go to the first language
@@ -33,6 +36,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +48,12 @@ MARK = "▁"
 #: Labelled rows of each language that training takes, in expectation.
 SAMPLE = 1000
 ROUNDS = 4
+#: Letters of a word up to which words share a lattice.
 LONGEST = 31
 #: Probability of a character outside the vocabulary, and of a piece never met.
 STRANGE, SMOOTHING = 1e-9, 0.01
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _SCALE = 1 << 20
 
 
@@ -58,6 +64,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
         self.names = sorted({p for p in names if (body := p.removeprefix(MARK)).isalpha() and body == body.lower() or p == MARK})
+        self.widest = max(map(len, self.names), default=0)
         self.finder = ahocorasick.Automaton()
         for i, p in enumerate(self.names):
             self.finder.add_word(p, i)
@@ -83,11 +90,11 @@ def pieces(path: str) -> Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Letter runs in lower case, cut where they are longer than a lattice takes."""
+    """Runs of letters in lower case. Number characters that are no digits (fractions, circled numbers) are not letters."""
     found = _WORD.findall((text or "").lower())
-    if found and max(map(len, found)) > LONGEST:
-        return [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    if text is None or text.isascii():
+        return found
+    return [w for f in found for w in ((f,) if f.isalpha() else _LETTERS.findall(f))]
 
 
 def forward(lattice, prob: np.ndarray) -> np.ndarray:
@@ -124,13 +131,39 @@ def backward(lattice, prob: np.ndarray) -> np.ndarray:
     return beta
 
 
+def log_score_alone(p: Pieces, word: str, prob: np.ndarray) -> np.ndarray:
+    """Log probability of a word of any length: the forward pass keeps as many places as the longest piece and scales them."""
+    marked, width = MARK + word, p.widest + 1
+    window, scale = np.zeros((width, prob.shape[1])), np.zeros(prob.shape[1])
+    window[0] = 1
+    ends = p.finder.iter(marked)
+    end, piece = next(ends, (len(marked), -1))
+    for k in range(1, len(marked) + 1):
+        now = window[(k - 1) % width] * STRANGE
+        while end == k - 1:
+            now = now + window[(k - len(p.names[piece])) % width] * prob[piece]
+            end, piece = next(ends, (len(marked), -1))
+        window[k % width] = now
+        if k % 8 == 0:
+            most = window.max(axis=0)
+            window /= most
+            scale += np.log(most)
+    return np.log(np.maximum(window[len(marked) % width], 1e-300)) + scale
+
+
 def log_scores(p: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.empty((len(words), prob.shape[1]))
-    for i in range(0, len(words), 20_000):
-        lattice = p.lattice([MARK + w for w in words[i:i + 20_000]])
+    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+    for first in range(0, len(short), 20_000):
+        part = short[first:first + 20_000]
+        lattice = p.lattice([MARK + words[i] for i in part])
         alpha = forward(lattice, prob)
-        out[i:i + 20_000] = np.log(np.maximum(alpha[np.arange(len(alpha)), lattice[0]], 1e-300))
+        out[part] = np.log(np.maximum(alpha[np.arange(len(alpha)), lattice[0]], 1e-300))
+    if len(short) < len(words):
+        for i, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[i] = log_score_alone(p, w, prob)
     return out
 
 
@@ -170,7 +203,7 @@ def train(df: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS,
         for batch in batches:
             totals: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals.update((w, lang) for w in words_of(text))
+                totals.update((w, lang) for w in words_of(text) if len(w) <= LONGEST)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in totals], pa.string()), pa.array([g for _, g in totals], pa.string()), pa.array(list(totals.values()), pa.int64())],
                 ["word", "lang", "n"])
@@ -212,7 +245,12 @@ class Scorer:
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log scores, and the number of words."""
-        found = list(map(words_of, texts))
+        found, long = list(map(words_of, texts)), np.zeros((len(texts), self.prob.shape[1]))
+        sizes = np.array(list(map(len, found)), dtype=np.int64)
+        for i, words in enumerate(found):
+            if words and len(max(words, key=len)) > LONGEST:
+                long[i] = log_scores(self.p, [w for w in words if len(w) > LONGEST], self.prob).sum(axis=0)
+                found[i] = [w for w in words if len(w) <= LONGEST]
         if len(self.place) > self.most:
             self.place, self.scores = {}, np.zeros((0, self.prob.shape[1]))
         new = set().union(*found).difference(self.place)
@@ -221,11 +259,11 @@ class Scorer:
             self.place.update(zip(order, range(len(self.place), len(self.place) + len(order))))
             self.scores = np.concatenate([self.scores, log_scores(self.p, order, self.prob)])
         get = self.place.__getitem__
-        out = np.zeros((len(texts), self.prob.shape[1]))
+        out = long
         for i, words in enumerate(found):
             if words:
-                out[i] = self.scores[np.fromiter(map(get, words), dtype=np.int64, count=len(words))].sum(axis=0)
-        return out, np.array(list(map(len, found)), dtype=np.int64)
+                out[i] += self.scores[np.fromiter(map(get, words), dtype=np.int64, count=len(words))].sum(axis=0)
+        return out, sizes
 
 
 def predict(df: DataFrame, langs: list[str], prob: np.ndarray, path: str, text_col: str = "text") -> DataFrame:

@@ -73,6 +73,32 @@ def test_forward_sums_all_segmentations():
         assert got == pytest.approx([brute(langid.MARK + word, 0), brute(langid.MARK + word, 1)])
 
 
+def test_words_of_any_length_have_one_score(monkeypatch):
+    """The sliding window gives what the whole lattice gives, whatever the length and without running out of range."""
+    p, rng = langid.pieces(PIECES), np.random.default_rng(1)
+    prob = rng.random((len(p.names), 3)) / len(p.names)
+    text = "donaudampfschifffahrtsgesellschaftskapitänsmütze" * 40
+    words = [text[:n] for n in (1, 5, 30, 31, 32, 47, 90)]
+    together = langid.log_scores(p, words, prob)
+    monkeypatch.setattr(langid, "LONGEST", 100)
+    assert np.allclose(together, langid.log_scores(p, words, prob))
+    alone = langid.log_score_alone(p, text, prob)
+    halves = langid.log_score_alone(p, text[:960], prob)
+    assert np.isfinite(alone).all() and (alone < halves).all() and (alone < -2000).all()
+    strange = langid.log_score_alone(p, "𐌰" * 400, prob) - langid.log_score_alone(p, "𐌰" * 399, prob)
+    assert np.allclose(strange, np.log(langid.STRANGE))
+    scorer = langid.Scorer(PIECES, prob)
+    totals, n = scorer.totals([text + " the", "the", ""])
+    assert n.tolist() == [2, 1, 0] and np.allclose(totals[0], langid.log_scores(p, [text, "the"], prob).sum(axis=0))
+
+
+def test_number_characters_are_no_letters(spark):
+    assert langid.words_of("½ ² ① 12 a½b Straße_x") == ["a", "b", "straße", "x"]
+    df = spark.createDataFrame([(0, "the and of", "en"), (3, "the of", "en"), (5, "½ ²①", None), (6, "the ½", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, PIECES).collect()}
+    assert got[5] == "und" and got[6] != "und"
+
+
 def test_languages_are_told_apart_on_held_out_rows(spark):
     rows = queries.op1_language_id(spark, SF).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
