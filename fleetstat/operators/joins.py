@@ -18,38 +18,47 @@ LOCK_OBJECT = [
 # A key is hot when it holds more than this share of all rows, so there can be
 # at most HOT_LIMIT hot keys whatever the size of the data.
 HOT_LIMIT = 1024
-GRID = 8
+# Rows of either side that one cell of a hot key's grid takes, at least.
+CELL = 4096
 
 
 def null_safe(left: str, right: str, keys: list[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys holding more than 1/HOT_LIMIT of the rows: at most HOT_LIMIT rows by construction."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(df: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """Keys with more than 1/HOT_LIMIT of the rows (at most HOT_LIMIT of them) and the size of each one's grid.
+
+    ``left`` and ``right`` tell which rows are on either side. A cell takes CELL rows of a side, or the hot
+    share where that is more, so a key has as many lines and columns as its own counts ask for, and one cell
+    where both are small.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(left).alias("_l"), F.count_if(right).alias("_r"))
     total = counts.agg(F.sum("_n"))  # from the counts, so the same shuffle serves both
-    return counts.where(F.col("_n") * HOT_LIMIT > total.scalar()).select(*keys, F.lit(True).alias("_hot"))
+    cell = F.greatest(F.lit(CELL), F.floor(total.scalar() / HOT_LIMIT))
+    sized = counts.where((F.col("_n") * HOT_LIMIT > total.scalar()) & (F.col("_l") > 0) & (F.col("_r") > 0))
+    return sized.select(
+        *keys, F.ceil(F.col("_l") / cell).cast("int").alias("_lines"), F.ceil(F.col("_r") / cell).cast("int").alias("_columns")
+    ).where("_lines > 1 OR _columns > 1")
 
 
 def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, left_id: Column, right_id: Column) -> DataFrame:
     """All (left, right) rows equal on ``keys``, as aliases l and r. ``hot`` comes from ``hot_keys``.
 
-    Rows of a hot key are spread over a GRID x GRID square: a left row takes one
-    line of it and a right row one column, so every pair meets in exactly one
-    cell and no cell sees more than 1/GRID of either side. Cell numbers come
-    from row content, so a re-run task repeats them.
+    Rows of a hot key are spread over its grid: a left row takes one line of it
+    and a right row one column, so every pair meets in exactly one cell. Cell
+    numbers come from row content, so a re-run task repeats them.
     """
     hot = F.broadcast(hot)
 
-    def spread(df: DataFrame, row_id: Column, line: str, column: str) -> DataFrame:
+    def spread(df: DataFrame, row_id: Column, own: str, others: str) -> DataFrame:
         marked = df.join(hot, keys, "left")
-        own = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(GRID)).cast("int")).otherwise(F.lit(0))
-        others = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0)))
-        return marked.withColumn(line, own).withColumn(column, F.explode(others)).drop("_hot")
+        return marked.select(
+            *df.columns, F.pmod(F.xxhash64(row_id), F.coalesce(f"_{own}s", F.lit(1))).cast("int").alias(f"_{own}"),
+            F.explode(F.sequence(F.lit(0), F.coalesce(f"_{others}s", F.lit(1)) - 1)).alias(f"_{others}"))
 
-    l = spread(left, left_id, "_line", "_column").alias("l")
-    r = spread(right, right_id, "_column", "_line").alias("r")
+    l = spread(left, left_id, "line", "column").alias("l")
+    r = spread(right, right_id, "column", "line").alias("r")
     same = reduce(and_, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_line", "_column"]])
     return l.join(r, same)
 
@@ -83,7 +92,8 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame, keys: int = 10, requir
     row_id = F.struct("pid", "mode")
     on = [*SNAP, "_object"]
     # Counted on the locks alone: the sessions could only make an object less hot.
-    hot = hot_keys(with_object(locks, keys).select(*on), on)
+    others_too = F.col("granted") if require_granted else F.lit(True)
+    hot = hot_keys(with_object(locks, keys).select(*on, "granted"), on, ~F.col("granted"), others_too)
     pairs = salted_pairs(waiting, others, on, hot, row_id, row_id)
     return pairs.where(null_safe("l", "r", LOCK_OBJECT[:keys]) & (F.col("l.pid") != F.col("r.pid")))
 

@@ -31,9 +31,11 @@ def test_pairs_with_a_hot_object_match_brute_force(spark, monkeypatch):
     expected = sorted(
         (w[2], h[2]) for w, h in product(locks, locks)
         if not w[6] and w[0] == h[0] and w[3:5] == h[3:5] and w[2] != h[2] and (w[0], w[2]) in known and (h[0], h[2]) in known)
-    assert joins.hot_keys(s.locks, ["server_id", "relation"]).count() > 0
-    for limit in (1024, 1):  # with and without the hot treatment
-        monkeypatch.setattr(joins, "HOT_LIMIT", limit)
+    waits = ~F.col("granted")
+    for cell, grid in ((4096, []), (7, [(3, 9)]), (1, [(21, 61)])):  # one cell, a grid, a cell for each row
+        monkeypatch.setattr(joins, "CELL", cell)
+        sizes = joins.hot_keys(s.locks.where("relation = 7 AND server_id = 1"), ["server_id", "relation"], waits, F.lit(True))
+        assert [(r["_lines"], r["_columns"]) for r in sizes.collect()] == grid
         found = registry.run("LK2", s).select("blocked_pid", "blocking_pid").collect()
         assert sorted(tuple(r) for r in found) == expected
     blocked = sorted(r.pid for r in joins.blocked_sessions(s.locks, s.activity).collect())
