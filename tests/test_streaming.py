@@ -107,6 +107,40 @@ def test_blocking_pairs_to_episodes(spark):
     assert [(r.blocked_pid, r.blocking_pid, r.scrapes) for r in found] == [(2, 1, 2), (2, 1, 1)]
 
 
+def test_a_scrape_split_over_batches_keeps_its_pairs_and_old_scrapes_are_not_read(spark):
+    root = tempfile.mkdtemp(prefix="fleetstat-stream-")
+    names = "cast(null as bigint) database, cast(null as bigint) transactionid, cast(null as bigint) page, cast(null as bigint) tuple, " \
+            "cast(null as string) virtualxid, cast(null as bigint) classid, cast(null as bigint) objid, cast(null as bigint) objsubid"
+    schema = "server_id long, snap_ts timestamp, pid long, locktype string, relation long, mode string, granted boolean"
+    t1, t2 = T0, T0 + dt.timedelta(days=1, microseconds=7)
+    # The holder of the second scrape comes one file after its waiter; the first scrape is closed by then.
+    files = [[(1, t1, 1, True), (1, t1, 2, False)], [(1, t2, 4, False)], [(1, t2, 3, True)]]
+    for part in files:
+        spark.createDataFrame([(s, t, p, "relation", 7, "ShareLock", g) for s, t, p, g in part], schema).selectExpr("*", *names.split(", ")).coalesce(1).write.mode(
+            "append").parquet(f"{root}/locks")
+    spark.createDataFrame([(1, t, p) for t, p in ((t1, 1), (t1, 2), (t2, 3), (t2, 4))], "server_id long, snap_ts timestamp, pid long").selectExpr(
+        "*", "'u' usename", "'q' query", "snap_ts query_start", "'e' wait_event", "'t' wait_event_type", "'a' application_name",
+        "'active' state").write.parquet(f"{root}/activity")
+    read = []
+    locks = read_snapshot_stream(spark, f"{root}/locks", "locks", max_files=1)
+    original = type(spark.read).parquet
+
+    def noted(reader, *paths, **options):
+        read.append(paths)
+        return original(reader, *paths, **options)
+
+    type(spark.read).parquet = noted
+    try:
+        query = jobs.blocking_pair_writer(locks, lambda: spark.read.parquet(f"{root}/activity"), f"{root}/pairs", f"{root}/check").trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    finally:
+        type(spark.read).parquet = original
+    pairs = {(r.snap_ts, r.blocked_pid, r.blocking_pid) for r in spark.read.parquet(f"{root}/pairs").collect()}
+    assert pairs == {(t1, 2, 1), (t2, 4, 3)}
+    opened = [paths for paths in read if any("_locks" in p for p in paths)]
+    assert len(opened) == 3 and all(len(paths) == 1 and "/scrape=" in paths[0] for paths in opened)
+
+
 def test_rules_are_few_and_read_from_one_table(spark):
     assert 0 < alert_rules(spark).count() < 100
     assert {r.rule_set for r in alert_rules(spark, "AL4").collect()} == {"AL4"}
