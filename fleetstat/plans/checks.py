@@ -99,6 +99,15 @@ def report_json(s: Snapshots) -> DataFrame:
         F.get_json_object("body", "$.report_metadata.version").alias("version"), F.array_join(shown, ";").alias("sections_in_order"))
 
 
+@report("S7L", order="server_id, check_name, severity, object")
+def report_lines(s: Snapshots, mode: str = "full") -> DataFrame:
+    """Every finding of the report as a JSON line of its section, read back: all messages, not only the worst one."""
+    lines = sinks.to_section_lines(health_findings(s, mode))
+    read = F.from_json("line", "name string, object string, severity string, message string, value double")
+    return lines.select(*SNAP, read.alias("x")).select(
+        *SNAP, F.col("x.name").alias("check_name"), "x.object", "x.severity", "x.message", "x.value")
+
+
 # --- key figures ------------------------------------------------------------------
 
 def _kv(df: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstat.functions import percent
@@ -61,6 +61,46 @@ def hit_ratio_over_time(s: Snapshots, window: str = "1 day") -> DataFrame:
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "hit", "read", "hit_percent"), *BOUNDS)
 
 
+def _grown(df: DataFrame, keys: list[str], counters: list[str], window: str) -> DataFrame:
+    """Growth of each counter and the seconds it took, per key and window.
+
+    A step between two samples counts in the window of the later one, as in ST3; a reset starts from zero.
+    Windows hold sums only, so neither the samples of a key nor those of a window meet in one task.
+    """
+    deltas = history.counter_delta(df, keys, counters, tie="sample_id").where("prev_ts IS NOT NULL")
+    placed = deltas.withColumn("w", F.window("snap_ts", window))
+    micros = F.sum(F.unix_micros("snap_ts") - F.unix_micros("prev_ts"))
+    return placed.groupBy("w", *keys).agg(
+        *[F.sum(f"{c}_delta").alias(c) for c in counters], (micros / 1_000_000).alias("seconds")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *counters, "seconds")
+
+
+def _per_second(column: str) -> Column:
+    return F.round(F.try_divide(F.col(column).cast("double"), "seconds"), 6)
+
+
+@report("DG6", order="server_id, datname, window_start")
+def transaction_rate(s: Snapshots, window: str = "1 day") -> DataFrame:
+    """Commits and rollbacks of every database over time, a second and as a share of all transactions."""
+    grown = _grown(s.transaction_history, ["server_id", "datname"], ["xact_commit", "xact_rollback"], window)
+    return _times(grown.select(
+        "window_start", "window_end", "server_id", "datname", F.col("xact_commit").alias("commits"), F.col("xact_rollback").alias("rollbacks"),
+        F.round("seconds", 3).alias("seconds"), _per_second("xact_commit").alias("commits_per_second"),
+        _per_second("xact_rollback").alias("rollbacks_per_second"),
+        percent("xact_rollback", F.col("xact_commit") + F.col("xact_rollback")).alias("rollback_percent")), *BOUNDS)
+
+
+@report("DG11", order="server_id, window_start")
+def checkpoint_activity(s: Snapshots, window: str = "1 day") -> DataFrame:
+    """Timed and requested checkpoints of every server over time, the share of requested ones and the buffers written."""
+    counters = ["checkpoints_timed", "checkpoints_req", "buffers_checkpoint"]
+    grown = _grown(s.checkpoint_history, ["server_id"], counters, window)
+    both = F.col("checkpoints_timed") + F.col("checkpoints_req")
+    return _times(grown.select(
+        "window_start", "window_end", "server_id", *counters, F.round("seconds", 3).alias("seconds"),
+        percent("checkpoints_req", both).alias("requested_percent"), _per_second("buffers_checkpoint").alias("buffers_per_second")), *BOUNDS)
+
+
 def _breaches(s: Snapshots) -> DataFrame:
     return evaluate_alerts(s.samples, alert_rules(s.spark, "TREND"))
 

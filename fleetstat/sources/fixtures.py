@@ -562,6 +562,16 @@ def definitions(dialect: str) -> dict[str, str]:
                (event_id * 13) % 100000 AS blks_hit, (event_id * 3) % 40000 AS blks_read, event_id AS sample_id
         FROM events"""
 
+    out["transaction_history"] = f"""
+        SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, 'db' || CAST(user_id % 6 AS VARCHAR(9)) AS datname,
+               (event_id * 17) % 250000 AS xact_commit, {d.div("event_id", "3")} % 1500 AS xact_rollback, event_id AS sample_id
+        FROM events"""
+
+    out["checkpoint_history"] = f"""
+        SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, {d.div("event_id", "3")} % 5000 AS checkpoints_timed,
+               {d.div("event_id", "7")} % 900 AS checkpoints_req, (event_id * 11) % 60000 AS buffers_checkpoint, event_id AS sample_id
+        FROM events"""
+
     out["pair_history"] = f"""
         SELECT event_id % 4 AS server_id, CAST(ts AS TIMESTAMP) AS snap_ts, user_id AS blocked_pid, user_id % 10 + 1000 AS blocking_pid
         FROM events"""

@@ -172,6 +172,14 @@ SCHEMAS: dict[str, str] = {
         "server_id bigint, snap_ts timestamp, datname string, blks_hit bigint, blks_read bigint, "
         "sample_id bigint"
     ),
+    "transaction_history": (
+        "server_id bigint, snap_ts timestamp, datname string, xact_commit bigint, xact_rollback bigint, "
+        "sample_id bigint"
+    ),
+    "checkpoint_history": (
+        "server_id bigint, snap_ts timestamp, checkpoints_timed bigint, checkpoints_req bigint, "
+        "buffers_checkpoint bigint, sample_id bigint"
+    ),
     "pair_history": (
         "server_id bigint, snap_ts timestamp, blocked_pid bigint, blocking_pid bigint"
     ),

@@ -158,6 +158,7 @@ SQL = {
         SELECT server_id, string_agg(check_name || '|' || n || '|' || worst, ';' ORDER BY check_name) AS sections_in_order FROM (
           SELECT server_id, check_name, count(*) AS n, arg_min(message, ({RANK}, message)) AS worst FROM ({findings(QUICK)}) f GROUP BY server_id, check_name) g
         GROUP BY server_id) a LEFT JOIN servers v ON v.server_id = a.server_id""",
+    "s7l_report_lines": f"SELECT server_id, check_name, object, severity, message, value FROM ({findings(FULL)}) f",
     "ck2_incident_snapshot": kv("""(SELECT server_id, count(*) AS total, count(*) FILTER (state = 'active') AS active,
         count(*) FILTER (state = 'idle in transaction') AS idle_tx, count(*) FILTER (wait_event IS NOT NULL) AS waiting FROM activity GROUP BY server_id) x""",
         Connection_Count="total", Active_Queries="active", Idle_in_Transaction="idle_tx", Waiting_Queries="waiting"),

@@ -13,6 +13,8 @@ def grown(v: str) -> str:
 
 COUNTERS = lagged("counters", "server_id, metric_key", "snap_ts, sample_id", "value", "sync_state")
 IO = lagged("io_history", "server_id, datname", "snap_ts, sample_id", "blks_hit", "blks_read")
+TRANSACTIONS = lagged("transaction_history", "server_id, datname", "snap_ts, sample_id", "xact_commit", "xact_rollback")
+CHECKPOINTS = lagged("checkpoint_history", "server_id", "snap_ts, sample_id", "checkpoints_timed", "checkpoints_req", "buffers_checkpoint")
 SECONDS = "(epoch_us({0}) - epoch_us({1})) / 1000000.0"
 BREACHES = "(" + " UNION ALL ".join(
     f"SELECT server_id, snap_ts, metric, object, value, '{sev}' AS severity, {secs}::BIGINT AS for_seconds FROM samples WHERE metric = '{metric}'"
@@ -43,6 +45,20 @@ SQL = {
         sum({grown('blks_hit')})::BIGINT AS hit, sum({grown('blks_read')})::BIGINT AS read,
         {pct(f"sum({grown('blks_hit')})", f"(sum({grown('blks_hit')}) + sum({grown('blks_read')}))")} AS hit_percent
         FROM (SELECT *, date_trunc('day', snap_ts) AS day FROM {IO}) x WHERE prev_snap_ts IS NOT NULL GROUP BY day, server_id, datname""",
+    "dg6_transaction_rate": f"""SELECT {clock('day')} AS window_start, {clock('day + INTERVAL 1 DAY')} AS window_end, server_id, datname, commits, rollbacks,
+        {r2('secs', 3)} AS seconds, {r2('commits / nullif(secs, 0)', 6)} AS commits_per_second, {r2('rollbacks / nullif(secs, 0)', 6)} AS rollbacks_per_second,
+        {pct('rollbacks', '(commits + rollbacks)')} AS rollback_percent FROM (
+        SELECT date_trunc('day', snap_ts) AS day, server_id, datname, sum({grown('xact_commit')})::BIGINT AS commits,
+          sum({grown('xact_rollback')})::BIGINT AS rollbacks, sum(epoch_us(snap_ts) - epoch_us(prev_snap_ts)) / 1000000.0 AS secs
+        FROM {TRANSACTIONS} WHERE prev_snap_ts IS NOT NULL GROUP BY ALL) x""",
+    "dg11_checkpoint_activity": f"""SELECT {clock('day')} AS window_start, {clock('day + INTERVAL 1 DAY')} AS window_end, server_id, checkpoints_timed,
+        checkpoints_req, buffers_checkpoint, {r2('secs', 3)} AS seconds, {pct('checkpoints_req', '(checkpoints_timed + checkpoints_req)')} AS requested_percent,
+        {r2('buffers_checkpoint / nullif(secs, 0)', 6)} AS buffers_per_second FROM (
+        SELECT date_trunc('day', snap_ts) AS day, server_id, sum({grown('d.checkpoints_timed').replace('prev_d.', 'prev_')})::BIGINT AS checkpoints_timed,
+          sum({grown('d.checkpoints_req').replace('prev_d.', 'prev_')})::BIGINT AS checkpoints_req,
+          sum({grown('d.buffers_checkpoint').replace('prev_d.', 'prev_')})::BIGINT AS buffers_checkpoint,
+          sum(epoch_us(snap_ts) - epoch_us(prev_snap_ts)) / 1000000.0 AS secs
+        FROM {CHECKPOINTS} WHERE prev_snap_ts IS NOT NULL GROUP BY ALL) x""",
     "st4_evaluate_trend_alerts": f"SELECT server_id, {clock('snap_ts')} AS seen_at, metric, object, value, severity FROM {BREACHES}",
     "st5_sustained_alerts": "SELECT * FROM (" + sessions(
         BREACHES, "server_id, metric, object, severity, for_seconds", 43200,
