@@ -238,8 +238,11 @@ def definitions(dialect: str) -> dict[str, str]:
                CASE WHEN l_linenumber <= 5 THEN l_suppkey % 6 END AS database,
                CASE WHEN l_linenumber <= 5 THEN l_partkey END AS relation,
                CASE WHEN l_linenumber > 5 THEN l_partkey END AS transactionid,
-               CAST(NULL AS BIGINT) AS page, CAST(NULL AS BIGINT) AS tuple, CAST(NULL AS VARCHAR(20)) AS virtualxid,
-               CAST(NULL AS BIGINT) AS classid, CAST(NULL AS BIGINT) AS objid, CAST(NULL AS BIGINT) AS objsubid,
+               CASE WHEN l_linenumber <= 5 AND l_partkey % 3 = 0 THEN {d.div("l_orderkey", "4")} % 2 END AS page,
+               CASE WHEN l_linenumber <= 5 AND l_partkey % 3 = 0 THEN {d.div("l_orderkey", "8")} % 2 END AS tuple,
+               CAST(NULL AS VARCHAR(20)) AS virtualxid, CAST(NULL AS BIGINT) AS classid,
+               CASE WHEN l_linenumber <= 5 AND l_partkey % 5 = 0 THEN {d.div("l_orderkey", "16")} % 2 END AS objid,
+               CAST(NULL AS BIGINT) AS objsubid,
                {_words("l_linenumber - 1", "AccessShareLock", "RowShareLock", "RowExclusiveLock", "ShareUpdateExclusiveLock",
                        "ShareLock", "ExclusiveLock", "AccessExclusiveLock")} AS mode,
                l_linenumber <> 1 AS granted
