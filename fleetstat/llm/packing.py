@@ -8,6 +8,13 @@ merged, until one group is left. A group hands on at most `handed` bins, its
 emptiest, and finishes the others, so a merged group has at most fan_in * handed
 items whatever the corpus.
 
+With `handed` >= fan_in this bound costs no sequence. Best fit leaves at most one bin
+of a group half full or less: a second one's first item would have gone into the
+first. Two bins above one half never join, so every join of a merged group takes
+one of its at most fan_in small bins. A small bin that fits a finished bin fits
+every bin its group handed on, as those have more room, and there are at least as
+many of them as small bins. The small bins themselves are always handed on.
+
 Only lengths take part in packing; token bytes stay with their piece. A bin is
 named after its first item, so names are unique without coordination, and the
 place of a piece is the sum of its offsets along the levels.
@@ -108,6 +115,8 @@ def _level(items: DataFrame, capacity: int, last: bool, handed: int, nearly: flo
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN, handed: int = HANDED, nearly: float = NEARLY_FULL) -> DataFrame:
     """Items (item: unique long, length: 1 to capacity, any other columns) with sequence_id and offset."""
+    if handed < fan_in:
+        raise ValueError("a group hands on at least as many bins as groups are merged")
     groups = max(1, math.ceil(items.count() / group_rows))
     extra = [c for c in items.columns if c not in ("item", "length")]
     dealt = items.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("long"))

@@ -380,3 +380,17 @@ def test_masked_texts_keep_all_but_the_secrets(spark):
 def test_secret_scan_has_no_python(spark):
     plan = queries.op10_secret_scans(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("shape", ["pow(u, 3) * 4095", "u * 4095", "2049 + u * 1900", "if(u < 0.02, 10 + u * 5000, 2500 + u * 1500)"])
+def test_handing_on_the_emptiest_bins_costs_no_sequence(spark, shape):
+    """Sequences are as many as when every underfull bin is handed on, whatever the lengths."""
+    drawn = spark.range(3000).selectExpr("id AS item", "pmod(xxhash64(id), 1000003) / 1000003D AS u")
+    items = drawn.selectExpr("item", f"cast(1 + {shape} AS long) AS length")
+    counts = {handed: packing.pack(items, group_rows=60, fan_in=4, handed=handed).select("sequence_id").distinct().count() for handed in (4, 10**6)}
+    assert counts[4] == counts[10**6] >= items.selectExpr("sum(length) / 4096").first()[0]
+
+
+def test_a_group_hands_on_enough_bins(spark):
+    with pytest.raises(ValueError):
+        packing.pack(spark.range(3).selectExpr("id AS item", "1L AS length"), fan_in=8, handed=7)
