@@ -23,9 +23,11 @@ import functools
 import json
 import unicodedata
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,14 @@ END = "</w>"
 NONE = np.int64(1) << 60
 #: Words of more symbols get a tree of their own.
 LONG = 64
-#: Chunks and words a worker keeps. A full table of chunks keeps those that came up again, a full table of words is emptied.
+#: Chunks and words a worker keeps. A full table of chunks keeps those of the texts at hand, a full table of words is emptied.
 KEPT_CHUNKS, KEPT_WORDS = 600_000, 400_000
+#: Symbols of the words that are merged together: few enough for a processor's cache.
+_PLACES = 1 << 17
+#: Ids from 0 on whose pairs have a table of their own.
+FIRST = 512
+#: Chunks whose ids are put in place together.
+_PART = 1 << 17
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
@@ -71,17 +79,21 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.shift = int(len(self.tokens)).bit_length()
         keys = np.array([(ids[a] << self.shift) | ids[b] for a, b in pairs], dtype=np.int64)
+        self.kind = np.uint32 if 2 * self.shift <= 32 else np.int64
         self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.key_rank = keys[order], order.astype(np.int64)
+        self.keys, self.key_rank = keys[order].astype(self.kind), order.astype(np.int32)
+        # Ranks of the pairs of bytes, which the first ids of the file stand for.
+        first = np.arange(min(FIRST, len(self.tokens)))
+        self.near = self.ranks(*(x.ravel() for x in np.meshgrid(first, first, indexing="ij"))).reshape(len(first), -1)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, or -1."""
-        key = (left << self.shift) | right
+        key = (left.astype(self.kind) << self.kind(self.shift)) | right.astype(self.kind)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_rank[at], -1)
+        return np.where(self.keys[at] == key, self.key_rank[at], np.int32(-1))
 
 
 @functools.lru_cache(maxsize=4)
@@ -97,21 +109,21 @@ def merge_together(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray) -> t
         leaves *= 2
     place = leaves.bit_length()
     mask = (1 << place) - 1
-    symbols = symbols.copy()
-    after = np.tile(np.arange(1, width + 1), (n_words, 1))
-    before = np.tile(np.arange(-1, width - 1), (n_words, 1))
-    tree = np.full((n_words, 2 * leaves), NONE, dtype=np.int64)
+    symbols, none = symbols.astype(np.int32), np.int32(1 << 30)
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n_words, 1))
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n_words, 1))
+    tree = np.full((n_words, 2 * leaves), none)
 
     def leaf(rows, at, follow):
         """Value of the pair that starts at `at`, if `follow` is inside the word."""
         inside = follow < lengths[rows]
         rank = v.ranks(symbols[rows, at], symbols[rows, np.minimum(follow, width - 1)])
-        return np.where(inside & (rank >= 0), (rank << place) | at, NONE)
+        return np.where(inside & (rank >= 0), (rank << place) | at, none)
 
-    for i in range(width - 1):
-        rows = np.flatnonzero(lengths > i + 1)
-        if len(rows):
-            tree[rows, leaves + i] = leaf(rows, np.full(len(rows), i), np.full(len(rows), i + 1))
+    left, right = symbols[:, :-1], symbols[:, 1:]
+    rank = v.near[left, right] if symbols.max(initial=0) < len(v.near) else v.ranks(left.ravel(), right.ravel()).reshape(left.shape)
+    at = np.arange(width - 1, dtype=np.int32)
+    tree[:, leaves:leaves + width - 1] = np.where((at + 1 < lengths[:, None]) & (rank >= 0), (rank << place) | at, none)
     level = leaves
     while level > 1:
         half = level // 2
@@ -125,7 +137,7 @@ def merge_together(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray) -> t
             node = node >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    rows = np.flatnonzero(tree[:, 1] < NONE)
+    rows = np.flatnonzero(tree[:, 1] < none)
     while len(rows):
         root = tree[rows, 1]
         at, rank = root & mask, root >> place
@@ -136,13 +148,13 @@ def merge_together(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray) -> t
         symbols[rows, gone] = -1
         linked = follow < lengths[rows]
         before[rows[linked], follow[linked]] = at[linked]
-        update(rows, gone, NONE)
+        update(rows, gone, none)
         update(rows, at, leaf(rows, at, follow))
         prior = before[rows, at]
         some = prior >= 0
         if some.any():
             update(rows[some], prior[some], leaf(rows[some], prior[some], at[some]))
-        rows = rows[tree[rows, 1] < NONE]
+        rows = rows[tree[rows, 1] < none]
     alive = (symbols >= 0) & (np.arange(width) < lengths[:, None])
     return symbols[alive], alive.sum(axis=1)
 
@@ -201,15 +213,14 @@ class Encoder:
         self.v = vocabulary(path)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.again: set[str] = set()
 
     @staticmethod
-    def normal(chunk: str) -> str:
-        if chunk.isascii():
-            return chunk.lower()
-        chunk = unicodedata.normalize("NFC", chunk)
+    def normal(chunks: str) -> str:
+        """The normal form of a chunk, or of chunks joined by spaces: nothing composes, moves or depends on its neighbours over a space."""
+        if chunks.isascii():
+            return chunks.lower()
         # Characters are lowered one by one: a final sigma has no form of its own.
-        return chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
+        return unicodedata.normalize("NFC", chunks).replace("Σ", "σ").lower()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -231,7 +242,7 @@ class Encoder:
         width = 1
         while width <= LONG:
             group = np.flatnonzero((sizes <= width) & (sizes > width // 2))
-            most = max(1, (1 << 19) // width)
+            most = max(1, _PLACES // width)
             for first in range(0, len(group), most):
                 part = group[first:first + most]
                 lengths = sizes[part]
@@ -243,44 +254,74 @@ class Encoder:
                 self.words.update(zip((words[i] for i in part.tolist()), (packed[a:b] for a, b in zip([0, *to], to))))
             width *= 2
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, order: list[str]) -> None:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        order, split = list(chunks), []
-        for c in map(self.normal, order):
+        # Flat lists by kind: a container for each chunk would be work for the garbage collector.
+        alone, words, ended, heads, ends, other, split = [], [], [], [], [], [], []
+        for chunk, c in zip(order, self.normal(" ".join(order)).split(" ")):
             if c.isalpha():
-                split.append((c,))
-            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
-                split.append((c[:-1], c[-1]))
+                alone.append(chunk)
+                words.append(c)
+            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
+                ended.append(chunk)
+                heads.append(c[:-1])
+                ends.append(c[-1])
             else:
+                other.append(chunk)
                 split.append(_WORD.findall(c))
-        new = {w for words in split for w in words}
-        new.difference_update(self.words)
-        self._merge(list(new))
+        self._merge(list({*words, *heads, *ends}.union(*split).difference(self.words)))
         get = self.words.__getitem__
-        self.chunks.update(zip(order, (get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split)))
+        self.chunks.update(zip(alone, map(get, words)))
+        self.chunks.update(zip(ended, map(add, map(get, heads), map(get, ends))))
+        self.chunks.update(zip(other, [b"".join(map(get, w)) for w in split]))
+
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
+        ids = list(map(self.chunks.get, chunks))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        if missing:
+            unknown = [chunks[i] for i in missing]
+            self._learn(unknown)
+            for i, made in zip(missing, map(self.chunks.__getitem__, unknown)):
+                ids[i] = made
+        return ids
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without special tokens, cut at white space by Arrow; each distinct chunk is looked up once."""
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = distinct.index("") if "" in distinct else None  # before leading and after trailing white space
+        found = self._found([c for c in distinct if c])
+        if at is not None:
+            found.insert(at, b"")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype="<u4")
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes[places])))
+        out = np.empty(ends[-1], dtype="<u4")
+        for first in range(0, len(places), _PART):
+            part = places[first:first + _PART]
+            a, b = ends[first], ends[first + len(part)]
+            out[a:b] = every[np.repeat(starts[part] - ends[first:first + len(part)] + a, sizes[part]) + np.arange(b - a)]
+        edges = ends[cut.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+    def _special(self, text: str) -> bytes:
+        parts = self.v.split_special.split(text) if self.v.split_special is not None else [text]
+        cut = [[] if i % 2 else self.pieces(p) for i, p in enumerate(parts)]
+        distinct = list(set().union(*cut))
+        get = dict(zip(distinct, self._found(distinct))).__getitem__
+        return b"".join([self.v.special[p].to_bytes(4, "little") if i % 2 else b"".join(map(get, c)) for i, (p, c) in enumerate(zip(parts, cut))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks = {c: self.chunks[c] for c in self.again}
-        parted: list[list] = []
-        for text in texts:
-            if self.v.split_special is not None and any(s in text for s in self.v.special):
-                parts = self.v.split_special.split(text)
-                parted.append([self.v.special[p] if i % 2 else self.pieces(p) for i, p in enumerate(parts)])
-            else:
-                parted.append([self.pieces(text)])
-        unknown = set()
-        for parts in parted:
-            for p in parts:
-                if not isinstance(p, int):
-                    unknown.update(p)
-        self.again = unknown & self.chunks.keys()
-        unknown -= self.again
-        self._learn(unknown)
-        get = self.chunks.__getitem__
-        return [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts]) for parts in parted]
+        odd = {i: self._special(t) for i, t in enumerate(texts) if any(s in t for s in self.v.special) or _ODD.search(t)}
+        plain = iter(self._plain([t for i, t in enumerate(texts) if i not in odd]))
+        return [odd[i] if i in odd else next(plain) for i in range(len(texts))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of the ids, special ones included, joined by spaces: the file names no decoder."""
