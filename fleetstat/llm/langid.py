@@ -50,6 +50,8 @@ SAMPLE = 1000
 ROUNDS = 4
 #: Letters of a word up to which words share a lattice.
 LONGEST = 31
+#: Words whose lattices are in memory together, and bytes of text whose words are.
+TOGETHER, SLICE = 4_000, 2 << 20
 #: Probability of a character outside the vocabulary, and of a piece never met.
 STRANGE, SMOOTHING = 1e-9, 0.01
 _WORD = re.compile(r"[^\W\d_]+")
@@ -155,8 +157,8 @@ def log_scores(p: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.empty((len(words), prob.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-    for first in range(0, len(short), 20_000):
-        part = short[first:first + 20_000]
+    for first in range(0, len(short), TOGETHER):
+        part = short[first:first + TOGETHER]
         lattice = p.lattice([MARK + words[i] for i in part])
         alpha = forward(lattice, prob)
         out[part] = np.log(np.maximum(alpha[np.arange(len(alpha)), lattice[0]], 1e-300))
@@ -274,7 +276,7 @@ def predict(df: DataFrame, langs: list[str], prob: np.ndarray, path: str, text_c
     def run(batches):
         scorer = Scorer(path, shared.value)
         for batch in batches:
-            for start, end in slices([len(t.as_buffer()) for t in batch.column(1)]):
+            for start, end in slices([len(t.as_buffer()) for t in batch.column(1)], SLICE):
                 part = batch.slice(start, end - start)
                 totals, words = scorer.totals(part.column(1).to_pylist())
                 if langs:
