@@ -2,11 +2,14 @@
 
 A page is a stream of block tags and text slots. Wrappers of one host are inferred
 step by step: tandem repeats become repeated groups `( )+`, and aligning two
-streams turns what one of them lacks into optional groups `( )?`; equal tags stay
-and all texts become slots. The result is a regular expression without
-alternatives. A slot is named by its path of open tags. As texts are slots before
-any alignment, the wrapper does not decide what is content, and a text equal on all
-pages of a host is not recognised as template. Each path is content or not: never under menus, headers, footers,
+streams turns what one of them lacks into optional groups `( )?`; equal tags stay.
+Texts under an article or main element, and those of parts that are never content,
+are slots from the start. Other texts travel as digests: equal ones stay, different
+ones in one place become a slot. The result is a regular expression without
+alternatives. A slot is named by its path of open tags. A page is matched to the
+wrapper of its host: texts in none of its groups are template and no content, from
+hosts of LEAST pages on; a page that lacks one of them has no template.
+Each path is content or not: never under menus, headers, footers,
 sidebars, notices, adverts, forms, scripts or reader comments; inside the article
 or main element where the page has one; else inside the container, of those the
 page has, that holds most text on the host's pages with it. Pages of one host in
@@ -25,6 +28,7 @@ other columns are neither read nor returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_left
@@ -64,6 +68,10 @@ _ODD = re.compile(r"[^\w.=-]")
 _BLANK = re.compile(r"\s+")
 SALT = 32
 SLOT = "#"
+#: A text of a stream that may yet be template: its digest before the slot.
+FIXED = "="
+#: Pages of a host from which on text that all of them have is template.
+LEAST = 4
 
 
 def host_of(url: str | None) -> str:
@@ -196,7 +204,16 @@ def stream(page: str):
     yield from close(0)
 
 
-# A wrapper is a list of nodes: '<p', '>p', '#' with the slot's path, or ('?', nodes), ('+', nodes).
+# A wrapper is a list of nodes: '<p', '>p', '#' with the slot's path, '=' with a digest before the slot of a text met with
+# no other text in its place, or ('?', nodes), ('+', nodes).
+
+def fixed_text(path: str, text: str) -> str:
+    return f"{FIXED}{hashlib.blake2b(text.encode(), digest_size=8).hexdigest()}{SLOT}{path}"
+
+
+def _slot(node: str) -> str:
+    return node[node.index(SLOT):] if node.startswith(FIXED) else node
+
 
 def repeats(nodes: list) -> list:
     """Turn tandem repeats into repeated groups, shortest units first."""
@@ -228,7 +245,7 @@ def _key(node):
     """Groups align if they begin alike."""
     while isinstance(node, tuple):
         node = node[1][0]
-    return node
+    return _slot(node)
 
 
 def _unit(nodes: list, i: int) -> list:
@@ -255,8 +272,39 @@ def _merge(a: list, i: int, b: list, j: int):
     return node, *taken
 
 
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of the same fixed texts outside groups, once in both: the longest run that has one order in both."""
+    once = [{n: k for k, n in enumerate(nodes) if isinstance(n, str) and n.startswith(FIXED)} for nodes in (a, b)]
+    many = [Counter(n for n in nodes if isinstance(n, str)) for nodes in (a, b)]
+    pairs = [(i, once[1][n]) for n, i in once[0].items() if many[0][n] == 1 == many[1][n]]
+    ends: list[int] = []
+    runs: list[tuple] = []
+    for i, j in pairs:
+        k = bisect_left(ends, j)
+        ends[k:k + 1], runs[k:k + 1] = [j], [((i, j), runs[k - 1] if k else None)]
+    out, run = [], runs[-1] if runs else None
+    while run:
+        out.append(run[0])
+        run = run[1]
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
-    """The union-free expression of two: common nodes stay, what only one has becomes optional."""
+    """The union-free expression of two: common nodes stay, what only one has becomes optional. Texts that both have are aligned first."""
+    out, at_a, at_b = [], 0, 0
+    for i, j in _anchors(a, b):
+        first, last = 0, 1  # with the tags around the text
+        while i - first > at_a and j - first > at_b and a[i - first - 1] == b[j - first - 1] and str(a[i - first - 1]).startswith("<"):
+            first += 1
+        while i + last < len(a) and j + last < len(b) and a[i + last] == b[j + last] and str(a[i + last]).startswith(">"):
+            last += 1
+        out += _between(a[at_a:i - first], b[at_b:j - first]) + a[i - first:i + last]
+        at_a, at_b = i + last, j + last
+    return repeats(out + _between(a[at_a:], b[at_b:]))
+
+
+def _between(a: list, b: list) -> list:
+    """The same node by node, by their keys."""
     places: list[dict] = []
     for nodes in (a, b):
         index = defaultdict(list)
@@ -278,6 +326,9 @@ def align(a: list, b: list) -> list:
             if a[i] == b[j]:
                 out.append(a[i])
                 i, j = i + 1, j + 1
+            elif isinstance(a[i], str) and isinstance(b[j], str):  # different texts in one place
+                out.append(_slot(a[i]))
+                i, j = i + 1, j + 1
             else:
                 node, more_i, more_j = _merge(a, i, b, j)
                 out.append(node)
@@ -293,7 +344,7 @@ def align(a: list, b: list) -> list:
         else:
             out += optional(a[i:in_a])
             i = in_a
-    return repeats(out + optional(a[i:]) + optional(b[j:]))
+    return out + optional(a[i:]) + optional(b[j:])
 
 
 def written_out(nodes) -> str:
@@ -361,19 +412,25 @@ def _observed(rows: DataFrame) -> DataFrame:
     """(host, kind, value, n, pages): distinct streams with their pages, and characters and pages at paths outside articles and main elements, added up in each batch."""
     def run(batches):
         for batch in batches:
-            totals, pages = Counter(), Counter()
+            totals, pages, shapes = Counter(), Counter(), {}
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host, nodes, paths = host_of(url), [], set()
                 for event in stream(page):
                     if event[0] == SLOT:
-                        nodes.append(SLOT + event[1])
-                        if not event[2] and not _inside(event[1].split(">")):
+                        outside = not event[2] and not _inside(event[1].split(">"))
+                        nodes.append(fixed_text(event[1], event[3]) if outside else SLOT + event[1])
+                        if outside:
                             totals[host, "mass", event[1]] += len(event[3])
                             paths.add((host, "mass", event[1]))
                     else:
                         nodes.append(("<" if event[0] == "+" else ">") + event[1])
-                totals[host, "stream", written_out(repeats(nodes))] += 1
                 pages.update(paths)
+                # Pages of one shape are aligned at once, place by place.
+                shape = host, tuple(map(_slot, nodes)) if paths else written_out(repeats(nodes))
+                before, n = shapes.get(shape, (nodes, 0))
+                shapes[shape] = [a if a == b else _slot(a) for a, b in zip(before, nodes)] if paths and before is not nodes else before, n + 1
+            for (host, _), (nodes, n) in shapes.items():
+                totals[host, "stream", written_out(repeats(nodes))] += n
             hosts, kinds, values = zip(*totals) if totals else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(list(totals.values()), pa.int64()),
@@ -383,7 +440,7 @@ def _observed(rows: DataFrame) -> DataFrame:
 
 
 def wrappers(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper, mass (mean characters at the paths outside articles and main elements)."""
+    """host, wrapper, pages, mass (mean characters at the paths outside articles and main elements)."""
     observed = _observed(_rows(df, id_col, url_col, html_col)).groupBy("host", "kind", "value")
     seen = written(observed.agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")), "streams")
 
@@ -394,19 +451,45 @@ def wrappers(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
              .groupBy("host", "part").applyInArrow(together, "host string, wrapper string"))
     whole = parts.withColumnRenamed("wrapper", "value").groupBy("host").applyInArrow(together, "host string, wrapper string")
     mass = seen.where("kind = 'mass'").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("value", F.col("n") / F.col("pages")))).alias("mass"))
-    return written(whole.join(mass, "host", "left"), "wrappers")
+    counted = seen.where("kind = 'stream'").groupBy("host").agg(F.sum("n").alias("pages"))
+    return written(whole.join(counted, "host").join(mass, "host", "left"), "wrappers")
+
+
+def template(wrapper: str) -> list[str]:
+    """The texts that every page of a wrapper has, in their order: those in no optional or repeated group."""
+    return [n for n in read_back(wrapper) if isinstance(n, str) and n.startswith(FIXED)]
+
+
+def _matched(texts: list[tuple[str, str]], fixed: list[str]) -> set[int]:
+    """Places of the template's texts among those of a page; none if the page does not have them all in their order."""
+    found: set[int] = set()
+    for i, (path, text) in enumerate(texts):
+        if len(found) < len(fixed) and fixed[len(found)].endswith(SLOT + path) and fixed_text(path, text) == fixed[len(found)]:
+            found.add(i)
+    return found if len(found) == len(fixed) else set()
+
 
+def page_text(page: str, mass: dict[str, float], fixed: list[str] = ()) -> str:
+    """What the content slots of a page hold, blocks in page order. `mass` as for `content_slots`, of the page's host, `fixed` its template.
 
-def page_text(page: str, mass: dict[str, float]) -> str:
-    """What the content slots of a page hold, blocks in page order. `mass` as for `content_slots`, of the page's host."""
+    Articles and main elements are whole by their marks. Elsewhere the wrapper tells template from slot; a page that has nothing
+    but template keeps it, as its host shows no other page to tell them apart.
+    """
     texts = [(e[1], e[3]) for e in stream(page) if e[0] == SLOT and not e[2]]
     content = set(content_slots({path: mass.get(path, 0.0) for path, _ in texts}))
-    return "\n\n".join(text for path, text in texts if path in content)
+    chosen = [i for i, (path, _) in enumerate(texts) if path in content]
+    if fixed and chosen and not _inside(texts[chosen[0]][0].split(">")):
+        outside = [(i, t) for i, t in enumerate(texts) if not _inside(t[0].split(">"))]
+        common = {outside[k][0] for k in _matched([t for _, t in outside], fixed)}
+        chosen = [i for i in chosen if i not in common] or chosen
+    return "\n\n".join(texts[i][1] for i in chosen)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and the main text of every page."""
-    found = wrappers(df, id_col, url_col, html_col).select("host", "mass")
+    # Only wrappers with fixed texts go on to the pages.
+    decides = (F.col("pages") >= LEAST) & F.col("wrapper").rlike(f"(^| ){FIXED}")
+    found = wrappers(df, id_col, url_col, html_col).select("host", "mass", F.when(decides, F.col("wrapper")).alias("wrapper"))
     rows = _rows(df, id_col, url_col, html_col)
     kind = rows.schema["page_id"].dataType.simpleString()
 
@@ -418,11 +501,12 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         for batch in batches:
             for start, end in slices([len(h.as_buffer()) for h in batch.column(2)]):
                 part = batch.slice(start, end - start)
-                texts = [page_text(h, dict(m or ())) for h, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                templates = {w: template(w or "") for w in part.column(4).unique().to_pylist()}
+                texts = [page_text(h, dict(m or ()), templates[w]) for h, m, w in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     hosted = rows.mapInArrow(with_host, f"page_id {kind}, url string, html string, host string")
-    return hosted.join(found, "host", "left").select("page_id", "url", "html", "mass").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return hosted.join(found, "host", "left").select("page_id", "url", "html", "mass", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def report(extracted: DataFrame) -> DataFrame:
