@@ -174,6 +174,15 @@ def test_repeated_windows_are_removed(spark, monkeypatch, window, gram, together
     assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] and r["repeated"] == (r["n_removed"] > 0) for r in got)
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    sizes = {394: 0, 399: 0, 400: 400, 401: 401}
+    passages = [(prose(size, 1)[0][:size], gone) for size, gone in sizes.items()] + [("ée " * 99 + "e ", 0), ("ée " * 100, 400)]
+    assert all(len(p.split()) > 50 for p, _ in passages)
+    rows = list(enumerate(f"{k}{p}{k} and no more" for p, _ in passages for k in range(3)))
+    got = suffixes.report(suffixes.remove(documents(spark, rows))).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.repeated) for r in got} == {i: (gone := passages[i // 3][1], int(gone > 0), gone > 0) for i, _ in rows}
+
+
 def test_anchor_runs_cross_the_parts_of_a_long_text(spark, monkeypatch):
     text = np.random.default_rng(1).integers(97, 99, 5000).astype(np.uint8)
     whole = suffixes.anchors(text, 40, 8)
