@@ -183,6 +183,32 @@ def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
     assert {r.doc_id: (r.n_removed, r.n_spans, r.repeated) for r in got} == {i: (gone := passages[i // 3][1], int(gone > 0), gone > 0) for i, _ in rows}
 
 
+def test_a_passage_in_many_texts_is_split_over_tasks(spark, monkeypatch):
+    """Joins of what a common passage gives are plain shuffles on both sides, so that Spark can split its key."""
+    held = {"autoBroadcastJoinThreshold": -1, "shuffle.partitions": 31, "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": 1000,
+            "adaptive.skewJoin.skewedPartitionThresholdInBytes": 1000, "adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before, split, write = {k: spark.conf.get(f"spark.sql.{k}") for k in held}, {}, suffixes.written
+
+    def run(df, name):
+        df.collect()
+        split.setdefault(name, []).append("SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(suffixes, "written", run)
+    passage, heads = prose(7, 1)[0][:500], prose(8, 300, 9)
+    rows = list(enumerate(f"{h}{passage}{h[::-1]}{k}" for k, h in enumerate(heads)))
+    try:
+        for key, value in held.items():
+            spark.conf.set(f"spark.sql.{key}", value)
+        got = suffixes.report(suffixes.remove(documents(spark, rows).repartition(4))).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(f"spark.sql.{key}", value)
+    want = Counter((i, *r) for (i, _), r in zip(rows, repeated_bytes([t.encode() for _, t in rows], 400)))
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert len(split["alive"]) == 1 + len(suffixes.STEPS) and split["alive"][0] and split["alive"][1]
+
+
 def test_anchor_runs_cross_the_parts_of_a_long_text(spark, monkeypatch):
     text = np.random.default_rng(1).integers(97, 99, 5000).astype(np.uint8)
     whole = suffixes.anchors(text, 40, 8)
