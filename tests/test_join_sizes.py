@@ -28,3 +28,35 @@ def test_settings_are_not_sent_to_every_task(spark):
     assert [r[2:] for r in rows if r[:2] == (2, "max_connections")] == [("300", "100", "Consider connection pooling")]
     assert [r[2:] for r in rows if r[:2] == (2, "work_mem")] == [(None, "10MB", None)]  # a setting the server lacks
     assert {r[2] for r in rows if r[0] is None} == {None} and not [r for r in rows if r[1] == "port"]
+
+
+def indexed(spark):
+    """Two tables; an index on two columns of which one has no statistics, and one whose table is not known."""
+    none = spark.sql(f"SELECT 1L server_id, {AT} WHERE false")
+    return Snapshots.from_frames(
+        spark, locks=none, servers=none, repl_stats=none,
+        activity=spark.sql(f"SELECT server_id, {AT}, id pid, state FROM VALUES (1L, 1L, 'active'), (1L, 2L, 'idle in transaction'), (2L, 3L, 'active') t(server_id, id, state)"),
+        settings=spark.sql(f"SELECT server_id, {AT}, 'max_connections' name, '10' setting FROM VALUES (1L), (3L) t(server_id)"),
+        table_stats=spark.sql(f"SELECT 1L server_id, {AT}, relid, 's' schemaname, name table_name, n_live_tup FROM VALUES (1L, 'a', 1000L), (2L, 'b', 0L) t(relid, name, n_live_tup)"),
+        index_stats=spark.sql(f"""SELECT 1L server_id, {AT}, relid, 's' schemaname, name table_name, index_name, size index_size, 'ON t (' || cols || ')' indexdef FROM
+            VALUES (1L, 'a', 'two', 1048576L, 'x, y'), (2L, 'b', 'one', 8192L, 'x'), (3L, 'c', 'lost', 8192L, 'x') t(relid, name, index_name, size, cols)"""),
+        column_stats=spark.sql(f"SELECT 1L server_id, {AT}, relid, attname, width avg_width FROM VALUES (1L, 'x', 100L), (2L, 'x', 4L) t(relid, attname, width)"))
+
+
+def test_samples_of_alerts_are_not_sent_to_every_task(spark):
+    from fleetstat.plans import checks
+    df = checks.alert_samples(indexed(spark), {"idle_in_transaction_percent", "index_bloat_percent", "pool_efficiency_percent"})
+    assert set(strategies(df)) == {"SortMergeJoin"}
+    got = {(r.server_id, r.metric, r.object): r.value for r in df.collect()}
+    assert got[1, "connection_percent", "server"] == 20.0 and (2, "connection_percent", "server") not in got
+    assert got[2, "pool_efficiency_percent", "server"] == 100.0 and (1, "index_bloat_percent", "two") in got
+
+
+def test_derived_tables_are_not_sent_to_every_task(spark, tmp_path):
+    spark.sql("""SELECT p_partkey, 'a b' p_name, 'B' p_brand, 'TYPE' p_type, 3 p_size, 1.0D p_retailprice FROM
+        VALUES (10L), (11L), (NULL) t(p_partkey)""").write.parquet(str(tmp_path / "part.parquet"))
+    spark.sql("""SELECT 1L l_orderkey, k l_partkey, 1L l_suppkey, n l_linenumber, 5.0D l_quantity FROM
+        VALUES (10L, 1), (10L, 2), (12L, 1), (NULL, 1) t(k, n)""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = Snapshots.from_tables(spark, str(tmp_path)).table_stats
+    assert set(strategies(df)) == {"SortMergeJoin"}
+    assert [(r.relid, r.table_name, r.n_live_tup, r.n_tup_ins) for r in df.collect()] == [(10, "user_a_b_10", 30, 150)]
