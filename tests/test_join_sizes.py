@@ -60,3 +60,10 @@ def test_derived_tables_are_not_sent_to_every_task(spark, tmp_path):
     df = Snapshots.from_tables(spark, str(tmp_path)).table_stats
     assert set(strategies(df)) == {"SortMergeJoin"}
     assert [(r.relid, r.table_name, r.n_live_tup, r.n_tup_ins) for r in df.collect()] == [(10, "user_a_b_10", 30, 150)]
+
+
+def test_widths_of_indexed_columns_are_not_sent_to_every_task(spark):
+    df = registry.run("IB1", indexed(spark))
+    assert set(strategies(df)) == {"SortMergeJoin"}
+    got = {r.index_name: (r.row_count, r.key_width, r.expected_bytes) for r in df.collect()}
+    assert got == {"two": (1000, 112, 18 * 8192), "one": (0, 8, 8192)}  # 104 for x, 8 for y without statistics; 59 rows a page
