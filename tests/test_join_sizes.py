@@ -67,3 +67,18 @@ def test_widths_of_indexed_columns_are_not_sent_to_every_task(spark):
     assert set(strategies(df)) == {"SortMergeJoin"}
     got = {r.index_name: (r.row_count, r.key_width, r.expected_bytes) for r in df.collect()}
     assert got == {"two": (1000, 112, 18 * 8192), "one": (0, 8, 8192)}  # 104 for x, 8 for y without statistics; 59 rows a page
+
+
+def test_foreign_keys_are_not_sent_to_every_task(spark):
+    keys = "VALUES (1L, 'f1', 'a', 'x'), (1L, 'f2', 'a', 'y'), (2L, 'f3', 'b', 'x'), (NULL, 'f4', 'a', 'x')"
+    of = lambda columns, rows: spark.sql(f"SELECT server_id, {AT}, {columns} FROM {rows}")
+    df = registry.run("MI2", Snapshots.from_frames(
+        spark,
+        table_constraints=of("n constraint_name, 's' table_schema, tab table_name, 'FOREIGN KEY' constraint_type", f"{keys} t(server_id, n, tab, col)"),
+        key_columns=of("n constraint_name, 's' table_schema, col column_name", f"{keys} t(server_id, n, tab, col)"),
+        constraint_columns=of("n constraint_name, 's' table_schema, 'r' ref_table, 'id' ref_column", f"{keys} t(server_id, n, tab, col)"),
+        index_stats=of("'s' schemaname, 'a' table_name, i index_name, '(' || col || ')' indexdef", "VALUES (1L, 'i1', 'x'), (1L, 'i2', 'x, z'), (2L, 'i3', 'x') t(server_id, i, col)"),
+        table_stats=of("'s' schemaname, tab table_name, 5L n_live_tup", "VALUES (1L, 'a'), (3L, 'b') t(server_id, tab)")))
+    assert set(strategies(df)) == {"SortMergeJoin"}
+    got = sorted((r.server_id, r.fk_column, r.index_status[:8], r.index_status.split()[-1], r.estimated_rows) for r in df.collect())
+    assert got == [(1, "x", "EXISTS: ", "i1", 5), (1, "x", "EXISTS: ", "i2", 5), (1, "y", "MISSING:", "column", 5), (2, "x", "MISSING:", "column", None)]
