@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
+
 from fleetstat.plans import registry
-from fleetstat.sources.snapshots import Snapshots
+from fleetstat.sources.snapshots import Snapshots, schema_of
 
 AT = "timestamp'2024-01-31' snap_ts"
 
@@ -82,3 +84,49 @@ def test_foreign_keys_are_not_sent_to_every_task(spark):
     assert set(strategies(df)) == {"SortMergeJoin"}
     got = sorted((r.server_id, r.fk_column, r.index_status[:8], r.index_status.split()[-1], r.estimated_rows) for r in df.collect())
     assert got == [(1, "x", "EXISTS: ", "i1", 5), (1, "x", "EXISTS: ", "i2", 5), (1, "y", "MISSING:", "column", 5), (2, "x", "MISSING:", "column", None)]
+
+
+def test_parts_of_the_findings_are_not_sent_to_every_task(spark):
+    from fleetstat.plans import connections, indexes, security, servers
+    s = Snapshots.from_frames(
+        spark,
+        activity=spark.sql(f"SELECT server_id, {AT}, 'active' state FROM VALUES (1L), (1L), (2L) t(server_id)"),
+        settings=spark.sql(f"""SELECT server_id, {AT}, name, setting FROM
+            VALUES (1L, 'max_connections', '10'), (1L, 'archive_mode', 'on'), (2L, 'archive_mode', 'off') t(server_id, name, setting)"""),
+        archiver=spark.sql(f"SELECT server_id, {AT}, 2L failed_count, {AT.split()[0]} last_failed_time FROM VALUES (1L), (9L) t(server_id)"),
+        servers=spark.sql(f"SELECT server_id, {AT}, '1/0' current_lsn FROM VALUES (1L), (2L) t(server_id)"),
+        repl_slots=spark.sql(f"SELECT server_id, {AT}, '0/0' restart_lsn, false active FROM VALUES (1L) t(server_id)"),
+        database_stats=spark.sql(f"SELECT server_id, {AT}, 5L xid_age FROM VALUES (1L), (2L) t(server_id)"),
+        roles=spark.sql(f"SELECT 1L server_id, {AT}, oid, rolname FROM VALUES (1L, 'a'), (2L, 'b'), (3L, 'c') t(oid, rolname)"),
+        auth_members=spark.sql(f"SELECT 1L server_id, {AT}, roleid, member FROM VALUES (1L, 2L), (1L, 3L), (1L, 8L), (NULL, 2L) t(roleid, member)"),
+        table_stats=spark.sql(f"SELECT 1L server_id, {AT}, relid, 7L n_live_tup FROM VALUES (1L), (1L) t(relid)"),
+        index_stats=spark.sql(f"SELECT 1L server_id, {AT}, relid, 's' schemaname, 4194304L index_size, 0L idx_scan FROM VALUES (1L), (2L) t(relid)"))
+    used = connections.connection_utilization(s)
+    assert set(strategies(used)) == {"SortMergeJoin"}
+    assert {r.server_id: r.connection_utilization_percent for r in used.collect()} == {1: 20.0, 2: None}
+    unused = indexes.unused_indexes(s)
+    assert set(strategies(unused)) == {"SortMergeJoin"}
+    assert sorted((r.times_used, r.table_rows) for r in unused.where("table_rows IS NOT NULL").collect()) == [(0, 7), (0, 7)] and unused.count() == 3
+    members = security.memberships(s)
+    assert set(strategies(members)) == {"SortMergeJoin"}
+    assert sorted((r.member_name, r.role_name) for r in members.collect()) == [("b", "a"), ("c", "a")]
+    ready = servers.backup_readiness(s)
+    assert "SortMergeJoin" in strategies(ready) and sorted(r.server_id for r in ready.collect()) == [1, 2]
+
+
+def numbered(spark, relation):
+    """Two rows of a relation, each value made from the row's number."""
+    def value(f):
+        kind = f.dataType.typeName()
+        made = {"string": f"concat('{f.name}', id)", "boolean": "id % 2 = 0", "timestamp": "timestamp'2024-01-31'"}.get(kind)
+        return f"cast({made or ('id' if kind in ('long', 'integer', 'double') else 'null')} as {f.dataType.simpleString()}) {f.name}"
+    return spark.range(1, 3).selectExpr(*map(value, schema_of(relation)))
+
+
+@pytest.mark.parametrize("id", ["CK1"])
+def test_whole_reports_send_no_growing_side_to_every_task(spark, id):
+    df = registry.run(id, Snapshots(spark, lambda relation: numbered(spark, relation)))
+    plan = df._jdf.queryExecution().executedPlan().toString()  # before it runs: what Spark's guesses choose
+    keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
+    assert not [k for k in keys if re.search("relid|member|roleid|constraint_name|table_name", k)]
+    assert df.count() > 0
