@@ -123,7 +123,7 @@ def numbered(spark, relation):
     return spark.range(1, 3).selectExpr(*map(value, schema_of(relation)))
 
 
-@pytest.mark.parametrize("id", ["CK1", "CK6"])
+@pytest.mark.parametrize("id", ["CK1", "CK6", "S7L"])
 def test_whole_reports_send_no_growing_side_to_every_task(spark, id):
     df = registry.run(id, Snapshots(spark, lambda relation: numbered(spark, relation)))
     plan = df._jdf.queryExecution().executedPlan().toString()  # before it runs: what Spark's guesses choose
