@@ -177,16 +177,54 @@ def histogram_bounds(df: DataFrame, table: str, buckets: int = BUCKETS, *, json:
         F.lit(table).alias("table_name"), "attname", "bucket", F.col("text").alias("bound_text"), F.col("number").alias("bound_number"))
 
 
+def _rank_key(f: T.StructField) -> Column:
+    """attname, number and text that order one column's values; no text where the number alone tells values apart."""
+    cell = _cell(F.lit(f.name), F.col(f"`{f.name}`"), f.dataType)
+    number, text = cell["number"], cell["text"]
+    if isinstance(f.dataType, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        text = F.when(F.abs(number) >= 2.0**53, text)
+    return F.struct(cell["attname"].alias("attname"), number.alias("number"), text.alias("text"))
+
+
 def order_correlation(df: DataFrame, table: str, order: list[str]) -> DataFrame:
-    """Correlation of each plain column's value rank (ties in row order) with the row's place in the table by ``order``."""
-    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    rest = [c for c in plain if c not in order]
-    placed = ranked(df.select(F.lit(table).alias("_table"), *plain), "_table", [*order, *rest]).withColumnRenamed("rank", "position").drop("_table")
-    values = cells(placed, keep=("position",)).where("text IS NOT NULL OR number IS NOT NULL").select("attname", "number", "text", "position")
-    in_order = ranked(values, "attname", ["number", "text", "position"])
-    return in_order.groupBy("attname").agg(
-        F.count("*").alias("value_count"), F.round(F.corr(F.col("position").cast("double"), F.col("rank").cast("double")), 6).alias("correlation")
-    ).select(F.lit(table).alias("table_name"), "attname", "value_count", "correlation")
+    """Correlation of each plain column's value rank (ties in row order) with the row's place in the table by ``order``.
+
+    Rows are sorted by ``order`` and their cells by value, both cut into ranges, and neither is written: a place is the
+    one inside the range and what earlier ranges hold, and so is a rank. Means and products are summed for the cells
+    that a range of rows and a range of cells share, which is all that is kept; what lies before them is added there.
+    """
+    plain = [f for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    names = [f.name for f in plain]
+    by_row, by_value = [*order, *[c for c in names if c not in order]], ["attname", "number", "text", "_row"]
+    inside = lambda c: c.bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.select(*names).repartitionByRange(*by_row).sortWithinPartitions(*by_row).withColumn("_row", F.monotonically_increasing_id())
+    values = rows.select("_row", F.inline(F.array(*map(_rank_key, plain)))).where("text IS NOT NULL OR number IS NOT NULL")
+    placed = values.repartitionByRange(*by_value).sortWithinPartitions(*by_value).select(
+        "attname", F.shiftright("_row", 33).alias("_range"), inside(F.col("_row")).alias("x"),
+        F.spark_partition_id().alias("_part"), inside(F.monotonically_increasing_id()).alias("y"))
+    product = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b))
+    sums = cut_lineage(placed.groupBy("attname", "_range", "_part").agg(
+        F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), product("x", "x").alias("xx"), product("x", "y").alias("xy"),
+        F.max("x").alias("_last"), F.min("y").alias("_first")))
+    # A row without any value sorts before all others, so the last row of a range has one, or all places shift alike.
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.groupBy("_range").agg((F.max("_last") + 1).alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(earlier(Window.orderBy("_range"))), F.lit(0)).alias("_start"))
+    bases = sums.groupBy("attname", "_part").agg(F.sum("n").alias("n"), F.min("_first").alias("_first")).select(
+        "attname", "_part", (F.coalesce(F.sum("n").over(earlier(Window.partitionBy("attname").orderBy("_part"))), F.lit(0)) - F.col("_first")).alias("_base"))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    located = sums.join(starts, "_range").join(bases, ["attname", "_part"]).select(
+        "attname", "n", (F.col("_start") + x).alias("x"), (F.col("_base") + y).alias("y"),
+        (F.col("xx") - n * x * x).alias("xx"), (F.col("xy") - n * x * y).alias("xy"))
+    means = located.groupBy("attname").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value_count"), (F.sum(n * x) / F.sum("n")).alias("_x"), (F.sum(n * y) / F.sum("n")).alias("_y"))
+    found = located.join(means, "attname").groupBy("attname", "value_count").agg(
+        F.sum(F.col("xx") + n * (x - F.col("_x")) * (x - F.col("_x"))).alias("xx"),
+        F.sum(F.col("xy") + n * (x - F.col("_x")) * (y - F.col("_y"))).alias("xy"))
+    count = F.col("value_count").cast("double")
+    ranks = count * (count * count - 1) / 12  # squares of 1 to n about their mean
+    return found.select(
+        F.lit(table).alias("table_name"), "attname", "value_count",
+        F.round(F.when(F.col("value_count") > 1, F.col("xy") / F.sqrt("xx") / F.sqrt(ranks)), 6).alias("correlation"))
 
 
 def statistics(df: DataFrame, table: str, profile: DataFrame, order: list[str], target: int = 100) -> DataFrame:
